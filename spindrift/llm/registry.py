@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from spindrift.llm import quality, secrets
+from spindrift.llm import mixing, packing, quality, secrets, simhash
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules, "op10_secrets": secrets.op10_secrets}
-SQL = {"op1_quality_rules": quality.OP1_SQL, "op10_secrets": secrets.OP10_SQL}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op3_packing": packing.op3_packing,
+    "op5_simhash": simhash.op5_simhash,
+    "op6_mixing": mixing.op6_mixing,
+    "op10_secrets": secrets.op10_secrets,
+}
+SQL = {
+    "op1_quality_rules": quality.OP1_SQL,
+    "op6_mixing": mixing.OP6_SQL,
+    "op10_secrets": secrets.OP10_SQL,
+}
