@@ -54,7 +54,7 @@ class PieceEncoder:
     spaces are encoded whole where the spaces count. The cache is emptied at ``most`` pieces.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 400_000) -> None:
+    def __init__(self, path: str, keep_space: bool, most: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,26 +70,26 @@ class PieceEncoder:
         return [np.array(x.ids, "<u2").tobytes() for x in got]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
         cut: list[list[str] | None] = []
-        new: set[str] = set()
-        if len(self.known) > self.most:
-            self.known.clear()
+        fresh: set[str] = set()
         for t in texts:
-            if self.keep_space:
-                if "  " in t:
-                    cut.append(None)
-                    continue
-                pieces = t.replace(" ", "\0 ").split("\0") if "\0" not in t else None
-            else:
+            pieces: list[str] | None
+            if not self.keep_space:
                 pieces = t.replace("\n", " ").split(" ")
+            elif "  " in t or "\0" in t:
+                pieces = None
+            else:
+                pieces = t.replace(" ", "\0 ").split("\0")
             cut.append(pieces)
             if pieces:
-                new.update(pieces)
-        fresh = [p for p in new if p not in self.known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        look = self.known.__getitem__
+                fresh.update(set(pieces).difference(known))
+        new = list(fresh)
+        for i in range(0, len(new), 20_000):
+            known.update(zip(new[i : i + 20_000], self._ids(new[i : i + 20_000]), strict=True))
+        look = known.__getitem__
         return [b"".join(map(look, p)) if p is not None else self._ids([t])[0] for p, t in zip(cut, texts, strict=True)]
 
 

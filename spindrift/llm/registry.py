@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, packing, quality, secrets, simhash
+from spindrift.llm import mixing, packing, quality, secrets, simhash, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_token_files": tokenfile.op7_token_files,
     "op10_secrets": secrets.op10_secrets,
 }
 SQL = {
