@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, packing, quality, secrets, simhash, tokenfile
+from spindrift.llm import mixing, packing, quality, repeats, secrets, simhash, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": tokenfile.op7_token_files,
+    "op9_repeats": repeats.op9_repeats,
     "op10_secrets": secrets.op10_secrets,
 }
 SQL = {
