@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spindrift.llm import mixing, packing, quality, repeats, secrets, simhash, tokenfile
+from spindrift.llm import html, mixing, packing, quality, repeats, secrets, simhash, tokenfile
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_packing": packing.op3_packing,
+    "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": tokenfile.op7_token_files,
