@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from spindrift.llm import html, mixing, packing, quality, repeats, secrets, simhash, tokenfile
+from spindrift.llm import forest, html, mixing, packing, quality, repeats, secrets, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_html": html.op4_html,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_files": tokenfile.op7_token_files,
+    "op8_neighbours": forest.op8_neighbours,
     "op9_repeats": repeats.op9_repeats,
     "op10_secrets": secrets.op10_secrets,
 }
