@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the corpus and queries of a block: one block pair is a small matrix product.
@@ -85,10 +85,16 @@ def rerank(ranking: DataFrame, scores: DataFrame, n: int = 5, enabled: bool = Tr
     return met.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
 
 
+def _four(score: str) -> Column:
+    """A score of six decimals in four, halves up, by whole numbers: formatting functions differ on halves."""
+    n = F.floor((F.round(F.col(score) * 1_000_000).cast("long") + 50) / 100).cast("long")
+    return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 10_000).cast("string"), F.lit("."), F.lpad((F.abs(n) % 10_000).cast("string"), 4, "0"))
+
+
 def context_block(ranking: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
     """query_id and the n best rows rendered in order: ``texts`` has doc_id, source and optional topic."""
     met = ranking.where(F.col("rank") <= n).join(texts, "doc_id")
-    line = F.concat_ws(" | ", F.format_string("[%d]", "rank"), F.concat(F.lit("source: "), F.col("source")), F.concat(F.lit("topic: "), F.col("topic")), F.format_string("score: %.4f", "score"))
+    line = F.concat_ws(" | ", F.format_string("[%d]", "rank"), F.concat(F.lit("source: "), F.col("source")), F.concat(F.lit("topic: "), F.col("topic")), F.concat(F.lit("score: "), _four("score")))
     made = met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
     return made.select("query_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("context"))
 

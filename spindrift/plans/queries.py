@@ -51,6 +51,7 @@ def _qrels(s: SparkSession, d: str) -> DataFrame:
     return want.join(c.select("doc_id", "label"), "label").select("query_id", F.concat(F.lit("g"), F.col("label")).alias("group_id"), "grade", "doc_id")
 
 
+_FOUR = "(SELECT CASE WHEN n < 0 THEN '-' ELSE '' END || (abs(n) // 10000) || '.' || lpad((abs(n) % 10000)::VARCHAR, 4, '0') FROM (SELECT floor((round(score * 1000000)::BIGINT + 50) / 100)::BIGINT AS n))"
 _TOP = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS doc_id, q.label AS ql, e.label AS dl, round(list_cosine_similarity(v, embedding::DOUBLE[]), 6) AS score FROM q, embeddings e),
 top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s),
@@ -122,7 +123,7 @@ def rerank(s, d):
 QUERIES["rerank_join"], SQL["rerank_join"] = rerank, SQL["rerank"]
 
 
-@query(f"""WITH {_TOP} SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src' || doc_id % 7, CASE WHEN e.label <> 0 THEN 'topic: ' || e.label END, printf('score: %.4f', score)), chr(10) ORDER BY rank) AS context
+@query(f"""WITH {_TOP} SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src' || doc_id % 7, CASE WHEN e.label <> 0 THEN 'topic: ' || e.label END, 'score: ' || {_FOUR}), chr(10) ORDER BY rank) AS context
     FROM top JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 5 GROUP BY 1""")
 def context_block(s, d):
     q, c = _vectors(s, d)
@@ -131,7 +132,7 @@ def context_block(s, d):
 
 
 @query(f"""WITH {_TOP} SELECT q.query_id, coalesce(c, '') AS context FROM q LEFT JOIN
-    (SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src', printf('score: %.4f', score)), chr(10) ORDER BY rank) AS c FROM top WHERE rank <= 5 AND score >= 0.35 AND rank <= 5 AND doc_id <> query_id GROUP BY 1) USING (query_id)""")
+    (SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src', 'score: ' || {_FOUR}), chr(10) ORDER BY rank) AS c FROM top WHERE rank <= 5 AND score >= 0.35 AND rank <= 5 AND doc_id <> query_id GROUP BY 1) USING (query_id)""")
 def rag_context(s, d):
     q, c = _vectors(s, d)
     good = R.vector_topk(q, c).where("score >= 0.35 and doc_id <> query_id")
