@@ -33,17 +33,17 @@ def fragmented_line(t: Column) -> Column:
     """Whether a line of letters only has 8 tokens or more, 5 or more of one letter, in 3 runs or more."""
 
     def bad(line: Column) -> Column:
-        w = F.split(F.trim(line), "\\s+")
-        single = F.transform(w, lambda x: F.length(x) == 1)
-        runs = F.aggregate(F.zip_with(single, F.concat(F.array(F.lit(False)), F.slice(single, 1, F.greatest(F.size(single) - 1, F.lit(0)))), lambda a, b: a & ~b), F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0))
-        return line.rlike("^[\\p{L}\\s]+$") & (F.size(w) >= 8) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) >= 5) & (runs >= 3)
+        w = F.regexp_extract_all(line, F.lit("\\p{L}+"), F.lit(0))
+        shape = F.array_join(F.transform(w, lambda x: F.when(F.length(x) == 1, "s").otherwise("l")), "")  # a letter for each token
+        return line.rlike("^\\s*\\p{L}+(?:\\s+\\p{L}+)*:?\\s*$") & (F.size(w) >= 8) & (F.regexp_count(shape, F.lit("s")) >= 5) & (F.regexp_count(shape, F.lit("s+")) >= 3)
 
     return F.exists(F.split(t, "\n"), bad)
 
 
 def compact_answers(t: Column) -> Column:
     """Answers of the form ``1a 2b`` as number:letter, in order."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(t), F.lit("\\b([1-9])\\s*([a-d])\\b"), F.lit(0)), lambda x: F.concat(F.substring(x, 1, 1), F.lit(":"), F.substring(x, -1, 1))), ",")
+    found = F.regexp_extract_all(t, F.lit("(?<![0-9])[1-9]\\s*[a-d](?=\\s|$)"), F.lit(0))
+    return F.array_join(F.transform(found, lambda x: F.concat(F.substring(x, 1, 1), F.lit(":"), F.substring(x, -1, 1))), ",")
 
 
 # What a solution must have and must not use.
@@ -59,6 +59,8 @@ def executable_contract(code: Column) -> Column:
 
 
 def stable_id(year: Column, session: Column, variant: Column, profile: Column, lang: Column, section: Column, number: Column) -> Column:
-    """bac-{year}-{session or exam}[-vNN]-{profile}-{lang}-s{n}-ex{m}."""
-    slug = lambda c: F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-")
-    return F.concat_ws("-", F.lit("bac"), year.cast("string"), F.coalesce(slug(session), F.lit("exam")), F.when(variant.isNotNull(), F.format_string("v%02d", variant)), slug(profile), slug(lang), F.concat(F.lit("s"), section.cast("string")), F.concat(F.lit("ex"), number.cast("string")))
+    """bac-{year}-{session or exam}[-vNN]-{profile}-{lang}-s{n}-ex{m}; a variant that is no number gives v-{its slug}."""
+    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    said = variant.cast("string")
+    named = F.when(said.rlike("^[0-9]+$"), F.format_string("v%02d", said.try_cast("long"))).when(said.isNotNull(), F.concat(F.lit("v-"), slug(said)))
+    return F.concat_ws("-", F.lit("bac"), year.cast("string"), F.coalesce(slug(session), F.lit("exam")), named, slug(profile), slug(lang), F.concat(F.lit("s"), section.cast("string")), F.concat(F.lit("ex"), number.cast("string")))

@@ -69,9 +69,9 @@ def strip_page_furniture(pages: DataFrame, headers: str = "^(?:Page|Pagina) ", f
 
 
 def split_items(docs: DataFrame) -> DataFrame:
-    """id, number, item: the numbered items ``1. `` to ``9. `` at line starts of each text."""
+    """id, number, item (with its number): the numbered items ``1. `` to ``9. `` at line starts of each text."""
     parts = F.split("text", "(?m)(?=^[ \\t]*[1-9]\\.\\s+)")
-    return docs.select("id", F.explode(parts).alias("item")).where(F.col("item").rlike("^[ \\t]*[1-9]\\.\\s")).select("id", F.regexp_extract("item", "^[ \\t]*([1-9])", 1).cast("int").alias("number"), F.regexp_replace("item", "^[ \\t]*[1-9]\\.\\s+|\\s+$", "").alias("item"))
+    return docs.select("id", F.explode(parts).alias("item")).where(F.col("item").rlike("^[ \\t]*[1-9]\\.\\s")).select("id", F.regexp_extract("item", "^[ \\t]*([1-9])", 1).cast("int").alias("number"), F.regexp_replace("item", "^\\s+|\\s+$", "").alias("item"))
 
 
 def check_items(items: DataFrame, expected: int) -> DataFrame:

@@ -14,6 +14,7 @@ from spindrift.operators import novelty as N
 from spindrift.operators import progress as P
 from spindrift.operators import ratelimit as L
 from spindrift.operators import retrieval as R
+from spindrift.plans import corpus_queries
 from spindrift.sources import io
 from spindrift.streaming import streams
 
@@ -497,3 +498,8 @@ def upsert_vectors(s, d):
 @query("SELECT count(*) FILTER (user_id = 7) AS deleted, count(*) FILTER (user_id <> 7) AS remaining, true AS completed FROM events")
 def scoped_delete(s, d):
     return io.scoped_delete(read(s, d, "events"), 7)[1]
+
+
+QUERIES |= corpus_queries.QUERIES
+SQL |= corpus_queries.SQL
+SQL["stream_novelty_guard"] = SQL["novelty_guard"]

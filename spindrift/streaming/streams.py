@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators.corpus import latest
+from spindrift.operators.novelty import novelty_guard, novelty_join
 from spindrift.sources.io import work_dir
 
 
@@ -32,6 +33,13 @@ def stream_progress(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return latest(spark.read.option("recursiveFileLookup", True).parquet(target), ["exercise_id", "user_id"], "batch").drop("batch")
 
 
+def stream_novelty_guard(spark: SparkSession, stream: DataFrame, references: DataFrame) -> DataFrame:
+    """The guard for candidates (id, text) as they arrive, against a fixed corpus; a repeated batch replaces itself."""
+    target = work_dir(spark, "guarded")
+    _drained(stream, lambda df, batch: novelty_guard(df, novelty_join(df, references)).write.mode("overwrite").parquet(f"{target}/batch={batch}"), "guard")
+    return spark.read.parquet(target).select("candidate_id", "rejected", "offenders")
+
+
 def stream_rate_limit(stream: DataFrame, limit: int, window_s: int, late: str = "1 hour") -> DataFrame:
     """``stream`` (key, ts, event_id) with ``allowed``, sliding; arrivals wait for the watermark and are released in order of time."""
     span = window_s * 1000

@@ -97,7 +97,7 @@ def test_text_rules(spark):
     r = df.select(T.fold_text(F.col("a")).alias("fold"), C.classify_topic(F.col("a")).alias("strings"), C.classify_topic(F.col("b")).alias("graphs"), T.fragmented_line(F.col("c")).alias("frag"), T.compact_answers(F.col("d")).alias("answers"), T.stable_id(F.lit(2019), F.lit(None).cast("string"), F.lit(1), F.lit("Mate Info"), F.lit("ro"), F.lit(1), F.lit(2)).alias("id")).collect()[0]
     assert (r.fold, r.strings, r.graphs, r.frag, r.answers, r.id) == ("sir de caractere", "strings", "graphs", True, "1:a,2:b", "bac-2019-exam-v01-mate-info-ro-s1-ex2")
     items = C.split_items(spark.createDataFrame([(1, "intro\n1. first\n2. second\nmore")], "id int, text string"))
-    assert [(x.number, x.item) for x in items.orderBy("number").collect()] == [(1, "first"), (2, "second\nmore")]
+    assert [(x.number, x.item) for x in items.orderBy("number").collect()] == [(1, "1. first"), (2, "2. second\nmore")]
     assert C.check_items(items, 2).collect()[0].complete and not C.check_items(items, 3).collect()[0].complete
 
 
@@ -132,3 +132,54 @@ def test_stream_limiter_equals_batch(spark, tmp_path):
     want = {r.event_id: r.allowed for r in L.rate_limit_sliding(df, 3, 60).collect()}
     got = {r.event_id: r.allowed for r in spark.read.schema("key string, event_id long, allowed boolean").parquet(out).collect()}
     assert got and all(want[i] == a for i, a in got.items())
+
+
+def test_papers_become_an_audited_corpus(spark):
+    from spindrift.operators import papers as A
+
+    def paper(kind, lang, variant, third="Se citește n.", tail=""):
+        head = f"Examenul de bacalaureat național 2019\n{kind}\nMatematică-informatică\n{lang}\nVarianta {variant}\n"
+        items = lambda n: "\n".join(f"{i}. {third if i == 3 else 'Un număr natural.'}" for i in range(1, n + 1))
+        return head + f"SUBIECTUL I\n{items(5)}\nSUBIECTUL al II-lea\n{items(3)}\nSUBIECTUL al III-lea\n{items(3)}{tail}"
+
+    subject, guide = "Toate subiectele sunt obligatorii", "Barem de evaluare"
+    compact = paper(guide, "comun pentru limbajele C/C++", 1).replace("\n".join(f"{i}. {'Se citește n.' if i == 3 else 'Un număr natural.'}" for i in range(1, 6)), "1a 2b 3c 4d 5a")
+    rows = [
+        ("a", paper(subject, "Limbajul C/C++", 1)), ("b", compact), ("c", paper(subject, "Limbajul C/C++", 1)), ("d", paper(subject, "Limbajul Pascal", 1, "Graful reprezentat alăturat.")),
+        ("e", paper(subject, "Limbajul C/C++", 2, tail=" (cid:7)")), ("f", "nothing"), ("g", None), ("h", paper(subject, "Limbajul C/C++", 3).replace("SUBIECTUL al II-lea", "SUBIECTUL I")), ("i", paper(subject, "Limbajul C/C++", 4)),
+    ]
+    read = A.read_papers(spark.createDataFrame(rows, "source string, text string"))
+    got = {r.source: r for r in A.audit_records(read).collect()}
+    assert {k: (r.skipped, r.n_exercises, r.n_excluded, r.n_graded) for k, r in got.items()} == {
+        "a": (False, 11, 0, 0), "b": (False, 0, 0, 11), "c": (True, 0, 0, 0), "d": (False, 8, 3, 0), "e": (True, 0, 0, 0), "f": (True, 0, 0, 0), "g": (True, 0, 0, 0), "h": (True, 0, 0, 0), "i": (False, 11, 0, 0),
+    }
+    unstated = "exam session is not stated in the PDF"
+    assert got["a"].warnings == unstated and got["i"].warnings == f"{unstated}; no matching grading guide found"
+    assert got["f"].warnings == "missing or ambiguous year, document type, profile, programming language, variant"
+    assert got["h"].warnings == f"{unstated}; duplicate section marker: I" and got["c"].warnings.endswith("duplicate retrieval IDs")
+    assert "unresolved embedded-font glyph: (cid:7)" in got["e"].warnings
+    docs = {r.id: r for r in A.corpus_documents(read).collect()}
+    assert len(docs) == 30 and docs["bac-2019-exam-v01-mi-cpp-s2-ex1"].text == "Context: Bacalaureat 2019; sesiune nespecificată; varianta 1; profil MI; limbaj C/C++; Subiectul II; exercițiul 1.\n\n1. Un număr natural."
+    first = next(r for r in read.collect() if r.source == "b").graded[0]
+    assert (first.section, first.number, first.item) == ("I", 1, "Răspuns: a")
+    empty = A.audit_records(A.read_papers(spark.createDataFrame([], "source string, text string")))
+    assert A.build_summary(empty).collect()[0].asDict() == dict.fromkeys(("scanned", "parsed", "skipped", "extracted", "excluded", "warnings"), 0)
+
+
+def test_glyphs_and_lines_are_repaired(spark):
+    from spindrift.operators import papers as A
+
+    cases = [("x (cid:1)(cid:1) 3", "x ← 3"), ("a×××b ££ c", "a ×b ≤ c"), ("« a « b", "a ↔ b"), ("˛ x ˛ [1,2]", "x∈[1,2]"), ("A ¨¨ B", "A ∪ B"), ("Pagina 1 din 3\n\n a \t b\n\n\n\nc \n", "a b\n\nc"), ("é", "é"), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, text string")
+    assert {r.id: r.text for r in A.normalize_extracted(df).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+    reasons = [("⟦unsafe:ambiguous_math_notation⟧", "ambiguous_math_notation"), ("x\n ă î ș \ny", "unreliable_text_layout"), ("a b cd e f gh i jk", "unreliable_text_layout"), ("graful alăturat", "missing_required_visual"), ("graful alăturat, matrice 0 1 1 0 0 1 1 0 1", None), ("Un text", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(reasons)], "id int, text string")
+    assert {r.id: r.why for r in df.select("id", A.exclusion_reason(F.col("text")).alias("why")).collect()} == {i: w for i, (_, w) in enumerate(reasons)}
+
+
+def test_prompts_leave_out_empty_blocks(spark):
+    from spindrift.operators import papers as A
+
+    df = spark.createDataFrame([("t", "c"), ("u", ""), ("v", None)], "topic string, context string")
+    got = [r.prompt for r in A.render_prompt(df, "About {topic}.{context}", {"context": " See {context}!"}).collect()]
+    assert got == ["About t. See c!", "About u.", "About v."]
