@@ -32,10 +32,11 @@ def constants(t: Column) -> Column:
 def fragmented_line(t: Column) -> Column:
     """Whether a line of letters only has 8 tokens or more, 5 or more of one letter, in 3 runs or more."""
 
+    # repeated groups are possessive: others take a stack frame for each word of a long line
     def bad(line: Column) -> Column:
         w = F.regexp_extract_all(line, F.lit("\\p{L}+"), F.lit(0))
         shape = F.array_join(F.transform(w, lambda x: F.when(F.length(x) == 1, "s").otherwise("l")), "")  # a letter for each token
-        return line.rlike("^\\s*\\p{L}+(?:\\s+\\p{L}+)*:?\\s*$") & (F.size(w) >= 8) & (F.regexp_count(shape, F.lit("s")) >= 5) & (F.regexp_count(shape, F.lit("s+")) >= 3)
+        return line.rlike("^\\s*\\p{L}+(?:\\s+\\p{L}+)*+:?\\s*$") & (F.size(w) >= 8) & (F.regexp_count(shape, F.lit("s")) >= 5) & (F.regexp_count(shape, F.lit("s+")) >= 3)
 
     return F.exists(F.split(t, "\n"), bad)
 

@@ -56,7 +56,7 @@ HEADING = r"(?imdU)^[ \t]*SUBIECTUL\s+(?:al\s+)?(III|II|I)(?:\s*[-–]\s*lea)?(?
 SHARED_LINE = "scrieti pe foaia de examen raspunsul pentru fiecare dintre cerintele urmatoare."
 # Marks and patterns of exercises that can't be used.
 UNSAFE = {"⟦unsafe:ambiguous_math_notation⟧": "ambiguous_math_notation", "⟦unsafe:unreliable_pseudocode_layout⟧": "unreliable_pseudocode_layout"}
-LONE_DIACRITICS = r"(?mdU)^\s*[ăâîșşțţĂÂÎȘŞȚŢ](?:\s+[ăâîșşțţĂÂÎȘŞȚŢ]){2,}\s*$"
+LONE_DIACRITICS = r"(?mdU)^\s*[ăâîșşțţĂÂÎȘŞȚŢ](?:\s+[ăâîșşțţĂÂÎȘŞȚŢ]){2,}+\s*$"
 GRAPH = r"\b(?:graf|graful|arbore|arborele)\b"
 BESIDE = r"\b(?:reprezentat(?:a)?|graful|arborele)\b[^.]{0,160}\balaturat(?:a)?\b"
 BINARY = r"(?<!\d)[01](?!\d)"
@@ -65,6 +65,13 @@ EDGES = r"(?:muchiile|arcele)\s+(?:sunt|grafului)[^\n]{0,120}[{(][\d,()\s-]+[})]
 HEADER = 2500
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder."""
+    path = work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def composed(rows: DataFrame) -> DataFrame:
     """``rows`` with ``text`` in composed form (NFC), which no built-in function gives."""
     at, names = rows.columns.index("text"), rows.columns
@@ -241,9 +248,7 @@ def read_papers(pages: DataFrame) -> DataFrame:
         "source", "m", F.when(~F.col("grading"), F.filter("entries", lambda x: x["reason"].isNull())).alias("kept"), F.when(~F.col("grading"), F.filter("entries", lambda x: x["reason"].isNotNull())).alias("excluded"),
         F.when(F.col("grading"), F.col("entries")).alias("graded"), warnings.alias("warnings"), "error",
     )
-    path = work_dir(pages.sparkSession, "papers")
-    whole.write.parquet(path)
-    return pages.sparkSession.read.schema(whole.schema).parquet(path)
+    return kept(whole, "papers")
 
 
 def named_exercises(papers: DataFrame) -> DataFrame:
