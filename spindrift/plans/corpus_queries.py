@@ -77,7 +77,9 @@ def _papers(spark: SparkSession, d: str) -> DataFrame:
         have = F.get(n, F.lit(s - 1)) - (F.when(k % 7 == 0, 1).otherwise(0) if s == 2 else F.lit(0))
         parts += [F.lit(title), F.lit("Scrieți pe foaia de examen răspunsul pentru fiecare dintre cerințele următoare."), _items(k, s, have)]
     tail = F.when(k % 17 == 0, "x (cid:77) y")
-    return spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("paper-"), F.lpad(k.cast("string"), 12, "0")).alias("source"), F.concat_ws("\n", *parts, tail).alias("text"))
+    # a paper is hundreds of times its key, so the keys are spread before papers are made of them
+    keys = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    return keys.select(F.concat(F.lit("paper-"), F.lpad(k.cast("string"), 12, "0")).alias("source"), F.concat_ws("\n", *parts, tail).alias("text"))
 
 
 @query(f"WITH {_PAPER} SELECT source, year, document_type, profile, language, session, variant, CASE WHEN profile IS NULL THEN 'profile' ELSE '' END AS missing, CASE WHEN session IS NULL THEN 'exam session is not stated in the PDF' END AS warning FROM p")
@@ -97,9 +99,9 @@ QUERIES["split_items"], SQL["split_items"] = split_sections, SQL["split_sections
 
 @query(f"WITH {_PAPER} SELECT source, len(n) AS n_sections, have[2] AS n_items, CASE WHEN short THEN 'expected ' || n[2] || ' exercises in section II, found ' || have[2] END AS error FROM got WHERE profile IS NOT NULL")
 def check_items(s, d):
-    read = A.normalize_extracted(_papers(s, d).withColumn("m", A.classify_document(F.col("text")))).where("m.profile is not null").select("source", "m.year", "m.profile", "text")
+    known = A.kept(A.normalize_extracted(_papers(s, d).withColumn("m", A.classify_document(F.col("text")))).select("source", "m.year", "m.profile", "text"), "normalized").where("profile is not null")
     size = F.size(A.numbered_items(F.get(A.split_sections(F.col("text"))["sections"], F.lit(1))["body"]))
-    return A.parse(read).join(read.select("source", size.alias("n_items")), "source").select("source", F.lit(3).cast("long").alias("n_sections"), "n_items", "error")
+    return A.parse(known.withColumn("source", F.struct("source", size.alias("n_items")))).select("source.source", F.lit(3).cast("long").alias("n_sections"), "source.n_items", "error")
 
 
 @query(f"WITH {_PAPER} SELECT d.source, section, i AS number, item FROM doc d JOIN err e ON e.k = d.k WHERE e.early IS NULL AND d.r = 1")
