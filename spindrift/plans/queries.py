@@ -14,7 +14,7 @@ from spindrift.operators import novelty as N
 from spindrift.operators import progress as P
 from spindrift.operators import ratelimit as L
 from spindrift.operators import retrieval as R
-from spindrift.plans import corpus_queries
+from spindrift.plans import corpus_queries, record_queries
 from spindrift.sources import io
 from spindrift.streaming import streams
 
@@ -342,7 +342,10 @@ def classify_type(s, d):
     return read(s, d, "documents").select("doc_id", C.classify_type(F.col("text")).alias("kind"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
+    w AS (SELECT doc_id, list_transform(regexp_extract_all(l, '\\p{L}+'), lambda x: CASE WHEN length(x) = 1 THEN 's' ELSE 'l' END) AS w FROM l WHERE regexp_full_match(l, '[ \\t\\n\\x0b\\f\\r]*\\p{L}+([ \\t\\n\\x0b\\f\\r]+\\p{L}+)*:?[ \\t\\n\\x0b\\f\\r]*')),
+    b AS (SELECT DISTINCT doc_id FROM w WHERE len(w) >= 8 AND len(list_filter(w, lambda x: x = 's')) >= 5 AND len(regexp_extract_all(array_to_string(w, ''), 's+')) >= 3)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN b.doc_id IS NOT NULL END AS fragmented FROM documents LEFT JOIN b USING (doc_id)""")
 def fragmented_line(s, d):
     return read(s, d, "documents").select("doc_id", T.fragmented_line(F.col("text")).alias("fragmented"))
 
@@ -500,6 +503,6 @@ def scoped_delete(s, d):
     return io.scoped_delete(read(s, d, "events"), 7)[1]
 
 
-QUERIES |= corpus_queries.QUERIES
-SQL |= corpus_queries.SQL
+QUERIES |= corpus_queries.QUERIES | record_queries.QUERIES
+SQL |= corpus_queries.SQL | record_queries.SQL
 SQL["stream_novelty_guard"] = SQL["novelty_guard"]
