@@ -15,17 +15,19 @@ first group in which a pair meets keeps it.
 Links become components by rounds of hooking to the smallest neighbour and pointer jumping, each
 written to the shared folder; only nodes with links take part.
 
+``near_dedup`` uses the same dealing and discarding with fingerprints of distinct words, and compares whole texts.
+
 No words (null, empty, white space): fingerprint zero, linked like any other. Repeated rows and ids
 stay separate rows of one component; a null doc_id is ignored where the smallest is taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import table, written
@@ -33,6 +35,12 @@ from spindrift.llm.common import table, written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Near copies for ``near_dedup``: shingles of so many words, alike to this degree.
+WORDS = 5
+ALIKE = 0.8
+#: Its fingerprints' seeds, and the bits beyond which a pair is not compared.
+SEEDS = (1, 2, 3, 4)
+LOOSE = 12
 #: Widths of the five blocks, from the lowest bit.
 BLOCKS = [13, 13, 13, 13, 12]
 #: Reference fingerprints: fixed values, sixteen words of the golden-ratio sequence.
@@ -141,9 +149,111 @@ def clusters(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _set_prints(words: list[bytes]) -> list[int]:
+    """Fingerprints of a text's distinct words, one for each of ``SEEDS``; an edited word moves one vote of each."""
+    import numpy as np
+    import xxhash
+
+    own = sorted(set(words))
+    out = []
+    for seed in SEEDS:
+        votes = np.zeros(64, np.int64)
+        for i in range(0, len(own), 8192):
+            h = np.array([xxhash.xxh64_intdigest(w, seed) for w in own[i : i + 8192]], "<u8").view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(_signed(int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0])))
+    return out
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, ``said`` (128-bit digest of the words) and ``prints`` of every row with an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            words = [_words(t) for t in b.column(1).to_pylist()]
+            said = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), said, pa.array([_set_prints(w) for w in words], pa.list_(pa.int64()))], ["doc_id", "said", "prints"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, said binary, prints array<long>")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """A row for each node, seed and pair of blocks, with the pivot distances: what agrees on (s, k, key) meets."""
+    fp = F.col("fp")
+    each = nodes.select(*[c for c in nodes.columns if c != "prints"], F.posexplode("prints").alias("s", "fp"))
+    keys = [F.struct(F.lit(k).alias("k"), F.shiftleft(_block(fp, a), 13).bitwiseOR(_block(fp, b)).alias("key")) for k, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    tabled = each.select("*", *[c.alias(f"t{i}") for i, c in enumerate(_tables(fp))])
+    return tabled.withColumn("g", F.explode(F.array(*keys))).select(*tabled.columns, "g.k", "g.key")
+
+
+def _near(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether no pivot tells two rows apart, and then their fingerprints don't."""
+    at = lambda t, j: F.shiftright(t, 8 * j).bitwiseAND(F.lit(127))
+    apart = F.greatest(*[F.abs(at(x(f"t{i}"), j) - at(y(f"t{i}"), j)) for i in range(len(PIVOTS) // 8) for j in range(8)])
+    return (apart <= LOOSE) & (_distance(x("fp"), y("fp")) <= LOOSE)
+
+
+def resemblance(a: str | None, b: str | None, n: int = WORDS) -> float:
+    """Jaccard similarity of the sets of ``n``-word shingles (of fewer words: the whole sequence)."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        w = _words(text)
+        return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole texts are alike; only texts that some pair names are read twice."""
+    held = written(pairs.distinct(), f"{name}-met")
+    named = held.select(F.col("a").alias("id")).union(held.select(F.col("b").alias("id"))).distinct()
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(named, "id"), f"{name}-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [resemblance(x, y) >= ALIKE for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    first = held.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    both = first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    return written(both.mapInArrow(run, "a long, b long").distinct(), name)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """node (the smallest doc_id of equal word sequences) and root (the smallest of its group of near copies)."""
+    nodes = written(sketches(docs).groupBy("said").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")).select("node", "prints"), "sketches")
+    # every node meets the smallest one of each bucket first, so that large groups join by stars and not by all pairs
+    bucket = Window.partitionBy("s", "k", "key")
+    centred = _buckets(nodes).withColumn("c", F.min(F.struct("node", "fp", "t0", "t1")).over(bucket)).where("c.node < node")
+    star = centred.where(_near(F.col, lambda c: F.col(f"c.{c}"))).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+    linked = _verified(star, docs, "star-links")
+    rooted = nodes.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # then nodes of one bucket that are still apart meet each other
+    split = _buckets(written(rooted, "star-roots")).withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high").drop("low", "high")
+    split = written(split, "open-buckets")
+    x, y = split.alias("x"), split.alias("y")
+    fx, fy = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    met = (fx("s") == fy("s")) & (fx("k") == fy("k")) & (fx("key") == fy("key")) & (fx("node") < fy("node")) & (fx("root") != fy("root"))
+    rest = _verified(x.join(y, met & _near(fx, fy)).select(fx("node").alias("a"), fy("node").alias("b")), docs, "rest-links")
+    return nodes.select("node").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, once. Rows without an id can't be named and stay."""
-    keep = clusters(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """One document of each group of near copies, that with the smallest doc_id, once.
+
+    Near copies have a Jaccard similarity of ``ALIKE`` or more over their sets of ``WORDS``-word shingles, counted on whole
+    texts. Which texts are compared is found by SimHash: four fingerprints of the distinct words, dealt by pairs of
+    blocks and discarded by pivots as above, beyond ``LOOSE`` bits. Texts without words are one group. Rows without an
+    id can't be named and stay; of rows with one id the smallest group counts.
+    """
+    keep = near_groups(docs).where("root = node").select(F.col("node").alias("doc_id")).distinct()
     once = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.union(docs.where("doc_id is null")).select(*docs.columns)
 
