@@ -15,6 +15,8 @@ first group in which a pair meets keeps it.
 Links become components by rounds of hooking to the smallest neighbour and pointer jumping, each
 written to the shared folder; only nodes with links take part.
 
+``near_dedup`` (the pipeline's stage) does not use the fingerprints: it compares sets of five-word shingles.
+
 No words (null, empty, white space): fingerprint zero, linked like any other. Repeated rows and ids
 stay separate rows of one component; a null doc_id is ignored where the smallest is taken.
 """
@@ -25,14 +27,20 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spindrift.llm.common import table, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Words in a shingle of ``near_dedup``, and how many frequent shingles are known to its order.
+WORDS = 5
+COMMON = 300_000
+#: Texts of a shingle that all its others are compared with first.
+CENTRES = 8
 #: Widths of the five blocks, from the lowest bit.
 BLOCKS = [13, 13, 13, 13, 12]
 #: Reference fingerprints: fixed values, sixteen words of the golden-ratio sequence.
@@ -141,11 +149,158 @@ def clusters(docs: DataFrame) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def _mix(a, b):
+    import numpy as np
+
+    x = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+_known: dict[bytes, int] = {}
+
+
+def _shingle_set(words: list[bytes], n: int = WORDS):
+    """Sorted hashes (signed longs) of a text's different shingles; of fewer words the whole sequence is one."""
+    import numpy as np
+    import xxhash
+
+    if len(words) < n:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64).view(np.int64)
+    if len(_known) > 500_000:
+        _known.clear()
+    for w in set(words).difference(_known):
+        _known[w] = xxhash.xxh64_intdigest(w, SEED)
+    w = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    h, m = w[: len(w) - n + 1], len(w) - n + 1
+    for j in range(1, n):
+        h = _mix(h, w[j : j + m])
+    return np.unique(h.view(np.int64))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``said_``, the 64-bit digest of the word sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            said = [_signed(xxhash.xxh3_64_intdigest(b" ".join(_words(t)))) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.int64())], [*b.schema.names, "said_"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("said_", LongType())]))
+
+
+def _common(docs: DataFrame) -> tuple[list[int], list[int]]:
+    """Hashes in order and counts of the shingles met most often in a share of the documents. They only set an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            own = [_shingle_set(_words(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else [], pa.int64())], ["h"])
+
+    every = max(1, min(8, docs.count() // 40_000))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
+    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    pairs = sorted((r["h"], r["count"]) for r in top)
+    return [h for h, _ in pairs], [c for _, c in pairs]
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """node (digest of the words), doc_id, n (shingles) and prefix (the rarest of them) of every different text."""
+    held = docs.sparkSession.sparkContext.broadcast(_common(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        hashes, counts = (np.array(x, np.int64) for x in held.value)
+        for b in batches:
+            said, sizes, first = [], [], []
+            for t in b.column(1).to_pylist():
+                w = _words(t)
+                said.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(w))))
+                h = _shingle_set(w)
+                often = np.zeros(len(h), np.int64)
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    often = np.where(hashes[at] == h, counts[at], 0)
+                sizes.append(len(h))
+                first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+
+
+def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of ``met`` (a row for each shared shingle of two prefixes) that are alike on whole shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [_shingle_set(_words(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
+
+    # what two prefixes share and all that may follow the prefix that ends first: fewer than needed means not alike
+    rest = lambda n: n - (n - F.ceil(n * 4 / 5) + 1)
+    most = F.count("*") + F.greatest(rest(F.first("an")), rest(F.first("bn")))
+    pairs = written(met.groupBy("a", "b").agg(most.alias("most"), F.first("an").alias("an"), F.first("bn").alias("bn")).where("9 * most >= 4 * (an + bn)").select("a", "b", "an", "bn"), f"{name}-met")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = tagged.join(named, (tagged["said_"] == named["node"]) & (tagged["doc_id"] == named["doc_id"])).select("node", "text")
+    sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """node (64-bit digest of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
+    tagged = _tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    nodes = _prefixes(tagged)
+    each = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    # several centres of a shingle, by fixed orders of the texts: where a group is loose, one of them seldom reaches all
+    by = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES // 2)]
+    ends = [f(F.struct(v.alias("v"), "node", "n")) for v in by for f in (F.min, F.max)]
+    shared = each.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n")))).alias("c"), F.count("*").alias("size")).where("size > 1").select("h", "c")
+    dealt = written(each.join(shared, "h"), "prefixes-shared")
+    sized = lambda x, y: (5 * x >= 4 * y) & (5 * y >= 4 * x)
+    # every text meets the centres of each shingle, so that large groups join by stars and not by all pairs
+    low, high = F.least(F.struct("c.node", "c.n"), F.struct("node", "n")), F.greatest(F.struct("c.node", "c.n"), F.struct("node", "n"))
+    drawn = dealt.select("node", "n", F.explode("c").alias("c")).where((F.col("c.node") != F.col("node")) & sized(F.col("c.n"), F.col("n"))).select(low.alias("x"), high.alias("y"))
+    star = drawn.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    linked = _verified(star, nodes, tagged, "star-links")
+    rooted = dealt.select("node", "n", "h").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted, "star-roots")
+    # then texts of one shingle that are still apart meet each other
+    apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
+    split = written(rooted.join(apart, "h"), "open-shingles")
+    x, y = split.alias("x"), split.alias("y")
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n"))
+    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    rest = _verified(pairs, nodes, tagged, "rest-links")
+    return nodes.select("node", "doc_id").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, once. Rows without an id can't be named and stay."""
-    keep = clusters(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies, that with the smallest doc_id (then digest), once.
+
+    Near copies have a Jaccard similarity of 0.8 or more over their sets of five-word shingles (of fewer words: the
+    sequence); groups are their components. Candidates share one of the rarest shingles: in any one order of all
+    shingles, two sets so alike share one among the first n - ceil(0.8 n) + 1, so no pair is lost, and frequent
+    shingles are put last in the order. Every link is verified on the whole sets. Texts without words are one group.
+    Rows without an id can't be named and stay. Rows that share an id are judged each by its words; those with the
+    same words are one document, of which the smallest hash of the text stays.
+    """
+    groups = near_groups(docs)
+    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.node").alias("said_"))
+    named = _tagged(docs.where("doc_id is not null")).withColumn("id_", F.col("doc_id").cast("long"))
+    first = Window.partitionBy("id_", "said_").orderBy(F.xxhash64("text"))
+    once = named.join(keep, ["id_", "said_"], "left_semi").withColumn("place_", F.row_number().over(first)).where("place_ = 1")
+    return once.select(*docs.columns).union(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

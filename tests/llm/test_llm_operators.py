@@ -200,6 +200,38 @@ def test_links_are_all_found(spark):
     assert {r.root for r in simhash.components(chain).collect()} == {0}
 
 
+def test_near_dedup_by_five_word_shingles(spark, monkeypatch):
+    """Equals brute force: links at 0.8 or more and no others, in a large group with centres too, and judges rows of one id by their words."""
+    monkeypatch.setattr(simhash, "CENTRES", 2)
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
+    texts = [" ".join(word() for _ in range(rng.randrange(60, 200))) for _ in range(40)]
+    for i in range(60):  # edits at all degrees, around 0.8 too
+        w = texts[i % 20].split()
+        for _ in range(1 + i % 4):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w).upper() if i % 5 == 0 else " ".join(w))
+    for i in range(40):  # one loose group
+        w = texts[39].split()
+        for _ in range(1 + i % 3):
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    grams = []
+    for t in texts:
+        w = t.lower().split()
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if 5 * len(a & grams[j]) >= 4 * len(a | grams[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    want = sorted({r for r in root})
+    assert 40 < len(want) < 120
+    assert sorted(r.doc_id for r in simhash.near_dedup(documents(spark, list(enumerate(texts)))).collect()) == want
+    two = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0])]
+    assert sorted(r.text for r in simhash.near_dedup(documents(spark, two)).collect()) == sorted(texts[:2])
+
+
 def test_near_dedup_odd_rows(spark):
     kept = simhash.near_dedup(odd(spark))
     assert kept.columns == odd(spark).columns
