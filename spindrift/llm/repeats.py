@@ -232,10 +232,11 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
     once = not docs.groupBy(doc).count().where("count > 1").limit(1).count()
     named = docs.select(doc.alias("doc"), (F.lit(0).cast("long") if once else F.xxhash64(text)).alias("mark"), text.alias("text"))
-    flagged = written(_ordered(named.mapInArrow(_parse, _ROWS)), "phrases")
+    single = named if once else written(named.dropDuplicates(["doc", "mark"]), "single")  # else a repeated row would repeat itself
+    flagged = written(_ordered(single.mapInArrow(_parse, _ROWS)), "phrases")
     texts = named.repartition(partitions(spark), "doc")
     unsure = flagged.where("state = 2").groupBy("doc", "mark").agg(F.collect_set(F.struct("gram", "at", "n", "size")).alias("runs"))
-    opened = texts.join(unsure, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(_open, "key long, said long, doc long, mark long, at long, n long, sure boolean, body binary")
+    opened = (texts if once else single).join(unsure, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(_open, "key long, said long, doc long, mark long, at long, n long, sure boolean, body binary")
     near = opened.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc", "mark", "at")
     found = near.mapInArrow(_compare, "doc long, mark long, at long, n long")
     runs = flagged.where("state = 1").select("doc", "mark", "at", "n").union(found).groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs"))

@@ -353,6 +353,16 @@ def test_repeats_equal_brute_force(spark, monkeypatch, frequent):
     assert got == naive_repeats(texts)
 
 
+def test_repeats_of_repeated_rows(spark):
+    """Rows that repeat an id with the same text get one result; later documents lose what they share with it."""
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, b + c), (3, a + c), (None, c), (None, c)]
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(documents(spark, rows)).collect()))
+    assert [x for x in got if x[0] in (0, 1)] == [(0, 400, 0), (0, 400, 0), (1, 400, 0), (1, 400, 0)]
+    assert [x for x in got if x[0] == 3] == [(3, 800, 800)] and sorted(x[2] for x in got if x[0] == 2) in ([0, 800], [400, 400])
+
+
 def test_repeats_odd_rows(spark):
     rows = repeats.remove_repeats(odd(spark)).collect()
     assert len(rows) == len(ODD) and repeats.remove_repeats(empty(spark)).count() == 0
