@@ -49,13 +49,13 @@ def _terms(word: str) -> list[str]:
 def features(text: str, lexicon: dict[str, tuple[int, int]], totals: tuple[int, int], label: int | None = None) -> list[float]:
     """Features of a text; ``label`` takes the text itself out of the lexicon's counts."""
     import math
+    from bisect import bisect_left
 
     words = _WORD.findall(text.lower())
     n = max(1, len(words))
     less = (label == 1, label == 0)
     hits, kinds, near, strongest, strength = 0, set(), 0, 0.0, 0.0
     you = [i for i, w in enumerate(words) if w in YOU]
-    near_to = {j for i in you for j in range(i - 5, i + 6)} if len(you) < 2000 else set()
     cache: dict[str, float] = {}
     for i, w in enumerate(words):
         odds = cache.get(w)
@@ -70,7 +70,8 @@ def features(text: str, lexicon: dict[str, tuple[int, int]], totals: tuple[int,
         if odds > 2.0:
             hits += 1
             kinds.add(w)
-            near += i in near_to
+            at = bisect_left(you, i - 5)
+            near += at < len(you) and you[at] <= i + 5
             strongest = max(strongest, odds)
             strength += odds
     letters = max(1, sum(map(str.isalpha, text))) if text else 1

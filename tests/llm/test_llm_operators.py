@@ -408,6 +408,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows) and docs.count() == toxicity.op2_toxicity(spark, folder).count()
 
 
+def test_toxicity_near_you_at_any_length():
+    lexicon, at = {"idiot": (50, 0)}, toxicity.FEATURES.index("near_you")
+    for n in (100, 1999, 2000, 3000):
+        words = "you a b c d e f g h i j k idiot l m n o p q r s t".split() * n + ["idiot", "x", "you"]
+        near = {j for i, w in enumerate(words) if w == "you" for j in range(i - 5, i + 6)}
+        want = sum(w == "idiot" and i in near for i, w in enumerate(words))
+        assert want and toxicity.features(" ".join(words), lexicon, (100, 100))[at] == pytest.approx(100.0 * want / len(words))
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
