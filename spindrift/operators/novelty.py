@@ -98,11 +98,17 @@ def copied_test_cases(cases: Column, reference: Column) -> Column:
 
 
 def minhash_candidates(texts: DataFrame, least: float = 0.8, tables: int = 4) -> DataFrame:
-    """Approximate pairs by token Jaccard through MinHash; a pre-filter for very large inputs."""
+    """Approximate pairs by token Jaccard through MinHash; a pre-filter for very large inputs.
+
+    Texts with the same set of tokens, in any order, are one class, named by its smallest id. The pairs are those of the
+    names, and of the name with each other text of its class (similarity 1), so every text linked stays reachable.
+    """
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
-    words = texts.select("id", F.array_distinct(tokens(F.col("text"))).alias("set")).where(F.size("set") > 0).dropDuplicates(["set"])
+    sets = texts.select("id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("set")).where(F.size("set") > 0)
+    words = sets.groupBy("set").agg(F.min("id").alias("id")).select("id", "set")
+    same = sets.withColumnRenamed("id", "b").join(words.withColumnRenamed("id", "a"), "set").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard")).distinct()
     made = HashingTF(inputCol="set", outputCol="features", numFeatures=1 << 18, binary=True).transform(words)
     lsh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=3).fit(made)
     met = lsh.approxSimilarityJoin(made, made, 1 - least, "distance").where("datasetA.id < datasetB.id")
-    return met.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round(1 - F.col("distance"), 9).alias("jaccard"))
+    return met.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.round(1 - F.col("distance"), 9).alias("jaccard")).union(same)

@@ -183,3 +183,25 @@ def test_prompts_leave_out_empty_blocks(spark):
     df = spark.createDataFrame([("t", "c"), ("u", ""), ("v", None)], "topic string, context string")
     got = [r.prompt for r in A.render_prompt(df, "About {topic}.{context}", {"context": " See {context}!"}).collect()]
     assert got == ["About t. See c!", "About u.", "About v."]
+
+
+def test_minhash_recall_and_classes(spark):
+    """Links nearly all that the exact join links; equal token sets in any order, and copies, stay reachable."""
+    import random
+
+    from spindrift.operators import novelty
+
+    rng = random.Random(7)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 80))] for _ in range(60)]
+    texts += [[*t[:-1], f"x{i}"] for i, t in enumerate(texts[:30])] + [t[::-1] for t in texts[:20]] + [list(t) for t in texts[10:40]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+    exact = {(r.candidate_id, r.reference_id) for r in novelty.jaccard_join(df, df, 0.8).collect() if r.candidate_id < r.reference_id}
+    rows = novelty.minhash_candidates(df).collect()
+    root = {i: i for i in range(len(texts))}
+    for r in rows:
+        if r.jaccard == 1.0 and set(texts[r.a]) == set(texts[r.b]):
+            root[r.b] = r.a
+    pairs = {(r.a, r.b) for r in rows}
+    found = [p for p in exact if (x := sorted((root[p[0]], root[p[1]]))) and (x[0] == x[1] or tuple(x) in pairs)]
+    assert len(found) >= 0.95 * len(exact) > 70
+    assert all(root[i] == min(j for j, u in enumerate(texts) if set(u) == set(t)) for i, t in enumerate(texts))
