@@ -204,7 +204,7 @@ def _common(docs: DataFrame) -> tuple[list[int], list[int]]:
             own = [_shingle_set(_words(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else [], pa.int64())], ["h"])
 
-    every = max(1, min(8, docs.count() // 40_000))
+    every = max(1, min(8, docs.count() // 10_000))
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
     top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     pairs = sorted((r["h"], r["count"]) for r in top)
@@ -262,11 +262,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tagged = _tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
     nodes = _prefixes(tagged)
     each = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    often = written(each.groupBy("h").count().where("count > 1").select("h"), "shingles-shared")
+    dealt = written(each.join(often, "h"), "prefixes-met")
     # several centres of a shingle, by fixed orders of the texts: where a group is loose, one of them seldom reaches all
     by = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES // 2)]
     ends = [f(F.struct(v.alias("v"), "node", "n")) for v in by for f in (F.min, F.max)]
-    shared = each.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n")))).alias("c"), F.count("*").alias("size")).where("size > 1").select("h", "c")
-    dealt = written(each.join(shared, "h"), "prefixes-shared")
+    shared = dealt.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n")))).alias("c"))
+    dealt = written(dealt.join(shared, "h"), "prefixes-shared")
     sized = lambda x, y: (5 * x >= 4 * y) & (5 * y >= 4 * x)
     # every text meets the centres of each shingle, so that large groups join by stars and not by all pairs
     low, high = F.least(F.struct("c.node", "c.n"), F.struct("node", "n")), F.greatest(F.struct("c.node", "c.n"), F.struct("node", "n"))
