@@ -34,6 +34,9 @@ NAMES = set(
     "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended widget pager pagination search form hidden".split()
 )
 HEADS = {"header", "heading"}
+#: Names that also stand for content: inside an article they need links or form controls as a second sign.
+UNSURE = set("notice alert banner promotion promo cookie cookies consent popup rail menu navigation toolbar search form share sharing social related recommended widget discussion subscription login respond".split())
+CONTROLS = {"form", "button", "select", "textarea", "input"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 BONUS = {"article": 25, "main": 25, "section": 3, "div": 2, "pre": 2, "td": 1, "blockquote": 1}
 
@@ -44,16 +47,19 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("depth", "head", "links", "parent", "points", "size", "tag")
+    __slots__ = ("controls", "depth", "head", "links", "parent", "points", "size", "suspect", "tag")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.points, self.size, self.links = float(BONUS.get(tag, 0)), 0, 0
         self.depth = parent.depth + 1 if parent else 0
+        self.suspect = self.controls = False
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is not part of an article; ``inside``: it stands in one already, where a heading is its own."""
+def _unwanted(tag: str, attrs: str, inside: bool) -> bool | None:
+    """Whether an element is not part of an article; ``inside``: it stands in one already, where a heading is its own,
+    and a name of which only a word is known, or that has another sense, leaves it open (None)."""
+    unsure = False
     if tag in DROPPED or (tag == "header" and not inside):
         return True
     if not attrs:
@@ -66,9 +72,12 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
             words = set(_WORD.findall(value))
-            if words & NAMES or (not inside and words & HEADS):
+            if not inside and words & (NAMES | HEADS):
                 return True
-    return False
+            if any(own <= NAMES and own - UNSURE for own in (set(_WORD.findall(x)) for x in value.split()) if own):
+                return True
+            unsure |= bool(words & NAMES)
+    return (True if tag == "a" else None) if unsure else False
 
 
 def blocks_of(page: str) -> list[tuple[Node, str, int]]:
@@ -117,11 +126,15 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             if tag == "br":
                 text.append(" ")
                 continue
+            if tag in CONTROLS:
+                for n in path:
+                    n.controls |= n.suspect
             if tag in VOID:
                 if tag == "hr":
                     end_block()
                 continue
-            if _unwanted(tag, m[4], article > 0):
+            unwanted = _unwanted(tag, m[4], article > 0)
+            if unwanted:
                 if tag in BLOCKS or tag in DROPPED:
                     end_block()
                 if not m[4].endswith("/"):
@@ -138,6 +151,7 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             if tag in ("article", "main"):
                 article += 1
             path.append(Node(tag, path[-1]))
+            path[-1].suspect = unwanted is None
         elif any(n.tag == tag for n in path[1:]):
             if tag in BLOCKS:
                 end_block()
@@ -159,8 +173,25 @@ def _density(n: Node) -> float:
     return n.links / n.size if n.size else 0.0
 
 
+def _without_suspects(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that stand in no element of an unsure name that holds form controls or is mostly links."""
+    sums: dict[Node, list[int]] = {}
+    inside = []
+    for block, said, links in found:
+        own, n = [], block
+        while n is not None:
+            if n.suspect:
+                own.append(n)
+                s = sums.setdefault(n, [0, 0])
+                s[0] += len(said)
+                s[1] += links
+            n = n.parent
+        inside.append(own)
+    return [b for b, own in zip(found, inside, strict=True) if not any(n.controls or 2 * sums[n][1] > sums[n][0] for n in own)]
+
+
 def main_text(page: str | None) -> str:
-    found = blocks_of(page or "")
+    found = _without_suspects(blocks_of(page or ""))
     if not found:
         return ""
     lists: dict[Node, int] = {}
@@ -185,9 +216,14 @@ def main_text(page: str | None) -> str:
             n = n.parent
     value = {n: n.points * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: (value[n], n.depth))
+    least = max(10.0, 0.2 * value[best])
+    around: Node | None = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if around is not None and _density(around) < 0.5:
+        best = around  # a whole article, however its parts score
     keep = {best}
     if best.parent is not None:
-        least = max(10.0, 0.2 * value[best])
         for block, said, links in found:
             n = block
             while n is not None and n.parent is not best.parent:

@@ -132,6 +132,17 @@ def test_main_text():
     assert html.main_text(deep) == "deep text"
 
 
+def test_main_text_keeps_whole_articles():
+    for n in (1, 12):  # short and long pages
+        body = "".join(f"<p>{'long text, ' * 50}{i}</p>" for i in range(n))
+        page = f"<div><ul><li><a href=x>elsewhere</a></li></ul></div><article><p>Lead.</p><h3>Part</h3><div>{body}</div><p>End.</p></article>"
+        said = html.main_text(page).split("\n")
+        assert said[:2] == ["Lead.", "Part"] and said[-1] == "End." and len(said) == n + 3
+    parts = '<section id="discussion"><p>We discuss.</p></section><p class="notice">Note this.</p><div id="related-work"><p>Others did.</p></div><p>At <span class="share-price">12</span> a share.</p>'
+    gone = '<div class="related-posts"><ul><li><a href=x>More of it</a></li></ul></div><div class="search"><p>Find</p><input></div><div class="comments"><p>first!</p></div>'
+    assert html.main_text(f"<article><p>Body text.</p>{parts}{gone}</article>") == "Body text.\nWe discuss.\nNote this.\nOthers did.\nAt 12 a share."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a, b</p>"), (1, "u", "<p>a, b</p>"), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(pages).collect()) == [(0, "", 0), (1, "a, b", 4), (1, "a, b", 4)]
