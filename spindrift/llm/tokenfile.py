@@ -8,14 +8,15 @@ Layout of a file (little-endian): the magic, bits of an id, ids of a block, docu
 the bytes of all blocks (unsigned 64-bit each); then the document table (doc_id, null flag,
 first id); then block offsets in bytes from the first block; then the blocks.
 
-One task writes one file of one range of doc_ids, under a name of its own attempt, and then
-moves it to its place, so a task that is run twice leaves one whole file. Files go to the shared
+A task writes files of consecutive doc_ids, each of ``FILE`` ids or little more (a document is never split), so neither a
+file nor what a task holds grows with the data. Each is written under a name of its own attempt and
+then moved to its place, so a task that is run twice leaves whole files. Files go to the shared
 folder through ``pyarrow.fs``, which reaches local and remote stores alike, and are read back by
-Spark's binary file source. A file's documents are a range of the sort, so no file grows with the data:
-the number of ranges does.
+Spark's binary file source. The vocabulary's size is the tokenizer's own; an id beyond it is an error.
 
 A null text is empty: its only id is the end id. Null ids sort first; equal ids follow each other
-by text. An empty table leaves no files and an empty result.
+by text, so repeated rows are written as often as they occur. Other columns are not read. An empty table leaves no files
+and an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from spindrift.llm.common import encoder, partitions, shared_dir, table, written
 
 MAGIC = b"SPNDRFT1"
 BLOCK = 4096
+#: Ids after which a file ends.
+FILE = 1 << 24
 END = 1
-VOCABULARY = 49_408
 
 
 def tokenizer_path() -> str:
@@ -47,38 +49,54 @@ def bits_of(vocabulary: int) -> int:
 
 
 def pack_bits(ids, bits: int) -> bytes:
-    """``ids`` (unsigned) in ``bits`` bits each, least significant bit first, to a whole byte."""
+    """``ids`` (unsigned) in ``bits`` bits each, least significant bit first, to a whole byte: 64 ids make ``bits`` words."""
     import numpy as np
 
-    if bits == 16:
-        return ids.astype("<u2").tobytes()
-    each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(each.reshape(-1), bitorder="little").tobytes()
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"an id of more than {bits} bits")
+    n = -(-len(ids) // 64)
+    whole = np.zeros(n * 64, np.uint64)
+    whole[: len(ids)] = ids
+    rows = whole.reshape(n, 64)
+    out = np.zeros((n, bits), "<u8")
+    for i in range(64):
+        word, at = divmod(i * bits, 64)
+        out[:, word] |= rows[:, i] << np.uint64(at)
+        if at + bits > 64:
+            out[:, word + 1] |= rows[:, i] >> np.uint64(64 - at)
+    return out.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack_bits(data: bytes, n: int, bits: int):
     import numpy as np
 
-    if bits == 16:
-        return np.frombuffer(data, "<u2", n).astype("<u4")
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = flat
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
+    m = -(-n // 64)
+    words = np.frombuffer(bytes(data).ljust(8 * m * bits, b"\0"), "<u8", m * bits).reshape(m, bits)
+    out, mask = np.empty((m, 64), "<u4"), np.uint64((1 << bits) - 1)
+    for i in range(64):
+        word, at = divmod(i * bits, 64)
+        x = words[:, word] >> np.uint64(at)
+        if at + bits > 64:
+            x = x | (words[:, word + 1] << np.uint64(64 - at))
+        out[:, i] = x & mask
+    return out.reshape(-1)[:n]
 
 
 def to_file(doc_ids: list[int | None], ids: list, vocabulary: int) -> bytes:
+    """``ids``: arrays of unsigned ids, one for each document."""
     import numpy as np
 
     bits = bits_of(vocabulary)
     every = np.concatenate(ids) if ids else np.zeros(0, "<u2")
+    if len(every) and int(every.max()) >= vocabulary:
+        raise ValueError("an id beyond the vocabulary")
     first = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("<i8")
-    blocks = [pack_bits(every[i : i + BLOCK], bits) for i in range(0, len(every), BLOCK)]
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype("<i8")
+    body = pack_bits(every, bits)  # a block is a whole number of words, so all are packed as one
+    offsets = np.minimum(np.arange(-(-len(every) // BLOCK) + 1, dtype="<i8") * (BLOCK * bits // 8), len(body))
     names = np.array([d or 0 for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    head = MAGIC + struct.pack("<5Q", bits, BLOCK, len(doc_ids), len(every), int(offsets[-1]))
-    return b"".join([head, names.tobytes(), nulls.tobytes(), first.tobytes(), offsets.tobytes(), *blocks])
+    head = MAGIC + struct.pack("<5Q", bits, BLOCK, len(doc_ids), len(every), len(body))
+    return b"".join([head, names.tobytes(), nulls.tobytes(), first.tobytes(), offsets.tobytes(), body])
 
 
 class TokenFile:
@@ -99,21 +117,21 @@ class TokenFile:
         self.offsets = np.frombuffer(data, "<i8", n_blocks + 1, at)
         self.body = memoryview(data)[at + 8 * (n_blocks + 1) :]
 
-    def ids(self, doc: int):
+    def ids(self, doc: int, upto: int | None = None):
+        """Ids of a document, or of all from ``doc`` to before ``upto``, end to end."""
         import numpy as np
 
-        lo, hi = int(self.first[doc]), int(self.first[doc + 1])
+        lo, hi = int(self.first[doc]), int(self.first[doc + 1 if upto is None else upto])
         if lo == hi:
             return np.zeros(0, "<u4")
-        b0, b1 = lo // self.block, (hi - 1) // self.block
-        parts = [unpack_bits(self.body[self.offsets[b] : self.offsets[b + 1]], min(self.block, self.n_ids - b * self.block), self.bits) for b in range(b0, b1 + 1)]
-        return np.concatenate(parts)[lo - b0 * self.block : hi - b0 * self.block]
+        b0, b1 = lo // self.block, (hi - 1) // self.block + 1
+        n = min(b1 * self.block, self.n_ids) - b0 * self.block
+        return unpack_bits(self.body[self.offsets[b0] : self.offsets[b1]], n, self.bits)[lo - b0 * self.block : hi - b0 * self.block]
 
 
-def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END, vocabulary: int = VOCABULARY) -> DataFrame:
-    """Writes ``docs`` to ``folder``; returns file (in order of doc_id), path, documents and ids."""
+def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END, most: int = FILE) -> DataFrame:
+    """Writes ``docs`` to ``folder``; returns part and file (in order of doc_id), name, documents and ids."""
     tokens = path or tokenizer_path()
-    tail = end.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -123,42 +141,63 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end: int
         enc, at = encoder(tokens, False), TaskContext.get().partitionId()
         names: list[int | None] = []
         ids: list = []
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                names += part.column(0).to_pylist()
-                ids += [np.frombuffer(x + tail, "<u2") for x in enc.encode(part.column(1).to_pylist())]
-        if names:
+        held = made = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, made
             store, root = fs.FileSystem.from_uri(folder)
             store.create_dir(root, recursive=True)
-            final, mine = f"{root}/tokens-{at:08d}.bin", f"{root}/_attempt-{at:08d}-{uuid.uuid4().hex}"
+            name = f"tokens-{at:08d}-{made:08d}.bin"
+            mine = f"{root}/_attempt-{uuid.uuid4().hex}"
             with store.open_output_stream(mine) as out:
-                out.write(to_file(names, ids, vocabulary))
-            store.move(mine, final)
-            row = [[at], [f"tokens-{at:08d}.bin"], [len(names)], [sum(map(len, ids))]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1]), pa.array(row[2], pa.int64()), pa.array(row[3], pa.int64())], ["file", "name", "n_docs", "n_ids"])
+                out.write(to_file(names, ids, enc.vocabulary))
+            store.move(mine, f"{root}/{name}")
+            row = pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([made], pa.int64()), pa.array([name]), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64())], ["part", "file", "name", "n_docs", "n_ids"])
+            names.clear()
+            ids.clear()
+            held, made = 0, made + 1
+            return row
+
+        for b in batches:
+            of, done = b.column(0).to_pylist(), 0
+            for every, n in enc.encode(b.column(1), end):
+                for own in np.split(every, np.cumsum(n)[:-1]):
+                    names.append(of[done])
+                    ids.append(own)
+                    held, done = held + len(own), done + 1
+                    if held >= most:
+                        yield flush()
+        if names:
+            yield flush()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ranged = read.repartitionByRange(4 * partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ranged.mapInArrow(run, "file long, name string, n_docs long, n_ids long")
+    return ranged.mapInArrow(run, "part long, file long, name string, n_docs long, n_ids long")
 
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids (little-endian 32-bit) from the files."""
     spark = files.sparkSession
-    before = files.select("name", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("before"))  # a row for each file
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("m")).withColumn("all", F.lit(0))
+    earlier = parts.select("part", (F.sum("m").over(Window.partitionBy("all").orderBy("part")) - F.col("m")).alias("p"))  # a row for each writing task
+    inside = files.select("part", "name", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("file")) - F.col("n_ids")).alias("f"))
+    before = inside.join(earlier, "part").select("name", (F.col("f") + F.col("p")).alias("before"))
     there = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(folder)
     named = there.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for b in batches:
             for content, base in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 f = TokenFile(content.as_py())
                 for lo in range(0, f.n_docs, 256):
-                    span = range(lo, min(lo + 256, f.n_docs))
-                    ids = [f.ids(i).tobytes() for i in span]
-                    names = [None if f.nulls[i] else int(f.names[i]) for i in span]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([base + int(f.first[i]) for i in span], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+                    hi = min(lo + 256, f.n_docs)
+                    every = f.ids(lo, hi)
+                    offsets = (4 * (f.first[lo : hi + 1] - f.first[lo])).astype(np.int64)
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(every))])
+                    names = pa.array(f.names[lo:hi], pa.int64(), mask=f.nulls[lo:hi].astype(bool))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(base + f.first[lo:hi], pa.int64()), ids.cast(pa.binary())], ["doc_id", "start", "ids"])
 
     return named.join(before, "name").select("content", "before").mapInArrow(run, "doc_id long, start long, ids binary")
 

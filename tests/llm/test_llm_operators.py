@@ -111,13 +111,58 @@ def test_packing_proportions_and_pieces(spark):
     rows = packing.digests(pieces).collect()
     check_pieces(rows, ids, 32)
     assert packing.sequences(pieces).count() == len({r.sequence_id for r in rows})
-    early = [r for r in rows if r.sequence_id < 8]  # two rounds of four sequences
+    early = [r for r in rows if r.sequence_id < 16]  # four rounds of four sequences
     hot = sum(r.length for r in early if r.doc_id % 3 == 0)
-    assert abs(hot / sum(r.length for r in early) - 0.75) < 0.05
+    assert abs(hot - 0.75 * 512) <= 64
     assert packing.pack(empty(spark)).count() == 0
     assert packing.pack(odd(spark)).groupBy("doc_id").count().count() == 9
 
 
+def tokens_of(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids + [packing.END]
+
+
+def played_rounds(lengths, source, credit, length):
+    """Deficit round-robin played round by round over queues of packets: the stream's order of (row, packet)."""
+    waiting = {s: [(r, j, min(length, n - j)) for r, n in lengths if source[r] == s for j in range(0, n, length)] for s in sorted(credit)}
+    deficit, stream, k = dict.fromkeys(waiting, 0.0), [], 0
+    while any(waiting.values()):
+        k += 1
+        for s, queue in waiting.items():
+            served = sum(x[2] for x in stream if source[x[0]] == s)
+            deficit[s] = k * credit[s] - served  # what all rounds so far have credited, less what was served
+            while queue and queue[0][2] <= deficit[s] + 1e-9:
+                deficit[s] -= queue[0][2]
+                stream.append(queue.pop(0))
+    return stream
+
+
+def test_packing_equals_rounds_played_one_by_one(spark):
+    rng = random.Random(12)
+    lengths = [(i, rng.choice([1, 3, 20, 40, 100, 302])) for i in range(150)]
+    source = {i: rng.choice(["a", "a", "a", "b", "tiny" if i % 30 == 0 else "c"]) for i, _ in lengths}
+    credit = {"a": 40.0, "b": 20.5, "c": 3.0, "tiny": 0.25}
+    rows = spark.createDataFrame([(i, source[i], n) for i, n in lengths], "row long, source string, n long")
+    queued = packing.queues(rows, 1).join(spark.createDataFrame(list(credit.items()), "source string, credit double"), "source")
+    order = [r.row for r in queued.orderBy("source", "at").collect()]
+    got = [(r.row, r.start, r.length) for r in packing.placed(queued, 32).orderBy("pos").collect()]
+    assert got == played_rounds(sorted(lengths, key=lambda x: order.index(x[0])), source, credit, 32)
+    at = 0
+    for r in packing.placed(queued, 32).orderBy("pos").collect():
+        assert r.pos == at
+        at += r.length
+
+
+def test_packing_of_sources_without_a_proportion(spark):
+    text = " ".join(["word"] * 302)
+    docs = documents(spark, [(i, text) for i in range(40)]).withColumn("source", F.when(F.col("doc_id") == 7, "unlisted").when(F.col("doc_id") == 8, "small").otherwise("s"))
+    rows = packing.digests(packing.pack(docs, {"s": 1.0, "small": 1e-7})).collect()
+    assert all(sum(r.doc_id == i for r in rows) <= 2 for i in (7, 8)) and sum(r.length for r in rows) == 40 * 303
+    check_pieces(rows, dict.fromkeys(range(40), tokens_of(text)), 1024)
+
+
 # ---- 4 html
 
 
@@ -281,14 +326,25 @@ def test_bit_packing_round_trip(bits):
         assert f.ids(i).tolist() == p.tolist()
 
 
-def test_token_files(spark):
+def test_ids_beyond_the_vocabulary_are_an_error():
+    import numpy as np
+
+    with pytest.raises(ValueError):
+        tokenfile.pack_bits(np.array([5000], np.uint16), 10)
+    with pytest.raises(ValueError):
+        tokenfile.to_file([1], [np.array([1001], np.uint16)], 1001)
+
+
+@pytest.mark.parametrize("most", [1 << 24, 2000])
+def test_token_files(spark, tmp_path, most):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenfile.tokenizer_path())
-    folder = "file:///tmp/spindrift-test-" + hashlib.sha1(os.urandom(8)).hexdigest()
-    rows = [(i, t) for i, t in ODD]
-    files = tokenfile.write_files(odd(spark), folder).persist()
-    files.count()
+    folder = f"file://{tmp_path}/files"
+    rows = [*ODD, *[(100 + i, f"Some {i} text, of words!") for i in range(300)]]
+    docs = odd(spark).select("doc_id", "text", "ids").union(spark.createDataFrame([(i, t, "x") for i, t in rows[len(ODD) :]], "doc_id long, text string, ids string"))
+    files = tokenfile.write_files(docs, folder, most=most).persist()
+    assert sum(r.n_docs for r in files.collect()) == len(rows) and all(r.n_ids < most + 12_100 for r in files.collect())
     got = [(r.doc_id, r.start, bytes(r.ids)) for r in tokenfile.read_files(files, folder).orderBy("start").collect()]
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -296,6 +352,7 @@ def test_token_files(spark):
         want.append((i, at, b"".join(x.to_bytes(4, "little") for x in ids)))
         at += len(ids)
     assert got == want
+    assert tokenfile.write_files(empty(spark), f"{folder}-none").count() == 0
 
 
 # ---- 8 neighbours
