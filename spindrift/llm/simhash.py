@@ -36,9 +36,9 @@ from spindrift.llm.common import table, written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Words in a shingle of ``near_dedup``, and how many frequent shingles are known to its order.
+#: Words in a shingle of ``near_dedup``, and the counters (a power of two) that tell its order which shingles are frequent.
 WORDS = 5
-COMMON = 300_000
+COUNTERS = 16
 #: Texts of a shingle that all its others are compared with first.
 CENTRES = 8
 #: Widths of the five blocks, from the lowest bit.
@@ -194,42 +194,41 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("said_", LongType())]))
 
 
-def _common(docs: DataFrame) -> tuple[list[int], list[int]]:
-    """Hashes in order and counts of the shingles met most often in a share of the documents. They only set an order."""
+def _counts(docs: DataFrame) -> list[int]:
+    """How often shingles are met in all documents, by the first ``COUNTERS`` bits of their hashes. They only set an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        n = np.zeros(1 << COUNTERS, np.int64)
         for b in batches:
-            own = [_shingle_set(_words(t)) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else [], pa.int64())], ["h"])
-
-    every = max(1, min(8, docs.count() // 10_000))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(every)) == 0).select("text").mapInArrow(run, "h long")
-    top = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    pairs = sorted((r["h"], r["count"]) for r in top)
-    return [h for h, _ in pairs], [c for _, c in pairs]
+            for t in b.column(0).to_pylist():
+                np.add.at(n, _shingle_set(_words(t)).view(np.uint64) >> np.uint64(64 - COUNTERS), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
+
+    out = [0] * (1 << COUNTERS)
+    for r in docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # bounded by the counters
+        out[r["slot"]] = r["n"]
+    return out
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """node (digest of the words), doc_id, n (shingles) and prefix (the rarest of them) of every different text."""
-    held = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    """node (digest of the words), doc_id, n (shingles) and prefix (the rarest of them, in the order of all) of every different text."""
+    held = docs.sparkSession.sparkContext.broadcast(_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
 
-        hashes, counts = (np.array(x, np.int64) for x in held.value)
+        counts = np.array(held.value, np.int64)
         for b in batches:
             said, sizes, first = [], [], []
             for t in b.column(1).to_pylist():
                 w = _words(t)
                 said.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(w))))
                 h = _shingle_set(w)
-                often = np.zeros(len(h), np.int64)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    often = np.where(hashes[at] == h, counts[at], 0)
+                often = counts[h.view(np.uint64) >> np.uint64(64 - COUNTERS)]
                 sizes.append(len(h))
                 first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
@@ -239,17 +238,14 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
 
 def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``met`` (a row for each shared shingle of two prefixes) that are alike on whole shingle sets."""
+    """The pairs (a, b, an, bn) of ``met`` that are alike on whole shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [_shingle_set(_words(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
 
-    # what two prefixes share and all that may follow the prefix that ends first: fewer than needed means not alike
-    rest = lambda n: n - (n - F.ceil(n * 4 / 5) + 1)
-    most = F.count("*") + F.greatest(rest(F.first("an")), rest(F.first("bn")))
-    pairs = written(met.groupBy("a", "b").agg(most.alias("most"), F.first("an").alias("an"), F.first("bn").alias("bn")).where("9 * most >= 4 * (an + bn)").select("a", "b", "an", "bn"), f"{name}-met")
+    pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
     texts = tagged.join(named, (tagged["said_"] == named["node"]) & (tagged["doc_id"] == named["doc_id"])).select("node", "text")
     sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
@@ -261,28 +257,33 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """node (64-bit digest of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
     tagged = _tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
     nodes = _prefixes(tagged)
-    each = nodes.select("node", "n", F.explode("prefix").alias("h"))
+    each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     often = written(each.groupBy("h").count().where("count > 1").select("h"), "shingles-shared")
     dealt = written(each.join(often, "h"), "prefixes-met")
     # several centres of a shingle, by fixed orders of the texts: where a group is loose, one of them seldom reaches all
     by = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES // 2)]
-    ends = [f(F.struct(v.alias("v"), "node", "n")) for v in by for f in (F.min, F.max)]
-    shared = dealt.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n")))).alias("c"))
+    ends = [f(F.struct(v.alias("v"), "node", "n", "i")) for v in by for f in (F.min, F.max)]
+    shared = dealt.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n"), e["i"].alias("i")))).alias("c"))
     dealt = written(dealt.join(shared, "h"), "prefixes-shared")
-    sized = lambda x, y: (5 * x >= 4 * y) & (5 * y >= 4 * x)
+
+    def likely(x: str, y: str) -> Column:
+        """Sizes at all alike, and enough shingles left from this one on: the first that two sets share has all others after it."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        left = F.least(n - F.col(f"{x}.i"), m - F.col(f"{y}.i"))
+        return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * left >= 4 * (n + m))
+
     # every text meets the centres of each shingle, so that large groups join by stars and not by all pairs
-    low, high = F.least(F.struct("c.node", "c.n"), F.struct("node", "n")), F.greatest(F.struct("c.node", "c.n"), F.struct("node", "n"))
-    drawn = dealt.select("node", "n", F.explode("c").alias("c")).where((F.col("c.node") != F.col("node")) & sized(F.col("c.n"), F.col("n"))).select(low.alias("x"), high.alias("y"))
-    star = drawn.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    drawn = dealt.select(F.struct("node", "n", "i").alias("t"), F.explode("c").alias("c")).where((F.col("c.node") != F.col("t.node")) & likely("c", "t"))
+    pair = lambda x, y: (F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.n").alias("bn"))
+    star = drawn.select(F.least("c", "t").alias("x"), F.greatest("c", "t").alias("y")).select(*pair("x", "y"))
     linked = _verified(star, nodes, tagged, "star-links")
-    rooted = dealt.select("node", "n", "h").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = dealt.select("node", "n", "i", "h").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "star-roots")
     # then texts of one shingle that are still apart meet each other
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     split = written(rooted.join(apart, "h"), "open-shingles")
-    x, y = split.alias("x"), split.alias("y")
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y")
+    pairs = split.alias("x").join(split.alias("y"), met).select(*pair("x", "y"))
     rest = _verified(pairs, nodes, tagged, "rest-links")
     return nodes.select("node", "doc_id").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -292,8 +293,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Near copies have a Jaccard similarity of 0.8 or more over their sets of five-word shingles (of fewer words: the
     sequence); groups are their components. Candidates share one of the rarest shingles: in any one order of all
-    shingles, two sets so alike share one among the first n - ceil(0.8 n) + 1, so no pair is lost, and frequent
-    shingles are put last in the order. Every link is verified on the whole sets. Texts without words are one group.
+    shingles, two sets so alike share one among the first n - ceil(0.8 n) + 1, so no pair is lost; frequent
+    shingles, by counts over all documents, are put last in the order, and a pair meets only where what
+    follows the shared one can still be enough. Every link is verified on the whole sets. Texts without words are one group.
     Rows without an id can't be named and stay. Rows that share an id are judged each by its words; those with the
     same words are one document, of which the smallest hash of the text stays.
     """
