@@ -7,7 +7,8 @@ task runs. Counts are exploded and all copies are shuffled globally by hash.
 
 The measure of a source is its code points, one a document at least. A null source is the source ''.
 Null ids draw by their text; repeated rows draw alike. A null text is empty. An empty table gives
-an empty one. The columns come out as they went in, with ``copy`` (from 1) where asked for.
+an empty one. The columns come out as they went in, whatever their names, with ``copy`` (from 1; in place of a column
+of that name) where asked for.
 """
 
 from __future__ import annotations
@@ -63,14 +64,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, size: float =
     table_of = written(rates(docs, weights, size), "rates")
     if table_of.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         table_of = F.broadcast(table_of)
-    keyed = docs.withColumn("_key", F.coalesce(F.col("source"), F.lit("")))
-    joined = keyed.join(table_of.select(F.col("source_key").alias("_key"), F.col("cdf").alias("_cdf")), "_key").withColumn("_u", _uniform(seed))
-    counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
-    copies = counted.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    place = F.xxhash64("_u", "_copy", F.lit(seed))
-    shuffled = copies.withColumn("_place", place).repartition(partitions(spark), "_place").sortWithinPartitions("_place")
-    own = [F.col(c) for c in docs.columns if not (with_copy and c == "copy")]
-    return shuffled.select(*own, *([F.col("_copy").alias("copy")] if with_copy else []))
+    asked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source"), F.lit("")).alias("source_key"), _uniform(seed).alias("u"))
+    counted = asked.join(table_of.select("source_key", "cdf"), "source_key").withColumn("n", F.size(F.filter("cdf", lambda c: c < F.col("u"))))
+    copies = counted.where("n > 0").select("row", "u", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    place = F.xxhash64("u", "copy", F.lit(seed))
+    shuffled = copies.select("row", "copy", place.alias("place")).repartition(partitions(spark), "place").sortWithinPartitions("place")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if not (with_copy and c.lower() == "copy")]
+    return shuffled.select(*own, *(["copy"] if with_copy else []))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ or an ablation is a bitwise aggregation of the ledger and never reads a text aga
 
 Nulls, empty texts and texts of white space have no words: all measurements are 0 and
 ``too_few_words`` fails. Rows are independent: repeated rows and repeated or null ids come out
-as often as they went in. Other columns of the input are not read.
+as often as they went in. Other columns of the input are not read, whatever their names; in
+``ledger`` a column with the name of a measurement gives way to it.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def _repeat_words(hashes: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) <= WINDOW, F.lit(0)).otherwise(let(window(h), covered)))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``failure_bits`` and the measurements; nothing is shuffled."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """``row`` (all of a row of ``docs``), the measurements and ``failure_bits``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
@@ -95,25 +96,30 @@ def ledger(docs: DataFrame) -> DataFrame:
         )
 
     of_lines = lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-    out = docs.select(
-        "*",
-        let(words, measures).alias("_w"),
-        let(lines, of_lines).alias("_l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit("!")).cast("long").alias("n_exclamations"),
-        F.regexp_count(text, F.lit("[A-Z][A-Z]+")).cast("long").alias("n_upper_runs"),
-        F.regexp_count(text, F.lit("\\p{L}+")).cast("long").alias("n_letter_runs"),
-    )
-    out = out.select(*[F.col(c) for c in docs.columns if c not in MEASURES], "_w.*", "_l.*", *OF_TEXT)
+    found = docs.select(
+        F.struct("*").alias("row"),
+        let(words, measures).alias("of_words"),
+        let(lines, of_lines).alias("of_lines"),
+        F.struct(
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            F.regexp_count(text, F.lit("!")).cast("long").alias("n_exclamations"),
+            F.regexp_count(text, F.lit("[A-Z][A-Z]+")).cast("long").alias("n_upper_runs"),
+            F.regexp_count(text, F.lit("\\p{L}+")).cast("long").alias("n_letter_runs"),
+        ).alias("of_text"),
+    ).select("row", "of_words.*", "of_lines.*", "of_text.*")
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return out.withColumn("failure_bits", total.cast("long"))
+    return found.withColumn("failure_bits", total.cast("long"))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``failure_bits`` and the measurements; nothing is shuffled."""
+    return _measured(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in MEASURES], *MEASURES)
 
 
-OF_TEXT = ["n_symbols", "n_exclamations", "n_upper_runs", "n_letter_runs"]
-MEASURES = [*OF_TEXT, "failure_bits", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_lines"]
+MEASURES = ["n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", "n_exclamations", "n_upper_runs", "n_letter_runs", "failure_bits"]
 
 
 def kept(policy: Policy) -> Column:
@@ -144,7 +150,7 @@ def ablations(book: DataFrame, policies: list[Policy] = POLICIES) -> DataFrame:
 
 def quality_filter(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """The documents that the policy keeps, with their own columns only."""
-    return ledger(docs).where(kept(policy)).select(*docs.columns)
+    return _measured(docs).where(kept(policy)).select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ endpoint) are only candidates: an interval join inside the document, which is th
 parts at most ``SCOPE`` code points apart, and a weak part is reported only when it links
 to the parts it complements.
 
-The join runs inside the row: a document's parts are two short sorted arrays, so texts are never
+The join runs inside the row as one sweep over the document's sorted parts, so it is as long as they are many, texts are never
 shuffled, a hot source costs nothing, and a lost executor costs only its own rows. A null text
 counts as empty: no spans, and the digest of the empty string. Rows are independent; repeated
-rows and null ids come out as often as they went in.
+rows and null ids come out as often as they went in. Other columns pass unread, whatever their names; in ``scan`` a column
+with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import let, table
 
 SCOPE = 200
+#: Elements of a list, and code points of a text, that are folded together.
+CHUNK = 64
+WINDOW = 8192
 REDACTED = "[SECRET]"
 
 # The patterns of the kinds, in the order of the kinds.
@@ -36,23 +40,53 @@ KINDS = ["assign", "access", "hex", "session", "key", "endpoint"]
 _SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def _listed(rows: Column, state: dict[str, Column], step, kind: str) -> Column:
+    """A fold over ``rows`` that lists elements: ``step`` gives the next state and an element or null.
+
+    A fold copies what it holds at every step, so a list is not grown in one: the state is carried over parts of ``CHUNK`` rows
+    first, and each part then lists its own elements.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    given = lambda a: {k: a[k] for k in state}
+    pack = lambda s: F.struct(*[v.alias(k) for k, v in s.items()])
+
+    def carry(a: Column, part: Column) -> Column:
+        after = F.aggregate(part, a["now"], lambda b, r: pack(step(given(b), r)[0]))
+        return F.struct(after.alias("now"), F.concat(a["starts"], F.array(a["now"])).alias("starts"))
+
+    def listed(part: Column, start: Column) -> Column:
+        def run(a: Column, r: Column) -> Column:
+            after, one = step(given(a["now"]), r)
+            return F.struct(pack(after).alias("now"), F.when(one.isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(one))).alias("out"))
+
+        return F.aggregate(part, F.struct(start.alias("now"), none.alias("out")), run, lambda a: a["out"])
+
+    def whole(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.size(every), F.lit(CHUNK)), lambda i: F.slice(every, i, F.lit(CHUNK)))
+        return F.when(F.size(every) == 0, none).otherwise(let(cut, parts_listed))
+
+    def parts_listed(cut: Column) -> Column:
+        zero = pack(state)
+        starts = F.aggregate(cut, F.struct(zero.alias("now"), F.filter(F.array(zero), lambda x: F.lit(False)).alias("starts")), carry, lambda a: a["starts"])
+        return F.flatten(F.zip_with(cut, starts, listed))
+
+    return let(rows, whole)
+
+
 def _spans(text: Column, kind: int, pattern: str, picky: bool = False, group: int = 0) -> Column:
     """Spans of the matches: a match begins where the gaps and matches before it end."""
-    none = F.array().cast(f"array<{_SPAN}>")
     found = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found(0).alias("hit"), found(group).alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, r: Column) -> Column:
+    def step(a: Column, r: Column) -> tuple[dict[str, Column], Column]:
         start = a["at"] + F.length(r["gap"])
         end = start + F.coalesce(F.length(r["hit"]), F.lit(0))
         good = r["hit"].isNotNull()
         if picky:
             good &= F.coalesce(_keep(kind, r["hit"], r["part"]), F.lit(False))
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return {"at": end}, F.when(good, F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step)["out"]).otherwise(none)
+    return F.when(text.rlike(pattern), _listed(rows, {"at": F.lit(0)}, step, _SPAN)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _keep(kind: int, hit: Column, part: Column) -> Column:
@@ -76,64 +110,83 @@ def parts(text: Column) -> dict[str, Column]:
     }
 
 
-def _linked(weak: Column, *complements: Column) -> Column:
-    """The weak spans that lie in the scope of a span of each complement."""
-    near = lambda w, p: (p["start"] <= w["end"] + SCOPE) & (p["end"] >= w["start"] - SCOPE)
+def _linked(spans: Column) -> Column:
+    """The weak spans of ``spans`` that lie in the scope of what they complement.
 
-    def good(w: Column) -> Column:
-        out = F.lit(True)
-        for c in complements:
-            out &= F.exists(c, lambda p: near(w, p))
-        return out
+    Spans are met in order of where their scope begins, weak ones once more in order of where they end: a weak span is in the
+    scope of a class if the latest end of that class, of all whose scope has begun, is not more than the scope before it.
+    """
+    one_of = lambda s, *names: s["kind"].isin([KINDS.index(n) for n in names])
+    event = lambda s, at, asks: F.struct(at.alias("at"), F.lit(asks).alias("asks"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+    begins = F.transform(spans, lambda s: event(s, s["start"] - SCOPE, 0))
+    asks = F.transform(F.filter(spans, lambda s: s["kind"] >= 3), lambda s: event(s, s["end"], 1))
 
-    return F.filter(weak, good)
+    def step(a: Column, e: Column) -> tuple[dict[str, Column], Column]:
+        known = {"ids": one_of(e, "access", "session"), "keys": one_of(e, "assign", "hex", "key"), "ends": one_of(e, "endpoint")}
+        after = {k: F.when((e["asks"] == 0) & c, F.greatest(a[k], e["end"])).otherwise(a[k]) for k, c in known.items()}
+        near = {k: a[k] >= e["start"] - SCOPE for k in known}
+        good = F.when(one_of(e, "session"), near["keys"] | near["ends"]).when(one_of(e, "key"), near["ids"] | near["ends"]).otherwise(near["ids"] & near["keys"])
+        return after, F.when((e["asks"] == 1) & good, F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["end"].alias("end")))
 
+    never = F.lit(-(2**31) + SCOPE)
+    return _listed(F.array_sort(F.concat(begins, asks)), {"ids": never, "keys": never, "ends": never}, step, _SPAN)
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` (strong spans) and ``spans`` (these and the linked weak ones), each in order."""
-    found = docs.withColumns({f"_{k}": c for k, c in parts(F.col("text")).items()})
-    c = {k: F.col(f"_{k}") for k in KINDS}
-    base = F.concat(c["assign"], c["access"], c["hex"])
 
-    def link(sets: Column) -> Column:
-        ids, keys, ends = sets["ids"], sets["keys"], sets["ends"]
-        return F.concat(
-            _linked(c["session"], F.concat(keys, ends)),
-            _linked(c["key"], F.concat(ids, ends)),
-            _linked(ends, ids, keys),
-        )
-
-    sets = F.struct(
-        F.concat(c["access"], c["session"]).alias("ids"),
-        F.concat(c["assign"], c["hex"], c["key"]).alias("keys"),
-        c["endpoint"].alias("ends"),
-    )
+def _scanned(docs: DataFrame) -> DataFrame:
+    """``row`` (all of a row of ``docs``), ``base`` (strong spans), ``spans`` (these and the linked weak ones), each in order, and counts."""
+    found = docs.select(F.struct("*").alias("row"), F.struct(*[c.alias(k) for k, c in parts(F.col("text")).items()]).alias("found"))
+    c = {k: F.col("found")[k] for k in KINDS}
+    base = F.concat(c["assign"], c["access"], c["hex"])
     weak = F.size(c["session"]) + F.size(c["key"]) + F.size(c["endpoint"]) > 0
-    linked = F.when(weak, let(sets, link)).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    return found.select(*docs.columns, F.array_sort(base).alias("base"), F.array_sort(F.concat(base, linked)).alias("spans"), *[F.size(c[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]])
+    linked = F.when(weak, _linked(F.concat(*[c[k] for k in KINDS]))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return found.select("row", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, linked)).alias("spans"), *[F.size(c[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]])
 
 
-def _written(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+FOUND = ["base", "spans", *[f"n_{k}" for k in KINDS[:3]]]
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``base``, ``spans`` and how many strong spans of each kind there are."""
+    return _scanned(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in FOUND], *FOUND)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every reported span replaced by a mark; overlapping spans become one."""
-    found = scan(docs)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.col("text").substr(a["at"] + 1, s["start"] - a["at"])
-        fresh = (s["start"] >= a["at"]) | (a["at"] == 0)
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.lit(REDACTED))).otherwise(a["out"]).alias("out"))
-
-    clean = lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text")))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(F.aggregate("spans", zero, step), clean))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    """``docs`` with every reported span replaced by a mark, and ``n_chars`` (if there) to fit; overlapping spans become one.
+
+    A text is cut into windows of ``WINDOW`` code points, and each is rewritten with the spans that reach into it.
+    """
+    text = F.col("row")["text"]
+
+    def merge(a: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        """Spans that no span before reaches into, each up to where the next such one begins at the latest."""
+        return {"end": F.greatest(a["end"], s["end"])}, F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["start"] >= a["end"]).alias("fresh"))
+
+    marked = _listed(F.col("spans"), {"end": F.lit(0)}, merge, "struct<start:int,end:int,fresh:boolean>")
+
+    def window(cut: Column, lo: Column, own: Column) -> Column:
+        def step(a: Column, s: Column) -> Column:
+            gap = F.substr(cut, a["at"] - lo + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
+            mark = F.when(s["fresh"] & (s["start"] >= lo), F.lit(REDACTED)).otherwise(F.lit(""))
+            return F.struct(F.greatest(a["at"], F.least(s["end"], lo + WINDOW)).alias("at"), F.concat(a["out"], gap, mark).alias("out"))
+
+        return F.aggregate(own, F.struct(lo.alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(cut, a["at"] - lo + 1, F.lit(WINDOW))))
+
+    def cut(size: int, of: Column) -> Column:
+        """``of`` in parts of ``size`` code points."""
+        return F.transform(F.sequence(F.lit(0), F.length(of) - 1, F.lit(size)), lambda i: F.substr(of, i + 1, F.lit(size)))
+
+    windows = F.flatten(F.transform(cut(128 * WINDOW, text), lambda t: cut(WINDOW, t)))
+    reach = lambda spans, lo: F.filter(spans, lambda s: (s["end"] > lo) & (s["start"] < lo + WINDOW))
+    rewritten = let(marked, lambda m: F.array_join(F.transform(windows, lambda w, j: window(w, j * WINDOW, reach(m, j * WINDOW))), ""))
+    some = F.size("spans") > 0
+    out = _scanned(docs).select("row", some.alias("some"), F.when(some, rewritten).otherwise(text).alias("clean"))
+    fresh = {"text": F.col("clean"), "n_chars": F.when(F.col("some"), F.length("clean").cast("long")).otherwise(F.col("row")["n_chars"].cast("long"))}
+    return out.select(*[fresh.get(c.lower(), F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _written(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

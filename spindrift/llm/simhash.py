@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spindrift.llm.common import table, written
+from spindrift.llm.common import SPACE_RUN, table, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -181,17 +181,10 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``said_``, the 64-bit digest of the word sequence."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            said = [_signed(xxhash.xxh3_64_intdigest(b" ".join(_words(t)))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.int64())], [*b.schema.names, "said_"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("said_", LongType())]))
+def _said(text: Column) -> Column:
+    """The 64-bit digest of the word sequence."""
+    upper = "".join(map(chr, range(65, 91)))
+    return F.xxhash64(F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPACE_RUN, " "), F.lit(" ")))
 
 
 def _counts(docs: DataFrame) -> list[int]:
@@ -219,21 +212,18 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
         counts = np.array(held.value, np.int64)
         for b in batches:
-            said, sizes, first = [], [], []
-            for t in b.column(1).to_pylist():
-                w = _words(t)
-                said.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(w))))
-                h = _shingle_set(w)
+            sizes, first = [], []
+            for t in b.column(2).to_pylist():
+                h = _shingle_set(_words(t))
                 often = counts[h.view(np.uint64) >> np.uint64(64 - COUNTERS)]
                 sizes.append(len(h))
                 first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    rows = docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
     return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
 
 
@@ -247,7 +237,7 @@ def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) ->
 
     pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = tagged.join(named, (tagged["said_"] == named["node"]) & (tagged["doc_id"] == named["doc_id"])).select("node", "text")
+    texts = tagged.join(named, ["node", "doc_id"]).select("node", "text")
     sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name)
@@ -255,7 +245,7 @@ def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) ->
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """node (64-bit digest of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
-    tagged = _tagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
+    tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _said(F.col("text")).alias("node"), "text")
     nodes = _prefixes(tagged)
     each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     often = written(each.groupBy("h").count().where("count > 1").select("h"), "shingles-shared")
@@ -300,11 +290,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     same words are one document, of which the smallest hash of the text stays.
     """
     groups = near_groups(docs)
-    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("id_"), F.col("k.node").alias("said_"))
-    named = _tagged(docs.where("doc_id is not null")).withColumn("id_", F.col("doc_id").cast("long"))
-    first = Window.partitionBy("id_", "said_").orderBy(F.xxhash64("text"))
-    once = named.join(keep, ["id_", "said_"], "left_semi").withColumn("place_", F.row_number().over(first)).where("place_ = 1")
-    return once.select(*docs.columns).union(docs.where("doc_id is null")).select(*docs.columns)
+    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.node").alias("said"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _said(F.col("text")).alias("said"), F.xxhash64("text").alias("h"))
+    first = F.row_number().over(Window.partitionBy("id", "said").orderBy("h"))
+    once = rows.where("id is not null").join(keep, ["id", "said"], "left_semi").withColumn("place", first).where("place = 1")
+    return once.select("row").union(rows.where("id is null").select("row")).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -461,6 +461,65 @@ def test_secrets_spans_and_links(spark):
     assert secrets.redact(odd(spark)).count() == len(ODD) and secrets.scan(empty(spark)).count() == 0
 
 
+def naive_linked(spans):
+    near = lambda w, p: p[0] <= w[2] + secrets.SCOPE and p[2] >= w[0] - secrets.SCOPE
+    hit = lambda w, *kinds: any(near(w, p) for p in spans if p[1] in kinds)
+    good = {3: lambda w: hit(w, 0, 2, 4, 5), 4: lambda w: hit(w, 1, 3, 5), 5: lambda w: hit(w, 1, 3) and hit(w, 0, 2, 4)}
+    return [w for w in spans if w[1] >= 3 and good[w[1]](w)]
+
+
+def test_secret_links_equal_all_pairs(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(60):
+        starts = [rng.randrange(4000) for _ in range(rng.randrange(1, 30))]
+        docs.append((i, [(a, rng.randrange(6), a + rng.choice([8, 40, 500])) for a in starts]))
+    df = spark.createDataFrame(docs, f"id long, spans array<{secrets._SPAN}>")
+    for r in df.select("id", secrets._linked(F.col("spans")).alias("got")).collect():
+        assert sorted(tuple(x) for x in r.got) == sorted(naive_linked(docs[r.id][1]))
+
+
+def naive_redact(text, spans):
+    out, at = [], 0
+    for a, e in sorted((s.start, s.end) for s in spans):
+        if a >= at:
+            out += [text[at:a], secrets.REDACTED]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_many_secrets_in_long_texts(spark):
+    """A hundred thousand spans in a text are found in a sweep, and redaction equals a plain loop."""
+    assert secrets.scan(documents(spark, [(1, "token=abcdefgh " * 100_000)])).collect()[0].n_assign == 100_000
+    rng = random.Random(3)
+    far = "".join("😀x"[rng.randrange(2)] for _ in range(30_000))
+    texts = [(1, "password=hunter22 " * 10_000), (2, (f"AKIA{'A1' * 8} https://a.b token: abcdefgh\n" * 2000)), (3, far + "secret=abcdefgh" + far + f" {'f' * 9000} tail"), (4, "password=token=abcdefgh" + " x" * 5000)]
+    docs = documents(spark, texts)
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert len(spans[1]) == 10_000 and len(spans[2]) == 6000
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
+    for i, t in texts:
+        want = naive_redact(t, spans[i])
+        assert got[i] == (want, len(want) if spans[i] else len(t))
+
+
+CLASHES = ["row", "text_", "n_words", "n_lines", "n_symbols", "n_exclamations", "failure_bits", "of_words", "found", "base", "spans", "n_hex", "clean", "_w", "_assign", "_cdf", "_key", "_n", "cdf", "n", "u", "place", "copy", "source_key", "said_", "id_", "place_", "node", "root", "k"]
+
+
+@pytest.mark.parametrize("stage", ["quality", "near", "secrets", "mixing"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    """Names that operators use inside pass through unread, with their values."""
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"{long} {i} password=hunter22", "en", "s", 7, *[f"{c}{i}" for c in CLASHES]) for i in (1, 20, 300)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", `{c}` string" for c in CLASHES))
+    run = {"quality": quality.quality_filter, "near": simhash.near_dedup, "secrets": secrets.redact, "mixing": lambda d: mixing.mix(d, size=3.0)}[stage]
+    out = run(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASHES)
+    assert secrets.scan(docs).count() == 3 and quality.ledger(docs).count() == 3 and mixing.mix(docs, with_copy=True).columns == [*[c for c in docs.columns if c != "copy"], "copy"]
+
+
 # ---- 2 toxicity
 
 
