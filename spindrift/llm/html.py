@@ -7,15 +7,18 @@ are kept, and their blocks are joined in page order. Parts that by element, role
 are menus, headers, footers, sidebars, notices, adverts, forms, comments or hidden are no part of
 the tree.
 
-One page is one row, so nothing is shuffled. A null html is empty; a page without text gives the empty
+One page is one row, so nothing is shuffled; work is in proportion to its length, however deep or broken it is. A tag that never
+ends is text, and where quotes don't pair up tags end at the next ``>``. A null html is empty; a page without text gives the empty
 string; text without markup is one block; elements left open close where their parent does.
-Repeated rows and null ids come out as often as they went in; other columns are not read.
+Elements left open inside an unwanted part end with the part, and an unwanted part left open ends where a block around it
+does. Repeated rows and null ids come out as often as they went in; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,20 +43,80 @@ CONTROLS = {"form", "button", "select", "textarea", "input"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 BONUS = {"article": 25, "main": 25, "section": 3, "div": 2, "pre": 2, "td": 1, "blockquote": 1}
 
-_RAW = "script|style|noscript|template|textarea|title|svg|iframe"
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|[^<]+|<""", re.S | re.I)
+# Elements whose content is no markup.
+RAW = set("script style noscript template textarea title svg iframe".split())
+_OPEN = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("controls", "depth", "head", "links", "parent", "points", "size", "suspect", "tag")
+    __slots__ = ("bad", "block", "controls", "depth", "inside", "links", "menu", "parent", "points", "size", "suspect", "tag", "top")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent = tag, parent
         self.points, self.size, self.links = float(BONUS.get(tag, 0)), 0, 0
         self.depth = parent.depth + 1 if parent else 0
-        self.suspect = self.controls = False
+        self.block: Node = self if tag in BLOCKS or parent is None else parent.block
+        self.suspect = self.controls = self.bad = self.inside = self.menu = False
+        self.top: Node | None = None
+
+
+def tokens_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """Text (tag empty) and tags (name, whether it ends the element, attributes) of a page, in one pass."""
+    at, n, paired, ends = 0, len(page), True, {}
+    last = page.rfind(">")
+
+    def tag_end(i: int) -> int:
+        """Where the tag that is open at ``i`` ends; -1: nowhere."""
+        nonlocal paired
+        j = i
+        while paired:
+            m = _STOP.search(page, j)
+            if m is None or m[0] == ">":
+                break
+            j = page.find(m[0], m.end()) + 1
+            if not j:
+                paired = False
+        else:
+            return page.find(">", i)
+        if m is None:
+            paired = False
+            return page.find(">", i)
+        return m.start()
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], False, "", ""
+            return
+        if lt > at:
+            yield page[at:lt], False, "", ""
+        at = lt + 1
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _OPEN.match(page, lt)
+        if lt >= last or not (m or page.startswith(("<!", "<?"), lt)):
+            yield "<", False, "", ""
+            continue
+        if m is None:
+            at = page.find(">", lt) + 1
+            continue
+        stop = tag_end(m.end())
+        if stop < 0:
+            yield "<", False, "", ""
+            continue
+        at, tag = stop + 1, m[2].lower()
+        if tag in RAW and not m[1]:
+            if ends.get(tag) != -1:
+                close = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                ends[tag] = -1 if close is None else close.end()
+            at = n if ends[tag] == -1 else ends[tag]
+            continue
+        yield "", m[1] == "/", tag, page[m.end() : stop]
 
 
 def _unwanted(tag: str, attrs: str, inside: bool) -> bool | None:
@@ -80,140 +143,141 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool | None:
     return (True if tag == "a" else None) if unsure else False
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """The blocks of a page in order: element, text, characters of it in links."""
+def blocks_of(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All elements in order, and the blocks of a page: element, text, characters of it in links."""
     root = Node("html", None)
-    path, out = [root], []
+    path, nodes, out = [root], [root], []
+    opened: Counter[str] = Counter()  # of ``path`` without the root
     text: list[str] = []
-    linked = in_link = 0
+    linked = 0
     skip: list[str] = []  # open elements of an unwanted part
-    article = 0
+    skipped: Counter[str] = Counter()
+    pending: list[Node] = []  # open elements of unsure names without controls so far
 
     def end_block() -> None:
         nonlocal linked
         if text:
             said = " ".join(entities.unescape("".join(text)).split())
             if said:
-                block = next(n for n in reversed(path) if n.tag in BLOCKS)
-                out.append((block, said, min(linked, len(said))))
+                out.append((path[-1].block, said, min(linked, len(said))))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        token, tag = m[0], m[3]
-        if tag is None:
-            if token[0] != "<" or token == "<":
-                if not skip:
-                    text.append(token)
-                    if in_link:
-                        linked += len(token)
+    def leave() -> Node:
+        gone = path.pop()
+        opened[gone.tag] -= 1
+        if pending and pending[-1] is gone:
+            pending.pop()
+        return gone
+
+    for said, closing, tag, attrs in tokens_of(page):
+        if not tag:
+            if not skip:
+                text.append(said)
+                if opened["a"]:
+                    linked += len(said)
             continue
-        tag, closing = tag.lower(), m[2] == "/"
         if skip:
             if tag in VOID:
                 continue
             if not closing:
-                if not m[4].endswith("/"):
+                if not attrs.endswith("/"):
                     skip.append(tag)
-            elif tag in skip:
-                while skip.pop() != tag:
-                    pass
-            elif tag in ("body", "html", "article", "main"):
-                skip.clear()
-            if not skip or not closing:
+                    skipped[tag] += 1
                 continue
-        elif not closing:
+            if skipped[tag]:
+                while True:
+                    gone = skip.pop()
+                    skipped[gone] -= 1
+                    if gone == tag:
+                        break
+                continue
+            if tag not in BLOCKS or not opened[tag]:
+                continue
+            skip.clear()  # a block around the unwanted part ends
+            skipped.clear()
+        if not closing:
             if tag == "br":
                 text.append(" ")
                 continue
             if tag in CONTROLS:
-                for n in path:
-                    n.controls |= n.suspect
+                for n in pending:
+                    n.controls = True
+                pending.clear()
             if tag in VOID:
                 if tag == "hr":
                     end_block()
                 continue
-            unwanted = _unwanted(tag, m[4], article > 0)
+            unwanted = _unwanted(tag, attrs, opened["article"] + opened["main"] > 0)
             if unwanted:
                 if tag in BLOCKS or tag in DROPPED:
                     end_block()
-                if not m[4].endswith("/"):
+                if not attrs.endswith("/"):
                     skip.append(tag)
+                    skipped[tag] += 1
                 continue
             if tag in BLOCKS:
                 end_block()
                 shut = {"p"} | CLOSES.get(tag, set())
-                while path[-1].tag in shut or (path[-1].tag not in BLOCKS and len(path) > 1 and any(n.tag in shut for n in path[-4:])):
-                    if path.pop().tag == "a":
-                        in_link = max(0, in_link - 1)
-            if tag == "a":
-                in_link += 1
-            if tag in ("article", "main"):
-                article += 1
+                while len(path) > 1 and path[-1].block.tag in shut:
+                    block = path[-1].block
+                    while leave() is not block:
+                        pass
             path.append(Node(tag, path[-1]))
-            path[-1].suspect = unwanted is None
-        elif any(n.tag == tag for n in path[1:]):
+            opened[tag] += 1
+            nodes.append(path[-1])
+            if unwanted is None:
+                path[-1].suspect = True
+                pending.append(path[-1])
+        elif opened[tag]:
             if tag in BLOCKS:
                 end_block()
-            while True:
-                gone = path.pop().tag
-                if gone == "a":
-                    in_link = max(0, in_link - 1)
-                if gone in ("article", "main"):
-                    article -= 1
-                if gone == tag:
-                    break
+            while leave().tag != tag:
+                pass
         elif tag in BLOCKS:
             end_block()
     end_block()
-    return out
+    return nodes, out
 
 
 def _density(n: Node) -> float:
     return n.links / n.size if n.size else 0.0
 
 
-def _without_suspects(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The blocks that stand in no element of an unsure name that holds form controls or is mostly links."""
-    sums: dict[Node, list[int]] = {}
-    inside = []
+def _measured(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Gives every element the characters, and those in links, of all inside it. A parent stands before its children."""
+    for n in nodes:
+        n.size = n.links = 0
     for block, said, links in found:
-        own, n = [], block
-        while n is not None:
-            if n.suspect:
-                own.append(n)
-                s = sums.setdefault(n, [0, 0])
-                s[0] += len(said)
-                s[1] += links
-            n = n.parent
-        inside.append(own)
-    return [b for b, own in zip(found, inside, strict=True) if not any(n.controls or 2 * sums[n][1] > sums[n][0] for n in own)]
+        block.size += len(said)
+        block.links += links
+    for n in reversed(nodes):
+        if n.parent is not None:
+            n.parent.size += n.size
+            n.parent.links += n.links
 
 
 def main_text(page: str | None) -> str:
-    found = _without_suspects(blocks_of(page or ""))
+    nodes, found = blocks_of(page or "")
+    _measured(nodes, found)
+    for n in nodes:  # what stands in an element of an unsure name that holds controls or is mostly links
+        n.bad = (n.parent is not None and n.parent.bad) or (n.suspect and (n.controls or 2 * n.links > n.size))
+    found = [b for b in found if not b[0].bad]
     if not found:
         return ""
-    lists: dict[Node, int] = {}
+    _measured(nodes, found)
     scored: dict[Node, None] = {}
     for block, said, links in found:
-        n: Node | None = block
-        while n is not None:
-            n.size += len(said)
-            n.links += links
-            n = n.parent
-        if links:
-            lists[block] = lists.get(block, 0) + 1
-        share = 1 - links / len(said)
-        points = (1 + said.count(",") + min(len(said) / 100, 10.0)) * share
-        n = block.parent if block.tag in PARAGRAPHS and block.parent else block
-        level = 0
-        while n is not None:
-            if n.tag in BLOCKS:
-                n.points += points / (1, 2, 6, 9)[min(level, 3)] if level < 4 else 0
+        points = (1 + said.count(",") + min(len(said) / 100, 10.0)) * (1 - links / len(said))
+        n: Node | None = block.parent.block if block.tag in PARAGRAPHS and block.parent else block
+        for share in (1, 2, 6, 9):
+            if n is not None:
+                n.points += points / share
                 scored[n] = None
-                level += 1
-            n = n.parent
+                n = n.parent.block if n.parent else None
+        while n is not None and n not in scored:  # further ancestors get nothing, and are containers all the same
+            scored[n] = None
+            n = n.parent.block if n.parent else None
     value = {n: n.points * (1 - _density(n)) for n in scored}
     best = max(scored, key=lambda n: (value[n], n.depth))
     least = max(10.0, 0.2 * value[best])
@@ -224,26 +288,18 @@ def main_text(page: str | None) -> str:
         best = around  # a whole article, however its parts score
     keep = {best}
     if best.parent is not None:
-        for block, said, links in found:
-            n = block
-            while n is not None and n.parent is not best.parent:
-                n = n.parent
+        for n in nodes:
+            n.top = n if n.parent is best.parent else n.parent.top if n.parent is not None else None
+        for n in {block.top for block, _, _ in found}:
             if n is not None and n is not best and n.tag not in ("li", "td", "th", "tr"):
                 long = n.tag in PARAGRAPHS and _density(n) < 0.25 and (n.size > 80 or n.tag in ("h1", "h2"))
                 if value.get(n, 0.0) >= least or long:
                     keep.add(n)
-    kept: list[str] = []
-    for block, said, _ in found:
-        n, inside, menu = block, False, False
-        while n is not None:
-            if n in keep:
-                inside = True
-                break
-            menu |= n.tag in ("ul", "ol", "table", "div", "section") and _density(n) > 0.8
-            n = n.parent
-        if inside and not menu:
-            kept.append(said)
-    return "\n".join(kept)
+    for n in nodes:
+        n.inside = n in keep or (n.parent is not None and n.parent.inside)
+        lists = n.tag in ("ul", "ol", "table", "div", "section") and _density(n) > 0.8
+        n.menu = n not in keep and (lists or (n.parent is not None and n.parent.menu))
+    return "\n".join(said for block, said, _ in found if block.inside and not block.menu)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -188,9 +188,49 @@ def test_main_text_keeps_whole_articles():
     assert html.main_text(f"<article><p>Body text.</p>{parts}{gone}</article>") == "Body text.\nWe discuss.\nNote this.\nOthers did.\nAt 12 a share."
 
 
+def test_main_text_of_hostile_pages_in_little_time():
+    import time
+
+    n = 100_000
+    pages = ["<div>x" * n, "<a " * n, '<a "' * n, "<p>" * n + "x", "<b>" * n + "<p>x" * 50, "<aside>" * n, "<script>" * n, "<!--" * n, "</div>" * n, "<nav><div>" * n + "</nav>", '<div class="share">' * n + "<input>" * n, "<p>a<b><i><u><s><em>b" * (n // 10)]
+    for page in pages:
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 8, page[:20]
+    assert html.main_text("<div>" * 20_000 + "<p>deep, deep text</p>") == "deep, deep text"
+    assert html.main_text('<p>x <y and "more') == 'x <y and "more' and html.main_text('<p title="a>b">c</p>') == "c"
+
+
+def test_main_text_after_unclosed_parts():
+    assert html.main_text("<div><div><aside>ad</div></div><article><p>Kept, all of it.</p></article>") == "Kept, all of it."
+    assert html.main_text("<article><p>One.<b><i><u><s><em>deep</p><p>Two.</p></article>") == "One.deep\nTwo."
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_main_text_of_pages_made_of_known_parts(seed):
+    """Pages put together from an article and what stands around it: exactly the article's blocks come out."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(["alpha", "béta", "gamma,", "delta", "x&amp;y", "t &lt; u"]) for _ in range(n))
+    blocks = [words(rng.randrange(20, 90)) for _ in range(rng.randrange(4, 12))]
+    marked = [f"<p>{b.replace('delta', '<em>delta</em>')}</p>" if rng.random() < 0.7 else f"<blockquote>{b}</blockquote>" for b in blocks]
+    links = lambda n: "".join(f'<li><a href="/{i}">{words(3)}</a></li>' for i in range(n))
+    rest = [
+        f"<nav><ul>{links(9)}</ul></nav>", f'<div class="sidebar"><p>{words(30)}</p></div>', f"<footer><p>{words(25)}</p></footer>", f'<div id="comments"><p>{words(40)}</p><p>{words(40)}</p></div>',
+        f"<form><p>{words(12)}</p><input name=q></form>", f'<div class="advert">{words(20)}</div>', f"<script>var x = '<p>{words(9)}</p>';</script>", "<!-- <p>no</p> -->", f"<header><h2>{words(4)}</h2></header>",
+    ]
+    rng.shuffle(rest)
+    cut = rng.randrange(len(rest))
+    body = "\n  ".join(marked)
+    wrap = rng.choice(["<article>{}</article>", "<main><div>{}</div></main>", '<div class="content">{}</div>', "<table><tr><td>{}</td></tr></table>"])
+    page = f"<html><body>{''.join(rest[:cut])}{wrap.format(body)}{''.join(rest[cut:])}</body></html>"
+    assert html.main_text(page) == "\n".join(" ".join(b.split()).replace("&amp;", "&").replace("&lt;", "<") for b in blocks)
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a, b</p>"), (1, "u", "<p>a, b</p>"), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html.extract(pages).collect()) == [(0, "", 0), (1, "a, b", 4), (1, "a, b", 4)]
+    clash = pages.withColumns({"text": F.lit("no"), "n_chars": F.lit(-1)})
+    assert {r.text for r in html.extract(clash).collect()} == {"", "a, b"} and html.extract(pages.limit(0)).count() == 0
 
 
 # ---- 5 simhash
