@@ -2,14 +2,17 @@
 
 Fitting uses at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, the first by hash of the id (a bounded
 sample; weights restore the classes' shares). Three steps: a lexicon (words and word
-beginnings that occur far more often in toxic rows, counted in one aggregation), features of the sample (each labelled
+beginnings that occur far more often in toxic rows, and by more than chance, counted in one aggregation; as large as the
+sample makes it), features of the sample (each labelled
 row is left out of the counts that score its own words), boosted trees on three quarters of it and isotonic
-calibration on the rest. Then every document is scored in one pass without a shuffle.
+calibration on the rest, whose steps are joined by straight lines between their middles so that it keeps the order of the
+trees. Then every document is scored in one pass without a shuffle.
 
 Labels come only from rows whose crc32(doc_id as text) mod 4 is not 2; labels, lang, source and doc_id
 are never features. Without labels of both classes the score is the share of toxic labels, or 0.
 A null or empty text has features of zero and is scored like any other. Repeated rows stay as they are; labels of a
-repeated id count once (the largest).
+repeated id count once (the largest), and of its texts the smallest is learned from. Texts are read whole, and other columns not at
+all. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import table, written
+from spindrift.llm.common import partitions, table, written
 
 TOXIC_ROWS = 6_000
 CLEAN_ROWS = 14_000
-#: Terms kept for the lexicon, at least this often in toxic rows and with this ratio of rates.
-TERMS = 20_000
+#: Terms of the lexicon: at least this often in toxic rows, with this ratio of rates, and so many standard errors from equal rates.
 SUPPORT = 2
 RATIO = 8.0
+ERRORS = 2.0
 THRESHOLD = 0.3
 
 # Insults and words of the second person.
@@ -76,7 +79,7 @@ def features(text: str, lexicon: dict[str, tuple[int, int]], totals: tuple[int,
             strength += odds
     letters = max(1, sum(map(str.isalpha, text))) if text else 1
     return [
-        100.0 * hits / n, float(min(hits, 50)), float(min(len(kinds), 50)), strongest, strength / n,
+        100.0 * hits / n, math.log1p(hits), math.log1p(len(kinds)), strongest, strength / n,
         100.0 * sum(w in INSULTS for w in words) / n, 100.0 * near / n, 100.0 * len(you) / n,
         sum(map(str.isupper, text)) / letters, 100.0 * text.count("!") / n, 100.0 * sum(map(text.count, ".,;:?")) / n,
         100.0 * len(_OBSCURED.findall(text)) / n, 100.0 * len(_SPACED.findall(text)) / n, 100.0 * len(_STRETCH.findall(text)) / n,
@@ -105,7 +108,7 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
-    """Terms with their counts of toxic and clean rows (at most ``TERMS``), and the rows of both classes."""
+    """Terms with their counts of toxic and clean rows, and the rows of both classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +123,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, tuple[int, int]], tuple[
     n_toxic, n_clean = int(sums["t"]), int(sums["n"] - sums["t"])
     counts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(run, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     ratio = ((F.col("a") + 0.5) / (n_toxic + 1)) / ((F.col("b") + 0.5) / (n_clean + 1))
-    top = counts.where((F.col("a") >= SUPPORT) & (ratio >= RATIO)).orderBy(F.desc("a"), F.desc(ratio), "term").limit(TERMS).collect()
+    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    top = counts.where((F.col("a") >= SUPPORT) & (ratio >= RATIO) & (F.log(ratio) >= ERRORS * error)).collect()  # of the bounded sample
     return {r["term"]: (int(r["a"]), int(r["b"])) for r in top}, (n_toxic, n_clean)
 
 
@@ -140,6 +144,29 @@ def _featured(rows: DataFrame, lexicon: dict, totals: tuple[int, int], labelled:
     return rows.select("doc_id", "text", *kept[1:]).mapInArrow(run, schema)
 
 
+def middles(bounds: list[float], values: list[float]) -> tuple[list[float], list[float]]:
+    """Middles of the level stretches of an isotonic curve, and their values."""
+    xs, ys = [], []
+    i = 0
+    while i < len(bounds):
+        j = i
+        while j + 1 < len(bounds) and values[j + 1] == values[i]:
+            j += 1
+        xs.append((bounds[i] + bounds[j]) / 2)
+        ys.append(values[i])
+        i = j + 1
+    return xs, ys
+
+
+def on_curve(raw: Column, xs: list[float], ys: list[float]) -> Column:
+    """Straight lines between the points; level beyond them."""
+    points = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(xs, ys, strict=True)])
+    at = F.size(F.filter(points, lambda p: p["x"] <= raw))
+    a, b = F.get(points, F.greatest(at - 1, F.lit(0))), F.get(points, F.least(at, F.lit(len(xs) - 1)))
+    share = F.when(b["x"] > a["x"], (raw - a["x"]) / (b["x"] - a["x"])).otherwise(0.0)
+    return a["y"] + F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * (b["y"] - a["y"])
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id and score of every row of ``docs``."""
     from pyspark.ml.classification import GBTClassifier
@@ -154,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return whole.select("doc_id", F.lit(1.0 if totals[0] else 0.0).alias("score"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"), "weight")
-    fitted = written(_featured(rows.repartition(6), lexicon, totals, True), "sample-features").withColumn("label", F.col("toxic").cast("double"))
+    fitted = written(_featured(rows.repartition(2 * partitions(docs.sparkSession), "text"), lexicon, totals, True), "sample-features").withColumn("label", F.col("toxic").cast("double"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))
     fit, calibrate = fitted.where(part != 0), fitted.where(part == 0)
     if fit.select("label").distinct().count() < 2 or calibrate.select("label").distinct().count() < 2:
@@ -163,8 +190,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rated = lambda x: trees.transform(gather.transform(x)).withColumn("raw", vector_to_array("probability")[1])
     curve = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="score").fit(rated(calibrate).select("raw", "label", "weight"))
     made = rated(_featured(whole, lexicon, totals, False)).drop("features", "rawPrediction", "probability", "prediction")
-    # calibration is flat over long stretches: a small share of the raw value keeps the order
-    return curve.transform(made.select("doc_id", "raw")).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.95 * F.col("score") + 0.05 * F.col("raw"))).alias("score"))
+    xs, ys = middles(list(map(float, curve.boundaries)), list(map(float, curve.predictions)))
+    return made.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), on_curve(F.col("raw"), xs, ys))).alias("score"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

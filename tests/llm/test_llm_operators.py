@@ -584,6 +584,34 @@ def test_toxicity_near_you_at_any_length():
         assert want and toxicity.features(" ".join(words), lexicon, (100, 100))[at] == pytest.approx(100.0 * want / len(words))
 
 
+def test_toxicity_counts_all_hits_and_terms():
+    lexicon, at = {"idiot": (50, 0), **{f"w{i}": (50, 0) for i in range(300)}}, toxicity.FEATURES.index
+    for n in (49, 50, 51, 300):
+        got = toxicity.features(" ".join(f"w{i}" for i in range(n)), lexicon, (100, 100))
+        assert got[at("hits")] == got[at("kinds")] == pytest.approx(math.log1p(n))
+
+
+def test_calibration_lies_on_the_curve(spark):
+    xs, ys = toxicity.middles([0.1, 0.3, 0.4, 0.8, 0.9], [0.0, 0.0, 0.5, 0.5, 1.0])
+    assert (xs, ys) == ([0.2, pytest.approx(0.6), 0.9], [0.0, 0.5, 1.0])
+    rows = spark.createDataFrame([(0.0,), (0.2,), (0.4,), (0.6,), (0.75,), (1.0,)], "raw double")
+    assert [r.s for r in rows.select(toxicity.on_curve(F.col("raw"), xs, ys).alias("s")).collect()] == pytest.approx([0, 0, 0.25, 0.5, 0.75, 1])
+    assert rows.select(toxicity.on_curve(F.col("raw"), [0.5], [0.7]).alias("s")).distinct().collect()[0].s == 0.7
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(1)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(300))
+    rows = [(i, " ".join(word() for _ in range(40)) + (" zorp glim" * (1 + i % 3) if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(4, rows[4][1]), (1000, "calm words " * 30_000 + "zorp glim"), (1001, ""), (1001, None)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)] + [(4, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    got = [(r.doc_id, r.score) for r in toxicity.score(docs, labels).collect()]
+    assert len(got) == len(rows) and len({s for i, s in got if i == 4}) == 1 and len({s for i, s in got if i == 1001}) == 1
+    held = [(s >= 0.3) == (i % 4 == 0) for i, s in got if i < 400 and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(held) / len(held) > 0.95
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(odd(spark), none).collect()} == {0.0}
