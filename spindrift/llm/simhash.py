@@ -236,7 +236,9 @@ def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
 
     pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node")
+    # written, so that its size is known: Spark spares the texts a shuffle while what is asked for is small
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    named = written(asked.join(nodes.select("node", "doc_id"), "node"), f"{name}-named")
     texts = tagged.join(named, ["node", "doc_id"]).select("node", "text")
     sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -248,13 +250,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _said(F.col("text")).alias("node"), "text")
     nodes = _prefixes(tagged)
     each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
-    often = written(each.groupBy("h").count().where("count > 1").select("h"), "shingles-shared")
-    dealt = written(each.join(often, "h"), "prefixes-met")
+    often = F.count("*").over(Window.partitionBy("h"))
+    dealt = written(each.withColumn("often", often).where("often > 1").drop("often"), "prefixes-met")
     # several centres of a shingle, by fixed orders of the texts: where a group is loose, one of them seldom reaches all
     by = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES // 2)]
     ends = [f(F.struct(v.alias("v"), "node", "n", "i")) for v in by for f in (F.min, F.max)]
     shared = dealt.groupBy("h").agg(F.array_distinct(F.transform(F.array(*ends), lambda e: F.struct(e["node"].alias("node"), e["n"].alias("n"), e["i"].alias("i")))).alias("c"))
-    dealt = written(dealt.join(shared, "h"), "prefixes-shared")
+    centres = shared.select("h", F.explode("c").alias("c"))
 
     def likely(x: str, y: str) -> Column:
         """Sizes at all alike, and enough shingles left from this one on: the first that two sets share has all others after it."""
@@ -263,7 +265,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * left >= 4 * (n + m))
 
     # every text meets the centres of each shingle, so that large groups join by stars and not by all pairs
-    drawn = dealt.select(F.struct("node", "n", "i").alias("t"), F.explode("c").alias("c")).where((F.col("c.node") != F.col("t.node")) & likely("c", "t"))
+    drawn = dealt.select("h", F.struct("node", "n", "i").alias("t")).join(centres, "h").where((F.col("c.node") != F.col("t.node")) & likely("c", "t"))
     pair = lambda x, y: (F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.n").alias("bn"))
     star = drawn.select(F.least("c", "t").alias("x"), F.greatest("c", "t").alias("y")).select(*pair("x", "y"))
     linked = _verified(star, nodes, tagged, "star-links")
