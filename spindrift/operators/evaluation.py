@@ -13,6 +13,11 @@ def group_claims(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return hits.select("query_id", "rank", "doc_id", "group_id", "grade", first.alias("claims"))
 
 
+def qrels_join(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Every row of a ranking with its group and grade, null where the document is not labelled for the query."""
+    return ranking.select("query_id", "rank", "doc_id").join(qrels, ["query_id", "doc_id"], "left").select("query_id", "rank", "doc_id", "group_id", "grade")
+
+
 def ranking_metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """recall, mrr, ndcg, raw hits, duplicate hits and matched groups in order, for every query."""
     if k <= 0:

@@ -42,23 +42,30 @@ def containment_join(candidates: DataFrame, references: DataFrame, least: float
     return counted.withColumn("containment", F.round(F.col("shared") / F.col("smaller"), 9)).where(F.col("containment") >= least).drop("smaller")
 
 
-def jaccard_join(candidates: DataFrame, references: DataFrame, least: float = JACCARD) -> DataFrame:
-    """candidate_id, reference_id and jaccard of pairs with token Jaccard of ``least`` or more, by prefix filtering.
+def jaccard_join(candidates: DataFrame, references: DataFrame | None, least: float = JACCARD) -> DataFrame:
+    """candidate_id, reference_id and jaccard of pairs with token Jaccard of ``least`` or more, by prefix and position filtering.
 
     Tokens are ordered rarest first over both sides; two sets that similar share a token among the
-    first n - ceil(least * n) + 1, so only those meet, and the sets are compared on what met.
+    first n - ceil(least * n) + 1, so only those meet, and only where what follows the token in both can
+    still be enough. The sets are compared on what met. Without references, candidates meet each other, the smaller id first.
     """
     side = lambda df, role: df.select(F.lit(role).alias("role"), F.col("id").cast("long").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("set")).where(F.size("set") > 0)
-    sets = side(candidates, 0).union(side(references, 1))
+    sets = side(candidates, 0) if references is None else side(candidates, 0).union(side(references, 1))
     each = sets.select("role", "id", F.size("set").alias("n"), F.explode("set").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("role", "id").orderBy("df", "token"))
     prefix = each.join(rarity, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    a, b = prefix.where("role = 0").alias("a"), prefix.where("role = 1").alias("b")
+    prefix = prefix.select("role", "id", "n", "place", F.xxhash64("token").alias("token"))
+    a, b = prefix.where("role = 0").alias("a"), prefix.where(f"role = {0 if references is None else 1}").alias("b")
+    left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
+    near &= left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    if references is None:
+        near &= F.col("a.id") < F.col("b.id")
     met = a.join(b, near).select(F.col("a.id").alias("candidate_id"), F.col("b.id").alias("reference_id")).distinct()
-    own = sets.where("role = 0").select(F.col("id").alias("candidate_id"), F.col("set").alias("x"))
-    other = sets.where("role = 1").select(F.col("id").alias("reference_id"), F.col("set").alias("y"))
+    coded = sets.select("role", "id", F.transform("set", lambda t: F.xxhash64(t)).alias("set"))
+    own = coded.where("role = 0").select(F.col("id").alias("candidate_id"), F.col("set").alias("x"))
+    other = coded.where(f"role = {0 if references is None else 1}").select(F.col("id").alias("reference_id"), F.col("set").alias("y"))
     both = met.join(own, "candidate_id").join(other, "reference_id").withColumn("common", F.size(F.array_intersect("x", "y")))
     jaccard = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
     return both.select("candidate_id", "reference_id", F.round(jaccard, 9).alias("jaccard")).where(F.col("jaccard") >= least)
@@ -80,6 +87,33 @@ def novelty_join(candidates: DataFrame, references: DataFrame) -> DataFrame:
     return out.withColumn("overall", F.greatest(F.when(F.col("exact"), 1.0).otherwise(0.0), "jaccard", "containment"))
 
 
+def candidate_reference_pairs(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """Each candidate with each reference that was retrieved for its request: both carry request_id."""
+    c = candidates.select("request_id", F.col("id").alias("candidate_id"), F.col("text").alias("candidate"))
+    return c.join(references.select("request_id", F.col("id").alias("reference_id"), F.col("text").alias("reference")), "request_id").drop("request_id")
+
+
+def pair_similarity(pairs: DataFrame, jaccard: float = JACCARD, containment: float = CONTAINMENT) -> DataFrame:
+    """exact, token Jaccard, shingle containment, shared constants, overall and suspicious of given pairs (candidate_id, candidate, reference_id, reference)."""
+    grams = lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
+
+    def sides(w: Column) -> Column:
+        return F.struct(w.alias("w"), F.array_distinct(w).alias("set"), grams(w).alias("grams"))
+
+    once = lambda c: F.transform(F.array(tokens(F.col(c))), sides)[0]
+    x, y = F.col("x"), F.col("y")
+    cut = pairs.select("candidate_id", "reference_id", once("candidate").alias("x"), once("reference").alias("y"))
+    common = F.size(F.array_intersect(x["set"], y["set"]))
+    whole = F.size(x["set"]) + F.size(y["set"]) - common
+    shared, smaller = F.size(F.array_intersect(x["grams"], y["grams"])), F.least(F.size(x["grams"]), F.size(y["grams"]))
+    numbers = F.array_sort(F.filter(F.array_intersect(x["set"], y["set"]), lambda t: t.rlike("^[0-9]+$")))
+    out = cut.select(
+        "candidate_id", "reference_id", ((x["w"] == y["w"]) & (F.size(x["w"]) > 0)).alias("exact"),
+        F.when(whole > 0, F.round(common / whole, 9)).otherwise(0.0).alias("jaccard"), F.when(smaller > 0, F.round(shared / smaller, 9)).otherwise(0.0).alias("containment"), F.array_join(numbers, ",").alias("constants"),
+    )
+    return out.withColumns({"overall": F.greatest("jaccard", "containment"), "suspicious": F.col("exact") | (F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)})
+
+
 def highest_similarity(pairs: DataFrame) -> DataFrame:
     """The best reference of each candidate, ties to the smaller id."""
     best = pairs.groupBy("candidate_id").agg(F.min(F.struct((-F.col("overall")).alias("less"), "reference_id")).alias("b"))

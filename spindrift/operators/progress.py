@@ -7,11 +7,32 @@ from pyspark.sql import functions as F
 
 
 def progress_by_exercise(exercises: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Every exercise of ``exercises`` (exercise_id): count, latest and best score, completed."""
+    """Every (exercise_id, user_id) of ``exercises``: that user's count, latest and best score, completed."""
     newest = F.struct("created_at", "id")
-    made = submissions.groupBy("exercise_id").agg(F.count("*").alias("n"), F.max("score").alias("best_score"), F.max_by("score", newest).alias("latest_score"))
-    met = exercises.select("exercise_id").join(made, "exercise_id", "left")
-    return met.select("exercise_id", F.coalesce("n", F.lit(0)).alias("n_submissions"), "best_score", "latest_score", F.coalesce(F.col("best_score") == 100, F.lit(False)).alias("completed"))
+    keys = ["exercise_id", "user_id"]
+    made = submissions.groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("best_score"), F.max_by("score", newest).alias("latest_score"))
+    met = exercises.select(*keys).join(made, keys, "left")
+    return met.select(*keys, F.coalesce("n", F.lit(0)).alias("n_submissions"), "best_score", "latest_score", F.coalesce(F.col("best_score") == 100, F.lit(False)).alias("completed"))
+
+
+def join_progress(exercises: DataFrame, progress: DataFrame) -> DataFrame:
+    """``exercises`` with the progress (has_submitted, latest_score, n_submissions, completed) of their owner, or its default."""
+    met = exercises.join(progress, ["exercise_id", "user_id"], "left")
+    n = F.coalesce("n_submissions", F.lit(0))
+    return met.select(*exercises.columns, (n > 0).alias("has_submitted"), n.alias("n_submissions"), "latest_score", F.coalesce("completed", F.lit(False)).alias("completed"))
+
+
+def filter_owner(exercises: DataFrame, user: int, exercise: int | None = None) -> DataFrame:
+    """A user's rows, or the one of these with an id."""
+    own = exercises.where(F.col("user_id") == user)
+    return own if exercise is None else own.where(F.col("exercise_id") == exercise)
+
+
+def filter_topic_difficulty(exercises: DataFrame, topic: str = "", difficulty: str = "all") -> DataFrame:
+    """Rows whose topic contains the trimmed words in any case (empty: all) and whose difficulty is the one given (``all``: any)."""
+    wanted = topic.strip().lower()
+    rows = exercises.where(F.contains(F.lower("topic"), F.lit(wanted))) if wanted else exercises
+    return rows if difficulty == "all" else rows.where(F.col("difficulty") == difficulty)
 
 
 def latest_submission(submissions: DataFrame) -> DataFrame:
@@ -30,11 +51,31 @@ def output_match(output: Column, expected: Column, exit_code: Column, timed_out:
     return (exit_code == 0) & ~timed_out & (bare(output) == bare(expected))
 
 
-def score_submission(results: DataFrame) -> DataFrame:
-    """``results`` (submission_id, test_no, passed, error): score, passed, total, status and feedback."""
-    got = results.groupBy("submission_id").agg(F.count_if("passed").alias("n_passed"), F.count("*").alias("n_total"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("test_no"))).alias("feedback"))
-    status = F.when(F.col("feedback").isNotNull() & (F.col("n_passed") == 0), "runtime_error").when(F.col("n_passed") == F.col("n_total"), "passed").when(F.col("n_passed") == 0, "failed").otherwise("partial")
-    return got.select("submission_id", F.bround(100.0 * F.col("n_passed") / F.col("n_total"), 0).cast("int").alias("score"), "n_passed", "n_total", status.alias("status"), F.when(status == "runtime_error", F.col("feedback")).alias("feedback"))
+# What is said of submissions that can't be run or tested.
+EMPTY = "Codul trimis este gol."
+NOT_COMPILED = "Codul nu a putut fi compilat."
+NO_TESTS = "Nu există teste disponibile pentru evaluare."
+
+
+def score_submission(results: DataFrame, submissions: DataFrame | None = None) -> DataFrame:
+    """score, passed, total, status and feedback of submissions from ``results`` (submission_id, test_no, passed, error).
+
+    ``submissions``: submission_id, code and compile_error (null: it compiled). Empty code or an error of the compiler is a
+    compilation_error with no test passed and the total kept; a submission without tests has failed. Without it, those that have results.
+    """
+    got = results.groupBy("submission_id").agg(F.count_if("passed").alias("ok"), F.count("*").alias("n"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("test_no"))).alias("last"))
+    if submissions is None:
+        met = got.withColumn("broken", F.lit(None).cast("string"))
+    else:
+        said = F.trim("compile_error")
+        broken = F.when(F.col("code").rlike("^\\s*$"), F.lit(EMPTY)).when(said.isNotNull(), F.when(said == "", F.lit(NOT_COMPILED)).otherwise(said))
+        met = submissions.select("submission_id", broken.alias("broken")).join(got, "submission_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    ok = F.when(F.col("broken").isNull(), F.coalesce("ok", F.lit(0))).otherwise(0)
+    status = F.when(F.col("broken").isNotNull(), "compilation_error").when(n == 0, "failed").when(F.col("last").isNotNull() & (ok == 0), "runtime_error").when(ok == n, "passed").when(ok == 0, "failed").otherwise("partial")
+    score = F.when(n == 0, 0).otherwise(F.bround(100.0 * ok / F.greatest(n, F.lit(1)), 0).cast("int"))
+    feedback = F.coalesce("broken", F.when(n == 0, F.lit(NO_TESTS)), F.when(status == "runtime_error", F.col("last")))
+    return met.select("submission_id", score.alias("score"), ok.alias("n_passed"), n.alias("n_total"), status.alias("status"), feedback.alias("feedback"))
 
 
 def unlock_solution(exercises: DataFrame, submissions: DataFrame, user: Column) -> DataFrame:

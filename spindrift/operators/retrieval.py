@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the corpus and queries of a block: one block pair is a small matrix product.
-CORPUS_BLOCK = 65_536
-QUERY_BLOCK = 2_048
+CORPUS_BLOCK = 4_096
+QUERY_BLOCK = 512
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, same: str | None = None) -> DataFrame:
@@ -23,7 +23,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, same: str | N
     import numpy as np
 
     n_corpus, n_queries = corpus.count(), queries.count()
-    chunks, blocks = -(-n_corpus // CORPUS_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
+    threads = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, blocks = max(-(-n_corpus // CORPUS_BLOCK), min(threads, n_corpus // 256)) or 1, -(-n_queries // QUERY_BLOCK) or 1
     extra = [same] if same else []
     c = corpus.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("c"), "doc_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
     q = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"), "query_id", F.col("vector").cast("array<double>").alias("vector"), *extra)
@@ -39,9 +40,6 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, same: str | N
         if not qs.num_rows or not cs.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         score = np.round(unit(qs) @ unit(cs).T, 6)
-        if same:
-            a, b = qs[same].to_numpy(), cs[same].to_numpy()
-            score[a[:, None] != b[None, :]] = -np.inf
         kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if score.shape[1] > k else -np.inf
         i, j = np.nonzero((score >= kth) & (score > -np.inf))
         ids, s = cs["doc_id"].to_numpy()[j], score[i, j]
@@ -52,7 +50,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 8, same: str | N
         top = place < k
         return pa.Table.from_arrays([pa.array(qs["query_id"].to_numpy()[i[top]], pa.int64()), pa.array(ids[top], pa.int64()), pa.array(s[top], pa.float64())], names)
 
-    met = q.groupBy("b", "c").cogroup(c.groupBy("b", "c")).applyInArrow(meet, "query_id long, doc_id long, score double")
+    keys = ["b", "c", *extra]  # rows of other values never meet
+    met = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(meet, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -80,7 +79,7 @@ def rerank(ranking: DataFrame, scores: DataFrame, n: int = 5, enabled: bool = Tr
     """The n best of each query by an outside score (query_id, doc_id, score); ids it doesn't know go. Off: the first n."""
     if not enabled:
         return ranking.where(F.col("rank") <= n)
-    met = ranking.drop("score").withColumnRenamed("rank", "old").join(scores, ["query_id", "doc_id"])
+    met = rerank_join(ranking, scores)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "old"))
     return met.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "doc_id", "score")
 
@@ -91,12 +90,36 @@ def _four(score: str) -> Column:
     return F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 10_000).cast("string"), F.lit("."), F.lpad((F.abs(n) % 10_000).cast("string"), 4, "0"))
 
 
+#: Metadata that a chunk may lack, in order.
+OPTIONAL = ["year", "bac_section", "exercise_type", "difficulty"]
+
+
 def context_block(ranking: DataFrame, texts: DataFrame, n: int = 5) -> DataFrame:
-    """query_id and the n best rows rendered in order: ``texts`` has doc_id, source and optional topic."""
+    """query_id and the n best chunks in order, each with its metadata and whole text.
+
+    ``texts``: doc_id, text, source, topic and any of ``OPTIONAL``; what is null is left out."""
     met = ranking.where(F.col("rank") <= n).join(texts, "doc_id")
-    line = F.concat_ws(" | ", F.format_string("[%d]", "rank"), F.concat(F.lit("source: "), F.col("source")), F.concat(F.lit("topic: "), F.col("topic")), F.concat(F.lit("score: "), _four("score")))
-    made = met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("rows"))
-    return made.select("query_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("context"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    pair = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"))
+    known = [pair(c, F.col(c)) for c in OPTIONAL if c in texts.columns]
+    said = F.concat_ws(", ", pair("source", F.col("source")), pair("topic", F.col("topic")), pair("score", _four("score")), *known)
+    numbered = met.select("query_id", place.alias("place"), said.alias("said"), "text")
+    chunk = F.concat_ws("\n", F.format_string("[REFERENCE %d]", "place"), F.concat(F.lit("Metadata: "), F.col("said")), F.lit("Content:"), F.coalesce("text", F.lit("")))
+    made = numbered.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", chunk.alias("chunk")))).alias("rows"))
+    return made.select("query_id", F.array_join(F.transform("rows", lambda r: r["chunk"]), "\n\n").alias("context"))
+
+
+def metadata_filter(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows equal in every given column, before anything is scored; null, empty and zero ask for nothing."""
+    for name, value in wanted.items():
+        if value:
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def rerank_join(ranking: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates that an outside model scored (query_id, doc_id, score), with that score in place of theirs."""
+    return ranking.select("query_id", "doc_id", F.col("rank").alias("old")).join(scores, ["query_id", "doc_id"])
 
 
 def rag_context(queries: DataFrame, blocks: DataFrame, enabled: bool = True) -> DataFrame:

@@ -84,7 +84,9 @@ def vector_topk_filtered(s, d):
     return R.vector_topk(*_vectors(s, d), same="label")
 
 
-QUERIES["metadata_filter"], SQL["metadata_filter"] = vector_topk_filtered, SQL["vector_topk_filtered"]
+@query("SELECT doc_id, source FROM documents WHERE lang = 'de'")
+def metadata_filter(s, d):
+    return R.metadata_filter(read(s, d, "documents"), lang="de", source="").select("doc_id", "source")
 
 
 @query(f"""WITH {_TOP}, n AS (SELECT query_id, count(*) AS n FROM ftop WHERE rank <= 60 GROUP BY 1),
@@ -121,23 +123,37 @@ def rerank(s, d):
     return _reranked(R.vector_topk(*_vectors(s, d)))
 
 
-QUERIES["rerank_join"], SQL["rerank_join"] = rerank, SQL["rerank"]
+@query(f"WITH {_TOP} SELECT query_id, doc_id, rank AS old, round(((doc_id * 7919) % 1000) / 1000.0, 6)::DOUBLE AS score FROM top WHERE rank <= 8 AND doc_id % 3 <> 0")
+def rerank_join(s, d):
+    """Every third document is unknown to the outside model and goes."""
+    top = R.vector_topk(*_vectors(s, d))
+    scores = top.where("doc_id % 3 <> 0").select("query_id", "doc_id", F.round(((F.col("doc_id") * 7919) % 1000) / 1000.0, 6).alias("score"))
+    return R.rerank_join(top, scores)
+
+
+def _chunks(place: str) -> str:
+    meta = f"concat_ws(', ', 'source=src' || doc_id % 7, 'topic=' || e.label, 'score=' || {_FOUR}, 'year=' || (2000 + doc_id % 9), CASE WHEN e.label <> 0 THEN 'difficulty=' || e.label END)"
+    return f"string_agg(concat_ws(chr(10), '[REFERENCE ' || {place} || ']', 'Metadata: ' || {meta}, 'Content:', 'text ' || doc_id), chr(10) || chr(10) ORDER BY rank)"
+
+
+def _texts(c: DataFrame) -> DataFrame:
+    """Chunks of vectors: every text and year from the id, no difficulty for label 0."""
+    k, label = F.col("doc_id"), F.col("label").cast("string")
+    return c.select("doc_id", F.concat(F.lit("text "), k).alias("text"), F.concat(F.lit("src"), k % 7).alias("source"), label.alias("topic"), (2000 + k % 9).alias("year"), F.when(F.col("label") != 0, label).alias("difficulty"))
 
 
-@query(f"""WITH {_TOP} SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src' || doc_id % 7, CASE WHEN e.label <> 0 THEN 'topic: ' || e.label END, 'score: ' || {_FOUR}), chr(10) ORDER BY rank) AS context
-    FROM top JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 5 GROUP BY 1""")
+@query(f"WITH {_TOP} SELECT query_id, {_chunks('rank')} AS context FROM top JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 5 GROUP BY 1")
 def context_block(s, d):
     q, c = _vectors(s, d)
-    texts = c.select("doc_id", F.concat(F.lit("src"), F.col("doc_id") % 7).alias("source"), F.when(F.col("label") != 0, F.col("label").cast("string")).alias("topic"))
-    return R.context_block(R.vector_topk(q, c), texts)
+    return R.context_block(R.vector_topk(q, c), _texts(c))
 
 
-@query(f"""WITH {_TOP} SELECT q.query_id, coalesce(c, '') AS context FROM q LEFT JOIN
-    (SELECT query_id, string_agg(concat_ws(' | ', '[' || rank || ']', 'source: src', 'score: ' || {_FOUR}), chr(10) ORDER BY rank) AS c FROM top WHERE rank <= 5 AND score >= 0.35 AND rank <= 5 AND doc_id <> query_id GROUP BY 1) USING (query_id)""")
+@query(f"""WITH {_TOP}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM top WHERE rank <= 5 AND score >= 0.35 AND doc_id <> query_id)
+    SELECT q.query_id, coalesce(c, '') AS context FROM q LEFT JOIN (SELECT query_id, {_chunks('place')} AS c FROM p JOIN embeddings e ON e.vec_id = doc_id GROUP BY 1) USING (query_id)""")
 def rag_context(s, d):
     q, c = _vectors(s, d)
     good = R.vector_topk(q, c).where("score >= 0.35 and doc_id <> query_id")
-    return R.rag_context(q, R.context_block(good, c.select("doc_id", F.lit("src").alias("source"), F.lit(None).cast("string").alias("topic"))))
+    return R.rag_context(q, R.context_block(good, _texts(c)))
 
 
 @query(f"WITH {_TOP},{_metric_sql('m', 'top', 5)} SELECT query_id, rank, group_id, grade, claims, doc_id FROM mh JOIN top USING (query_id, rank)")
@@ -159,7 +175,10 @@ for _name, _k in (("recall", 8), ("mrr", 5), ("ndcg", 5)):
     QUERIES[f"{_name}_at_k"] = lambda s, d, c=_name, k=_k: _metrics(s, d, k).select("query_id", c)
     SQL[f"{_name}_at_k"] = f"WITH {_TOP},{_metric_sql('m', 'top', _k)} SELECT query_id, {_name} FROM m"
 
-QUERIES["qrels_join"], SQL["qrels_join"] = group_claims, SQL["group_claims"]
+@query(f"WITH {_TOP} SELECT query_id, rank, doc_id, group_id, grade FROM top LEFT JOIN qrels USING (query_id, doc_id) WHERE rank <= 8")
+def qrels_join(s, d):
+    return E.qrels_join(R.vector_topk(*_vectors(s, d)), _qrels(s, d))
+
 
 _AB = f"WITH {_TOP},{_metric_sql('m', 'top', 5)},{_metric_sql('n', 're', 5)}, ab AS (SELECT m.query_id, m.ndcg AS base_ndcg, n.ndcg AS other_ndcg, CASE WHEN n.ndcg - m.ndcg > 1e-9 THEN 'improved' WHEN n.ndcg - m.ndcg < -1e-9 THEN 'degraded' ELSE 'unchanged' END AS outcome FROM m JOIN n USING (query_id))"
 
@@ -251,9 +270,12 @@ nov AS (SELECT candidate_id, reference_id, coalesce(exact, false) AS exact, coal
   FROM (SELECT * FROM cont WHERE containment >= 0.6) FULL JOIN (SELECT * FROM jac WHERE jaccard >= 0.6) USING (candidate_id, reference_id) FULL JOIN ex USING (candidate_id, reference_id))"""
 
 
-@query(f"WITH {_SIM} SELECT candidate_id, reference_id FROM ex")
+@query(f"WITH t AS (SELECT doc_id, array_to_string({_TOK}, ' ') AS said FROM documents), f AS (SELECT said, min(doc_id) AS first FROM t WHERE said <> '' GROUP BY 1) SELECT doc_id AS candidate_id, first AS reference_id FROM t JOIN f USING (said) WHERE doc_id <> first")
 def exact_match(s, d):
-    return N.exact_match(*_sides(s, d))
+    """Documents against the first document of each text: copies are linked to one row and not to each other."""
+    c, _ = _sides(s, d)
+    first = c.withColumn("said", T.normalize_for_similarity(F.col("text"))).groupBy("said").agg(F.min("id").alias("id")).select("id", F.col("said").alias("text"))
+    return N.exact_match(c, first).where("candidate_id <> reference_id")
 
 
 @query(f"WITH {_SIM} SELECT candidate_id, reference_id, containment, shared FROM cont WHERE containment >= 0.6")
@@ -267,7 +289,7 @@ def shingle_containment(s, d):
     SELECT candidate_id, reference_id, round(j, 9) AS jaccard FROM p WHERE j >= 0.6 AND candidate_id < reference_id""")
 def token_jaccard(s, d):
     docs, _ = _sides(s, d)
-    return N.jaccard_join(docs, docs).where("candidate_id < reference_id")
+    return N.jaccard_join(docs, None)
 
 
 @query(f"WITH {_SIM} SELECT * FROM nov")
@@ -275,7 +297,28 @@ def novelty_join(s, d):
     return N.novelty_join(*_sides(s, d))
 
 
-QUERIES["pair_similarity"], SQL["pair_similarity"] = novelty_join, SQL["novelty_join"]
+_ASKED = "SELECT doc_id AS candidate_id, documents.text AS candidate, item_id AS reference_id, benchmark.text AS reference FROM documents JOIN benchmark ON doc_id % 20 = item_id % 20"
+
+
+def _asked(s, d):
+    """Documents and the passages retrieved for their requests: two of forty for each of twenty requests."""
+    c, r = _sides(s, d)
+    return N.candidate_reference_pairs(c.withColumn("request_id", F.col("id") % 20), r.withColumn("request_id", F.col("id") % 20))
+
+
+@query(f"SELECT candidate_id, reference_id, candidate, reference FROM ({_ASKED})")
+def candidate_reference_pairs(s, d):
+    return _asked(s, d)
+
+
+@query(f"""WITH t AS (SELECT candidate_id, reference_id, {_TOK.replace('text', 'candidate')} AS x, {_TOK.replace('text', 'reference')} AS y FROM ({_ASKED})),
+    g AS (SELECT *, list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i+4], ' '))) AS gx, list_distinct(list_transform(range(1, len(y) - 3), lambda i: array_to_string(y[i:i+4], ' '))) AS gy, list_intersect(list_distinct(x), list_distinct(y)) AS c FROM t),
+    m AS (SELECT *, len(list_distinct(x)) + len(list_distinct(y)) - len(c) AS u, least(len(gx), len(gy)) AS l FROM g),
+    r AS (SELECT candidate_id, reference_id, x = y AND len(x) > 0 AS exact, CASE WHEN u > 0 THEN round(len(c) / u, 9) ELSE 0 END::DOUBLE AS jaccard, CASE WHEN l > 0 THEN round(len(list_intersect(gx, gy)) / l, 9) ELSE 0 END::DOUBLE AS containment,
+      array_to_string(list_sort(list_filter(c, lambda t: regexp_full_match(t, '[0-9]+'))), ',') AS constants FROM m)
+    SELECT *, greatest(jaccard, containment) AS overall, exact OR jaccard >= 0.6 OR containment >= 0.6 AS suspicious FROM r""")
+def pair_similarity(s, d):
+    return N.pair_similarity(_asked(s, d))
 
 
 @query(f"WITH {_SIM} SELECT candidate_id, reference_id, overall FROM nov QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY overall DESC, reference_id) = 1")
@@ -310,7 +353,9 @@ def token_set(s, d):
     return read(s, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
-QUERIES["tokens"], SQL["tokens"] = token_set, SQL["token_set"]
+@query(f"SELECT doc_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT doc_id, {_TOK} AS w FROM documents)")
+def tokens(s, d):
+    return read(s, d, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
 
 
 @query(f"WITH {_SIM} SELECT id, count(*) AS n_shingles FROM cs GROUP BY 1")
@@ -389,13 +434,22 @@ def _submissions(s, d):
     return read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("exercise_id"), F.col("o_custkey").alias("user_id"), (F.floor("o_totalprice").cast("long") % 101).cast("int").alias("score"), F.col("o_orderdate").alias("created_at"))
 
 
-@query(f"""WITH {_SUBS}, e AS (SELECT DISTINCT c_custkey AS exercise_id FROM customer), g AS (SELECT exercise_id, count(*) AS n, max(score) AS best, arg_max(score, (created_at, id)) AS latest FROM subs GROUP BY 1)
-    SELECT exercise_id, coalesce(n, 0) AS n_submissions, best AS best_score, latest AS latest_score, coalesce(best = 100, false) AS completed FROM e LEFT JOIN g USING (exercise_id)""")
+_PROG = f"""{_SUBS}, e AS (SELECT c_custkey % 50 AS exercise_id, c_custkey AS user_id FROM customer), g AS (SELECT exercise_id, user_id, count(*) AS n, max(score) AS best, arg_max(score, (created_at, id)) AS latest FROM subs GROUP BY 1, 2)"""
+
+
+def _owned(s, d):
+    return read(s, d, "customer").select((F.col("c_custkey") % 50).alias("exercise_id"), F.col("c_custkey").alias("user_id"))
+
+
+@query(f"WITH {_PROG} SELECT exercise_id, user_id, coalesce(n, 0) AS n_submissions, best AS best_score, latest AS latest_score, coalesce(best = 100, false) AS completed FROM e LEFT JOIN g USING (exercise_id, user_id)")
 def progress_by_exercise(s, d):
-    return P.progress_by_exercise(read(s, d, "customer").select(F.col("c_custkey").alias("exercise_id")).distinct(), _submissions(s, d))
+    return P.progress_by_exercise(_owned(s, d), _submissions(s, d))
 
 
-QUERIES["join_progress"], SQL["join_progress"] = progress_by_exercise, SQL["progress_by_exercise"]
+@query(f"WITH {_PROG} SELECT exercise_id, user_id, n IS NOT NULL AS has_submitted, coalesce(n, 0) AS n_submissions, latest AS latest_score, coalesce(best = 100, false) AS completed FROM e LEFT JOIN g USING (exercise_id, user_id)")
+def join_progress(s, d):
+    own, sub = _owned(s, d), _submissions(s, d)
+    return P.join_progress(own, P.progress_by_exercise(sub.select("exercise_id", "user_id").distinct(), sub))
 
 
 @query(f"WITH {_SUBS} SELECT * FROM subs QUALIFY row_number() OVER (PARTITION BY exercise_id, user_id ORDER BY created_at DESC, id DESC) = 1")
@@ -408,12 +462,17 @@ def list_submissions(s, d):
     return P.list_submissions(_submissions(s, d))
 
 
-@query("""WITH g AS (SELECT l_orderkey AS submission_id, count(*) FILTER (l_linestatus = 'F') AS n_passed, count(*) AS n_total, arg_max('line ' || l_linenumber, l_linenumber) FILTER (l_returnflag = 'R') AS err FROM lineitem GROUP BY 1),
-    st AS (SELECT *, CASE WHEN err IS NOT NULL AND n_passed = 0 THEN 'runtime_error' WHEN n_passed = n_total THEN 'passed' WHEN n_passed = 0 THEN 'failed' ELSE 'partial' END AS status FROM g)
-    SELECT submission_id, round_even(100.0 * n_passed / n_total, 0)::INTEGER AS score, n_passed, n_total, status, CASE WHEN status = 'runtime_error' THEN err END AS feedback FROM st""")
+@query(f"""WITH s AS (SELECT o_orderkey AS submission_id, CASE WHEN o_orderkey % 29 = 0 THEN '{P.EMPTY}' WHEN o_orderkey % 31 = 0 THEN 'error ' || o_orderkey WHEN o_orderkey % 37 = 1 THEN '{P.NOT_COMPILED}' END AS broken FROM orders),
+    g AS (SELECT l_orderkey AS submission_id, count(*) FILTER (l_linestatus = 'F') AS ok, count(*) AS n, arg_max('line ' || l_linenumber, l_linenumber) FILTER (l_returnflag = 'R') AS err FROM lineitem WHERE l_orderkey % 23 <> 0 GROUP BY 1),
+    m AS (SELECT submission_id, broken, err, CASE WHEN broken IS NULL THEN coalesce(ok, 0) ELSE 0 END AS n_passed, coalesce(n, 0) AS n_total FROM s LEFT JOIN g USING (submission_id)),
+    st AS (SELECT *, CASE WHEN broken IS NOT NULL THEN 'compilation_error' WHEN n_total = 0 THEN 'failed' WHEN err IS NOT NULL AND n_passed = 0 THEN 'runtime_error' WHEN n_passed = n_total THEN 'passed' WHEN n_passed = 0 THEN 'failed' ELSE 'partial' END AS status FROM m)
+    SELECT submission_id, CASE WHEN n_total = 0 THEN 0 ELSE round_even(100.0 * n_passed / n_total, 0) END::INTEGER AS score, n_passed, n_total, status,
+      coalesce(broken, CASE WHEN n_total = 0 THEN '{P.NO_TESTS}' WHEN status = 'runtime_error' THEN err END) AS feedback FROM st""")
 def score_submission(s, d):
-    li = read(s, d, "lineitem").select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("test_no"), (F.col("l_linestatus") == "F").alias("passed"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_linenumber"))).alias("error"))
-    return P.score_submission(li)
+    li = read(s, d, "lineitem").where("l_orderkey % 23 <> 0").select(F.col("l_orderkey").alias("submission_id"), F.col("l_linenumber").alias("test_no"), (F.col("l_linestatus") == "F").alias("passed"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("line "), F.col("l_linenumber"))).alias("error"))
+    k = F.col("o_orderkey")
+    subs = read(s, d, "orders").select(k.alias("submission_id"), F.when(k % 29 == 0, " \n").otherwise("int main() {}").alias("code"), F.when(k % 31 == 0, F.concat(F.lit("error "), k)).when(k % 37 == 1, "").alias("compile_error"))
+    return P.score_submission(li, subs)
 
 
 @query(f"""WITH {_SUBS}, e AS (SELECT DISTINCT exercise_id, user_id AS owner FROM subs WHERE score > 50), t AS (SELECT DISTINCT exercise_id, user_id FROM subs WHERE score > 80), a AS (SELECT exercise_id, owner, owner - owner % 3 AS asker FROM e)
@@ -440,13 +499,13 @@ def first_valid_attempt(s, d):
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'a') AND p_size % 2 = 0")
 def filter_topic_difficulty(s, d):
-    p = read(s, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.trim(F.lit(" A "))))).where("p_size % 2 = 0")
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    p = read(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("topic"), F.when(F.col("p_size") % 2 == 0, "easy").otherwise("hard").alias("difficulty"))
+    return P.filter_topic_difficulty(p, " A ", "easy").select("id", F.col("topic").alias("name"))
 
 
-@query(f"WITH {_SUBS} SELECT user_id, count(*) AS n FROM subs GROUP BY 1")
+@query(f"WITH {_SUBS} SELECT * FROM subs WHERE user_id = 7")
 def filter_owner(s, d):
-    return _submissions(s, d).groupBy("user_id").agg(F.count("*").alias("n"))
+    return P.filter_owner(_submissions(s, d), 7)
 
 
 @query(f"WITH {_SUBS} SELECT * FROM subs WHERE exercise_id IN (SELECT s_suppkey FROM supplier)")
@@ -498,7 +557,7 @@ def upsert_vectors(s, d):
     return io.upsert(e.where("version % 2 = 0"), e.where("version % 2 = 1"), ["user_id"])
 
 
-@query("SELECT count(*) FILTER (user_id = 7) AS deleted, count(*) FILTER (user_id <> 7) AS remaining, true AS completed FROM events")
+@query("SELECT count(*) FILTER (user_id = 7) AS inserted, count(*) FILTER (user_id = 7) AS deleted, 0::BIGINT AS remaining, true AS completed FROM events")
 def scoped_delete(s, d):
     return io.scoped_delete(read(s, d, "events"), 7)[1]
 

@@ -12,8 +12,13 @@ from spindrift.operators.corpus import latest
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``). Only a local session has one made where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spindrift-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,7 +60,11 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scoped_delete(rows: DataFrame, user: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of all other users, and one row: deleted, remaining, completed."""
+    """The table without a user's rows, as written, and one row: inserted, deleted, remaining (of that user) and completed."""
     own = F.col("user_id").eqNullSafe(F.lit(user))
-    report = rows.agg(F.count_if(own).alias("deleted"), F.count_if(~own).alias("remaining")).withColumn("completed", F.lit(True))
-    return rows.where(~own), report
+    path = work_dir(rows.sparkSession, "kept-rows")
+    rows.where(~own).write.parquet(path)
+    left = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    counts = rows.agg(F.count_if(own).alias("inserted")).join(left.agg(F.count_if(own).alias("remaining")))  # one row each
+    report = counts.select("inserted", F.greatest(F.lit(0), F.col("inserted") - F.col("remaining")).alias("deleted"), "remaining", (F.col("remaining") == 0).alias("completed"))
+    return left, report
