@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import normalize_for_similarity, tokens
+from spindrift.sources.io import work_dir
 
 SHINGLE = 5
 JACCARD = 0.60
@@ -49,28 +50,36 @@ def jaccard_join(candidates: DataFrame, references: DataFrame | None, least: flo
     first n - ceil(least * n) + 1, so only those meet, and only where what follows the token in both can
     still be enough. The sets are compared on what met. Without references, candidates meet each other, the smaller id first.
     """
-    side = lambda df, role: df.select(F.lit(role).alias("role"), F.col("id").cast("long").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("set")).where(F.size("set") > 0)
-    sets = side(candidates, 0) if references is None else side(candidates, 0).union(side(references, 1))
+    coded = F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.xxhash64(t))
+    threads = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda df, role: df.select(F.lit(role).alias("role"), F.col("id").cast("long").alias("id"), "text").repartition(threads, "id").select("role", "id", coded.alias("set")).where(F.size("set") > 0)
+    sets = _kept(side(candidates, 0) if references is None else side(candidates, 0).union(side(references, 1)), "token-sets")  # tokenized once
     each = sets.select("role", "id", F.size("set").alias("n"), F.explode("set").alias("token"))
     rarity = each.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("role", "id").orderBy("df", "token"))
-    prefix = each.join(rarity, "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    prefix = prefix.select("role", "id", "n", "place", F.xxhash64("token").alias("token"))
+    ranked = each.join(rarity.hint("merge"), "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    prefix = _kept(ranked.select("role", "id", "n", "place", "token"), "token-prefixes")
     a, b = prefix.where("role = 0").alias("a"), prefix.where(f"role = {0 if references is None else 1}").alias("b")
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
     near = (F.col("a.token") == F.col("b.token")) & (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
     near &= left >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-6
     if references is None:
         near &= F.col("a.id") < F.col("b.id")
-    met = a.join(b, near).select(F.col("a.id").alias("candidate_id"), F.col("b.id").alias("reference_id")).distinct()
-    coded = sets.select("role", "id", F.transform("set", lambda t: F.xxhash64(t)).alias("set"))
-    own = coded.where("role = 0").select(F.col("id").alias("candidate_id"), F.col("set").alias("x"))
-    other = coded.where(f"role = {0 if references is None else 1}").select(F.col("id").alias("reference_id"), F.col("set").alias("y"))
+    met = _kept(a.join(b, near).select(F.col("a.id").alias("candidate_id"), F.col("b.id").alias("reference_id")).distinct(), "token-pairs")
+    own = sets.where("role = 0").select(F.col("id").alias("candidate_id"), F.col("set").alias("x"))
+    other = sets.where(f"role = {0 if references is None else 1}").select(F.col("id").alias("reference_id"), F.col("set").alias("y"))
     both = met.join(own, "candidate_id").join(other, "reference_id").withColumn("common", F.size(F.array_intersect("x", "y")))
     jaccard = F.col("common") / (F.size("x") + F.size("y") - F.col("common"))
     return both.select("candidate_id", "reference_id", F.round(jaccard, 9).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: made once, and of a known size."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exact_match(candidates: DataFrame, references: DataFrame) -> DataFrame:
     """Pairs whose normalised texts are equal and not empty."""
     said = lambda df, name: df.select(F.col("id").alias(name), normalize_for_similarity(F.col("text")).alias("said")).where("said <> ''").withColumn("h", F.xxhash64("said"))
