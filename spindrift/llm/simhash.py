@@ -6,9 +6,9 @@ are one node. Every node gets its Hamming distances to a table of reference fing
 ``RADIUS`` in every coordinate, so a pair whose largest coordinate difference is greater is
 discarded, and the rest are verified on the fingerprints themselves.
 
-Which nodes meet at all is also read off pivots: for the pivots "all ones inside block b", five
-blocks, nodes within three bits agree on two whole blocks at least (three bits spoil three
-blocks at most), so the nodes are dealt by the contents of each of the ten pairs of blocks. That is
+Which nodes meet at all is not dealt by pivots, as about half of all pairs lie within three bits of each
+other in the distance to a random one: of five blocks, nodes within three bits agree on two whole blocks at least (three bits
+spoil three blocks at most), so the nodes are dealt by the contents of each of the ten pairs of blocks. That is
 lossless and keeps groups small (25 bits or more of key); no pair meets outside a group. Only the
 first group in which a pair meets keeps it.
 
