@@ -41,6 +41,8 @@ WORDS = 5
 COUNTERS = 16
 #: Texts of a shingle that all its others are compared with first.
 CENTRES = 8
+#: Bytes of text that are hashed together.
+CHUNK = 4 << 20
 #: Widths of the five blocks, from the lowest bit.
 BLOCKS = [13, 13, 13, 13, 12]
 #: Reference fingerprints: fixed values, sixteen words of the golden-ratio sequence.
@@ -156,33 +158,41 @@ def _mix(a, b):
     return x ^ (x >> np.uint64(29))
 
 
-_known: dict[bytes, int] = {}
+def _shingled(texts: pa.Array) -> Iterator[tuple[int, object]]:
+    """For each text: the digest of its word sequence (as ``_said``) and the sorted hashes of its different shingles; of fewer words the sequence is one.
 
-
-def _shingle_set(words: list[bytes], n: int = WORDS):
-    """Sorted hashes (signed longs) of a text's different shingles; of fewer words the whole sequence is one."""
+    A chunk's words are numbered by Arrow, each different one is hashed once, and windows of hashes are mixed with numpy.
+    """
     import numpy as np
+    import pyarrow.compute as pc
     import xxhash
 
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64).view(np.int64)
-    if len(_known) > 500_000:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh64_intdigest(w, SEED)
-    w = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    h, m = w[: len(w) - n + 1], len(w) - n + 1
-    for j in range(1, n):
-        h = _mix(h, w[j : j + m])
-    return np.unique(h.view(np.int64))
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def digests(of: pa.Array):
+        return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in of.cast(pa.binary()).to_pylist()), np.uint64, len(of))
+
+    texts = pc.fill_null(texts, "")
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo))))
+        said = digests(pc.binary_join(lists, " "))
+        named = pc.list_flatten(lists).dictionary_encode()
+        h = digests(named.dictionary)[named.indices.to_numpy()]
+        w = h
+        for j in range(1, WORDS):
+            h = _mix(h[: len(w) - j], w[j:])
+        many = pc.list_value_length(lists).to_numpy()
+        for d, at, n in zip(said, (np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
+            own = np.sort((h[at : at + n - WORDS + 1] if n >= WORDS else d.reshape(1)).view(np.int64))
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            yield int(d.view(np.int64)), own[new]
+        lo = hi
 
 
 def _said(text: Column) -> Column:
-    """The 64-bit digest of the word sequence."""
+    """The 64-bit digest of the word sequence (XXH64 under ``SEED``, which is Spark's own seed)."""
     upper = "".join(map(chr, range(65, 91)))
     return F.xxhash64(F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPACE_RUN, " "), F.lit(" ")))
 
@@ -195,8 +205,8 @@ def _counts(docs: DataFrame) -> list[int]:
 
         n = np.zeros(1 << COUNTERS, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                np.add.at(n, _shingle_set(_words(t)).view(np.uint64) >> np.uint64(64 - COUNTERS), 1)
+            for _, h in _shingled(b.column(0)):
+                np.add.at(n, h.view(np.uint64) >> np.uint64(64 - COUNTERS), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
 
@@ -215,31 +225,32 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
         counts = np.array(held.value, np.int64)
         for b in batches:
-            sizes, first = [], []
-            for t in b.column(2).to_pylist():
-                h = _shingle_set(_words(t))
+            nodes, sizes, first = [], [], []
+            for said, h in _shingled(b.column(1)):
+                nodes.append(said)
                 often = counts[h.view(np.uint64) >> np.uint64(64 - COUNTERS)]
                 sizes.append(len(h))
                 first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
 
-    rows = docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
     return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
 
 
-def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) -> DataFrame:
+def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b, an, bn) of ``met`` that are alike on whole shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [_shingle_set(_words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
+            # rows that share the id but not the words are passed over
+            own = [(x, h) for x, (said, h) in zip(b.column(0).to_pylist(), _shingled(b.column(1)), strict=True) if x == said]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([h for _, h in own], pa.list_(pa.int64()))], ["node", "set"])
 
     pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
     # written, so that its size is known: Spark spares the texts a shuffle while what is asked for is small
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     named = written(asked.join(nodes.select("node", "doc_id"), "node"), f"{name}-named")
-    texts = tagged.join(named, ["node", "doc_id"]).select("node", "text")
+    texts = docs.join(named, "doc_id").select("node", "text")
     sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name)
@@ -247,8 +258,8 @@ def _verified(met: DataFrame, nodes: DataFrame, tagged: DataFrame, name: str) ->
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """node (64-bit digest of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
-    tagged = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _said(F.col("text")).alias("node"), "text")
-    nodes = _prefixes(tagged)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    nodes = _prefixes(texts)
     each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     often = F.count("*").over(Window.partitionBy("h"))
     dealt = written(each.withColumn("often", often).where("often > 1").drop("often"), "prefixes-met")
@@ -268,7 +279,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     drawn = dealt.select("h", F.struct("node", "n", "i").alias("t")).join(centres, "h").where((F.col("c.node") != F.col("t.node")) & likely("c", "t"))
     pair = lambda x, y: (F.col(f"{x}.node").alias("a"), F.col(f"{y}.node").alias("b"), F.col(f"{x}.n").alias("an"), F.col(f"{y}.n").alias("bn"))
     star = drawn.select(F.least("c", "t").alias("x"), F.greatest("c", "t").alias("y")).select(*pair("x", "y"))
-    linked = _verified(star, nodes, tagged, "star-links")
+    linked = _verified(star, nodes, texts, "star-links")
     rooted = dealt.select("node", "n", "i", "h").join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = written(rooted, "star-roots")
     # then texts of one shingle that are still apart meet each other
@@ -276,7 +287,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     split = written(rooted.join(apart, "h"), "open-shingles")
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y")
     pairs = split.alias("x").join(split.alias("y"), met).select(*pair("x", "y"))
-    rest = _verified(pairs, nodes, tagged, "rest-links")
+    rest = _verified(pairs, nodes, texts, "rest-links")
     return nodes.select("node", "doc_id").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -293,10 +304,14 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     groups = near_groups(docs)
     keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.node").alias("said"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _said(F.col("text")).alias("said"), F.xxhash64("text").alias("h"))
-    first = F.row_number().over(Window.partitionBy("id", "said").orderBy("h"))
-    once = rows.where("id is not null").join(keep, ["id", "said"], "left_semi").withColumn("place", first).where("place = 1")
-    return once.select("row").union(rows.where("id is null").select("row")).select("row.*")
+    keep = written(keep, "kept")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    shared = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "shared-ids")
+    # an id of one row tells its words; only rows that share theirs are told apart by words, and by text
+    alone = rows.where("id is not null").join(shared, "id", "left_anti").join(keep, "id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("id", "said").orderBy(F.xxhash64("text"), "text"))
+    several = rows.join(shared, "id", "left_semi").withColumn("said", _said(F.col("text"))).join(keep, ["id", "said"], "left_semi").withColumn("place", first).where("place = 1")
+    return alone.select("row").union(several.select("row")).union(rows.where("id is null").select("row")).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
