@@ -41,6 +41,8 @@ WORDS = 5
 COUNTERS = 16
 #: Texts of a shingle that all its others are compared with first.
 CENTRES = 8
+#: Longs of the bits that bound how many shingles two sets don't share.
+SIGNS = 4
 #: Bytes of text that are hashed together.
 CHUNK = 4 << 20
 #: Widths of the five blocks, from the lowest bit.
@@ -217,24 +219,28 @@ def _counts(docs: DataFrame) -> list[int]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """node (digest of the words), doc_id, n (shingles) and prefix (the rarest of them, in the order of all) of every different text."""
+    """node (digest of the words), doc_id, n (shingles), prefix (the rarest of them, in the order of all) and s0.. (which
+    slots hold an odd number of them, a bit for each) of every different text."""
     held = docs.sparkSession.sparkContext.broadcast(_counts(docs))
+    names = [f"s{i}" for i in range(SIGNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         counts = np.array(held.value, np.int64)
         for b in batches:
-            nodes, sizes, first = [], [], []
+            nodes, sizes, first, odd = [], [], [], []
             for said, h in _shingled(b.column(1)):
                 nodes.append(said)
                 often = counts[h.view(np.uint64) >> np.uint64(64 - COUNTERS)]
                 sizes.append(len(h))
+                odd.append(np.packbits(np.bincount(h & (64 * SIGNS - 1), minlength=64 * SIGNS) & 1).view(np.int64))
                 first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
+            signs = [pa.array(np.ascontiguousarray(x)) for x in np.array(odd, np.int64).reshape(-1, SIGNS).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *signs], ["doc_id", "node", "n", "prefix", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
-    return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>" + "".join(f", {x} long" for x in names))
+    return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(x).alias(x) for x in names]), "prefixes")
 
 
 def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -284,8 +290,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rooted = written(rooted, "star-roots")
     # then texts of one shingle that are still apart meet each other
     apart = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    split = written(rooted.join(apart, "h"), "open-shingles")
-    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y")
+    signs = [f"s{i}" for i in range(SIGNS)]
+    split = written(rooted.join(apart, "h").join(nodes.select("node", *signs), "node"), "open-shingles")
+    # each bit that differs is a shingle at least that only one of the two has, and sets alike to 0.8 have at most a ninth of both sizes of those
+    unlike = sum((_distance(F.col(f"x.{s}"), F.col(f"y.{s}")) for s in signs), F.lit(0))
+    met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y") & (9 * unlike <= F.col("x.n") + F.col("y.n"))
     pairs = split.alias("x").join(split.alias("y"), met).select(*pair("x", "y"))
     rest = _verified(pairs, nodes, texts, "rest-links")
     return nodes.select("node", "doc_id").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -298,7 +307,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sequence); groups are their components. Candidates share one of the rarest shingles: in any one order of all
     shingles, two sets so alike share one among the first n - ceil(0.8 n) + 1, so no pair is lost; frequent
     shingles, by counts over all documents, are put last in the order, and a pair meets only where what
-    follows the shared one can still be enough. Every link is verified on the whole sets. Texts without words are one group.
+    follows the shared one can still be enough and, beyond the centres, where the parities of the two sets' slots allow it. Every link is verified on the whole sets. Texts without words are one group.
     Rows without an id can't be named and stay. Rows that share an id are judged each by its words; those with the
     same words are one document, of which the smallest hash of the text stays.
     """

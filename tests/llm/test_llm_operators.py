@@ -327,6 +327,30 @@ def test_near_dedup_by_five_word_shingles(spark, monkeypatch):
     assert sorted(r.text for r in simhash.near_dedup(documents(spark, two)).collect()) == sorted(texts[:2])
 
 
+def test_shingles_and_digests_equal_plain_ones(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [None, "", " \n", "One", "a b c d", "A\tb\x0bc\x0cd\re", "Ä a\x85b c\xa0d É e f", "x " * 3000]
+    texts += [" ".join(rng.choice("abcD") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
+    said = [r.s for r in documents(spark, list(enumerate(texts))).orderBy("doc_id").select(simhash._said(F.col("text")).alias("s")).collect()]
+    for chunk in (1, 100, 1 << 20):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = list(simhash._shingled(pa.array(texts, pa.string())))
+        assert [d for d, _ in got] == said
+        for t, (_, h) in zip(texts, got, strict=True):
+            w = (t or "").encode().lower().split()
+            assert len(h) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) and (h[1:] > h[:-1]).all()
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = [*base[:-1], "end"], [f"v{i}" for i in range(40)]
+    rows = [(1, other), (2, base), (2, other), (2, base), (3, near), (4, near), (4, [f"u{i}" for i in range(30)])]
+    kept = simhash.near_dedup(documents(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r.doc_id, r.text.split()[0], len(r.text.split())) for r in kept) == [(1, "v0", 40), (2, "w0", 60), (4, "u0", 30)]
+
+
 def test_near_dedup_odd_rows(spark):
     kept = simhash.near_dedup(odd(spark))
     assert kept.columns == odd(spark).columns
