@@ -4,7 +4,7 @@ Both tokenize the same bytes (a space and the text). Where tokens of both end, t
 bytes overlap are linked. How often two ids are linked in all documents says which A id stands for a B id.
 
 **Arrow pipeline.** Texts are cut into units where neither tokenizer ever joins: before a single space or line feed with
-no white space beside it. Arrow numbers a chunk's units, and only different ones are tokenized and aligned, so that a document is a
+no white space beside it, and between a letter and a sign that no piece of B has after a letter. Arrow numbers a chunk's units, and only different ones are tokenized and aligned, so that a document is a
 list of units. Token lists are flattened with their parent indices; segmented cumulative sums of token lengths give
 the bytes at which tokens end; an Acero hash join (full outer) on (unit, end) meets ends of A and B. Each row of the join is the end of one
 overlap: where a side has no token ending there, the next one that ends covers it. ``Table.group_by`` counts
@@ -24,6 +24,7 @@ read. An empty table gives an empty result. Special tokens' strings in texts are
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import table, written
 
 #: Bytes of text that are aligned together.
-CHUNK = 12 << 20
-#: Bytes of units and ids that a worker process remembers, and characters of the longest unit among them.
-REMEMBERED = 48 << 20
+CHUNK = 3 << 20
+#: Units that a worker process remembers (in each of two generations), and characters of the longest among them.
+REMEMBERED = 200_000
 LONG = 64
+#: Signs before which a unit may begin, after a letter.
+SIGNS = ",.;:!?"
 NAMES = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "pairs", "times", "unit_links", "link_pairs"]
 KINDS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, pairs array<long>, times array<long>, unit_links binary, link_pairs binary"
 
@@ -74,32 +77,37 @@ class Pair:
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
         b_bytes = [bytes([int(p[3:5], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in pieces]
         self.bytes_of = (pa.array(a_bytes, pa.binary()), pa.array(b_bytes, pa.binary()))
-        self.space = self.b.piece_to_id("▁")
+        self.signs = "".join(c for c in SIGNS if not any(re.search(f"[A-Za-zÀ-ÿ]{re.escape(c)}", p) for p, _ in pieces))
+        self.first = self.b.encode("\n")  # what stands before a unit that begins with no space
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def ids(self, units: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Of each unit, A's and B's ids as 16-bit numbers. A unit begins with a space or a line feed."""
+        """Of each unit, A's and B's ids as 16-bit numbers."""
         from array import array
 
         out = list(map(self.known.get, units))
-        new = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = x = self.older.get(units[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    self.known[units[i]] = x
+        skip = len(self.first)
         for lo in range(0, len(new), 20_000):
             at = new[lo : lo + 20_000]
             fresh = [units[i] for i in at]
-            a = [array("H", x.ids).tobytes() for x in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
-            # B puts a space before what it is given: that of the unit, or one too many before a line feed
-            b = self.b.encode([u[1:] if u[:1] == " " else u for u in fresh], num_threads=1)
+            a = self.a.encode_batch_fast(fresh, add_special_tokens=False)
+            # B puts a space before what it is given: the unit's own, or one before a line feed, which no piece joins
+            b = self.b.encode([u[1:] if u[:1] == " " else f"\n{u}" for u in fresh], num_threads=1)
             for i, u, x, y in zip(at, fresh, a, b, strict=True):
-                if u[:1] != " " and y[:1] == [self.space]:
-                    y = y[1:]
-                out[i] = (x, array("H", y).tobytes())
+                out[i] = (array("H", x.ids).tobytes(), array("H", y if u[:1] == " " else y[skip:]).tobytes())
                 if len(u) <= LONG:
                     self.known[u] = out[i]
-                    self.held += 2 * len(u) + len(x) + 2 * len(y)
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
         return [x for x, _ in out], [y for _, y in out]
 
 
@@ -116,25 +124,35 @@ def _tokenizers(of: tuple[str, str]) -> Pair:
     return _pairs[of]
 
 
-def cut(texts: list[bytes]):
+def cut(texts: list[bytes], signs: str = ""):
     """The units of ``texts``, each text after a space, and how many each text has."""
     import numpy as np
 
     raw = b"".join(x for t in texts for x in (b" ", t)) + b"\0\0\0"
     b = np.frombuffer(raw, np.uint8)
     n = len(b) - 3
-    white = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])[b]
-    wide = np.isin(np.arange(256), [0xE1, 0xE2, 0xE3])[b]  # lead bytes of further white space
-    at = np.flatnonzero((b[:n] == 32) | (b[:n] == 10))
-    at = at[at > 0]
-    before = ~white[at - 1] & ~wide[np.maximum(at - 3, 0)] & ~((b[np.maximum(at - 2, 0)] == 0xC2) & ((b[at - 1] == 0x85) | (b[at - 1] == 0xA0)))
-    after = ~white[at + 1] & ~wide[at + 1] & ~((b[at + 1] == 0xC2) & ((b[at + 2] == 0x85) | (b[at + 2] == 0xA0)))
-    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    ends_text = np.isin(at + 1, begin)  # a last space has nothing after it
-    cuts = np.union1d(at[before & after & ~ends_text], begin[:-1])
-    offsets = np.append(cuts, n).astype(np.int32)
-    units = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(raw))
-    return units, np.diff(np.searchsorted(offsets, begin))
+    one_of = lambda x: np.isin(np.arange(256), list(x))
+    white = one_of([9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+    wide = one_of([0xE1, 0xE2, 0xE3])  # lead bytes of further white space
+    last = one_of([0x85, 0xA0])  # after 0xC2
+    size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    begin = np.cumsum(size) - size
+    begins = np.zeros(n + 1, bool)
+    begins[begin] = begins[n] = True
+    at = np.flatnonzero(one_of([10, 32])[b[:n]])
+    at = at[~begins[at] & ~begins[at + 1]]  # a last space has nothing after it
+    x, y, z = b[at - 1], b[np.maximum(at - 2, 0)], b[np.maximum(at - 3, 0)]
+    v, w = b[at + 1], b[at + 2]
+    apart = ~(white[x] | wide[z] | ((y == 0xC2) & last[x]) | white[v] | wide[v] | ((v == 0xC2) & last[w]))
+    cuts = begins.copy()
+    cuts[at[apart]] = True
+    at = np.flatnonzero(one_of(signs.encode())[b[:n]])
+    letters = one_of(range(97, 123)) | one_of(range(65, 91))
+    x, y = b[at - 1], b[np.maximum(at - 2, 0)]
+    cuts[at[letters[x] | ((y == 0xC3) & (x != 0x97) & (x != 0xB7))]] = True  # letters of one byte, and those from U+00C0 to U+00FF
+    offsets = np.flatnonzero(cuts).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+    return units, np.diff(np.append(np.flatnonzero(begins[offsets[:-1]]), len(units)))
 
 
 def _lists(ids: list[bytes]) -> pa.ListArray:
@@ -173,14 +191,14 @@ class Aligned:
         self.group_ends = has_a & has_b
         self.unit = met["unit"].to_numpy()
         self.a, self.b = (pc.fill_null_backward(met[side].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64) for side in "ab")
-        self.n_units = len(units)
+        self.n_units, self.all = len(units), slice(None)
         self._has = (has_a, has_b)
 
     def per_unit(self) -> list:
         """Tokens of A and of B, groups and links of each unit."""
         import numpy as np
 
-        return [np.bincount(self.unit[x], minlength=self.n_units) for x in (*self._has, self.group_ends, slice(None))]
+        return [np.bincount(self.unit[x], minlength=self.n_units) for x in (*self._has, self.group_ends, self.all)]
 
     def said(self) -> pa.Array:
         """Each unit's groups as text: ids of A and of B between commas, ``|`` between the two, ``;`` between groups."""
@@ -211,7 +229,7 @@ def _chunk_rows(number: int, doc_ids: list, texts: list[bytes], of: Pair) -> Ite
     import numpy as np
     import pyarrow.compute as pc
 
-    units, n = cut(texts)
+    units, n = cut(texts, of.signs)
     named = units.dictionary_encode()
     code = named.indices.to_numpy().astype(np.int64)
     links = Aligned(named.dictionary, of)

@@ -38,56 +38,90 @@ TOP = 2000
 #: Bits of a bitmap as a power of two.
 BITS = 28
 #: Bytes of text that are counted together.
-CHUNK = 16 << 20
+CHUNK = 5 << 20
+#: Hashes that a task adds up before it hands them on.
+HELD = 1 << 20
 _SALTS = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STOPS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-_MIX = 0x9E3779B97F4A7C15
+#: An odd number, and what it is multiplied with to give 1 (modulo 2^64).
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class Words:
-    """The words of a chunk of texts: ``code`` of each in ``named`` (its different words), ``lang`` (number), and ``joined``: the next one is of the same piece."""
+    """The words of a chunk of texts: where each lies in ``raw``, its ``lang`` (number), and ``joined``: the next one is of the same piece."""
 
     def __init__(self, langs: list[str], texts: list[bytes]) -> None:
         import numpy as np
 
         self.langs = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.langs)}
-        joined = b"\n".join(texts) + b"\n"
-        raw = joined.translate(_LOWER).translate(_STOPS)
-        b = np.frombuffer(raw, np.uint8)
-        stop = b == 10
-        gap = stop | (b == 32)
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if len(b) and not gap[0]:
-            edge = np.concatenate(([0], edge))
-        starts, ends = edge[0::2], edge[1::2]  # the chunk ends with a gap, so every word has an end
-        offsets = np.concatenate(([0], np.stack([starts, ends], axis=1).reshape(-1))).astype(np.int32)
-        runs = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
-        words = runs.take(pa.array(np.arange(1, len(offsets) - 1, 2)))
-        found = words.dictionary_encode()
-        self.code, self.named = found.indices.to_numpy().astype(np.int64), found.dictionary
-        piece = np.cumsum(stop)[starts] if len(starts) else np.zeros(0, np.int64)
-        self.joined = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.zeros(0, bool)
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-        doc = np.searchsorted(begin, starts, "right") - 1
-        self.lang = np.array([number[x] for x in langs], np.int64)[doc] if len(texts) else np.zeros(0, np.int64)
-
-    def hashes(self) -> list:
-        """Hashes of the word, of the pair and of the triple that begins at each word; words of a language have hashes of their own."""
+        self.raw = (b"\n".join(texts) + b"\n").translate(_LOWER).translate(_STOPS)
+        self.bytes = np.frombuffer(self.raw, np.uint8)
+        stop = self.bytes == 10
+        gap = stop | (self.bytes == 32)
+        edge = (np.flatnonzero(gap[1:] != gap[:-1]) + 1).astype(np.int32)
+        if not gap[0]:
+            edge = np.concatenate((np.zeros(1, np.int32), edge))
+        self.edge = edge  # the chunk ends with a gap, so every word has an end
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        piece = np.cumsum(stop, dtype=np.int32)[self.starts]
+        self.joined = np.append(piece[1:] == piece[:-1], np.zeros(min(1, len(piece)), bool))
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        words = np.diff(np.append(np.searchsorted(self.starts, np.cumsum(size) - size), len(self.starts)))
+        self.lang = np.repeat(np.fromiter((number[x] for x in langs), np.int32, len(langs)), words)
+
+    def named(self, which):
+        """Numbers of the words at the places ``which``, and the different words."""
+        import numpy as np
+
+        offsets = np.concatenate((np.zeros(1, np.int32), self.edge))
+        runs = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(self.raw))
+        found = runs.take(pa.array(2 * which + 1)).dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary
+
+    def hashes(self, triples: bool) -> list:
+        """Hashes of the word, of the pair (and of the triple) that begins at each word; words of a language have hashes of their own.
+
+        A word's is the value of its bytes as digits to the base ``_BASE`` (modulo 2^64): differences of running sums, all brought to one power."""
         import numpy as np
         import xxhash
 
-        own = np.fromiter(map(xxhash.xxh64_intdigest, self.named.cast(pa.binary()).to_pylist()), np.uint64, len(self.named))
+        n = len(self.bytes)
+        power = _powers(n)
+        upto = np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)
+        before = np.where(self.starts > 0, upto[self.starts - 1], np.uint64(0))
+        h = _spread((upto[self.ends - 1] - before) * _powers(n, _INVERSE)[self.starts])
         of = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs), np.uint64, len(self.langs))
-        h = own[self.code]
         out = [_spread(h ^ of[self.lang])]
-        for j in (1, 2):
+        for j in (1, 2)[: 1 + triples]:
             after = np.concatenate([h[j:], np.zeros(min(j, len(h)), np.uint64)])
-            out.append(_spread(out[-1] + after * np.uint64(_MIX)))
+            out.append(_spread(out[-1] + after * np.uint64(_BASE)))
         return out
 
 
+_made: dict[int, object] = {}
+
+
+def _powers(n: int, base: int = 0):
+    """Powers of ``base`` modulo 2^64 from the zeroth, kept in the worker process."""
+    import numpy as np
+
+    base = base or _BASE
+    if base not in _made or len(_made[base]) < n:
+        out = np.full(n + n // 4 + 1, base, np.uint64)
+        out[0] = 1
+        _made[base] = np.multiply.accumulate(out)
+    return _made[base]
+
+
+def _after(x):
+    import numpy as np
+
+    return np.append(x[1:], np.zeros(min(1, len(x)), bool))
+
+
 def _spread(x):
     import numpy as np
 
@@ -154,11 +188,29 @@ def _bitmap(counts: DataFrame, least: int, bits: int) -> tuple:
     return uuid.uuid4().hex, counts.sparkSession.sparkContext.broadcast([(r["b"], bytes(r["bits"])) for r in blocks.collect()])
 
 
-def _counted(values) -> pa.RecordBatch:
+def _counted(found: Iterator) -> Iterator[pa.RecordBatch]:
+    """Hashes and how often each is met, from arrays of hashes; what a task hands on is added up as far as ``HELD`` allows."""
     import numpy as np
 
-    h, n = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    def added(h, n):
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.append(np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+        return h[first], np.add.reduceat(n, first) if len(first) else n
+
+    def out(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for values in found:
+        x = np.sort(values)
+        first = np.flatnonzero(np.append(np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))
+        h, n = added(np.concatenate([h, x[first]]), np.concatenate([n, np.diff(np.append(first, len(x)))]))
+        if len(h) > HELD:
+            yield out(h, n)
+            h, n = h[:0], n[:0]
+    if len(h):
+        yield out(h, n)
 
 
 def windows(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
@@ -168,51 +220,58 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for c in _chunks(batches):
-            one, two, _ = c.hashes()
-            yield _counted(np.concatenate([one, two[c.joined]]))
+        def found():
+            for c in _chunks(batches):
+                one, two = c.hashes(False)
+                yield np.concatenate([one, two[c.joined]])
+
+        return _counted(found())
 
     first = _bitmap(read.mapInArrow(pairs, "h long, n long"), least, bits)
 
     def ties(c: Words, one, two):
         """Which words are frequent, and which are so with the next one."""
-        import numpy as np
-
         f = _open(first, bits)
         known = f.holds(one)
-        return known, c.joined & known & np.append(known[1:], False) & f.holds(two)
+        return known, c.joined & known & _after(known) & f.holds(two)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        def found():
+            for c in _chunks(batches):
+                one, two, three = c.hashes(True)
+                _, tied = ties(c, one, two)
+                yield three[tied & _after(tied)]
 
-        for c in _chunks(batches):
-            one, two, three = c.hashes()
-            _, tied = ties(c, one, two)
-            yield _counted(three[tied & np.append(tied[1:], False)] if len(tied) else three)
+        return _counted(found())
 
     second = _bitmap(read.mapInArrow(triples, "h long, n long"), least, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        names = ["lang", "w0", "w1", "w2", "w3"]
         for c in _chunks(batches):
-            if not len(c.code):
-                continue
-            one, two, three = c.hashes()
+            one, two, three = c.hashes(True)
             known, tied = ties(c, one, two)
-            after = lambda x: np.append(x[1:], False)
-            third = tied & after(tied) & _open(second, bits).holds(three)
-            fourth = third & after(third)
-            pad = len(c.named)
-            lead = [np.where(known, c.code, pad)]
-            for j, has in enumerate((tied, third, fourth), 1):
-                lead.append(np.where(has, np.append(c.code[j:], np.full(min(j, len(c.code)), pad)), pad))
-            names = ["lang", "w0", "w1", "w2", "w3"]
-            met = pa.table([c.lang, *lead], names=names).group_by(names).aggregate([([], "count_all")])
-            words = pa.concat_arrays([c.named, pa.array([""])])
-            said = [pa.array(c.langs, pa.string()).take(met["lang"].combine_chunks()), *[words.take(met[x].combine_chunks()) for x in names[1:]]]
-            made = pa.table([*said, met["count_all"]], names=[*names, "n"])
-            yield from made.to_batches(max_chunksize=20_000)
+            third = tied & _after(tied) & _open(second, bits).holds(three)
+            fourth = third & _after(third)
+            at = np.flatnonzero(known)
+            code, said = c.named(at)
+            place = np.zeros(len(known) + ORDER, np.int32)
+            place[at] = code
+            pad, langs = len(said), len(c.langs)
+            # a word that ends its window, by itself; words that are rare, together
+            alone = np.bincount(np.where(known, place[: len(known)], pad)[~tied] * langs + c.lang[~tied], minlength=(pad + 1) * langs)
+            some = np.flatnonzero(alone)
+            ended = np.full(len(some), pad, np.int32)
+            few = pa.table([(some % langs).astype(np.int32), (some // langs).astype(np.int32), ended, ended, ended, alone[some].astype(np.int64)], names=[*names, "n"])
+            at = np.flatnonzero(tied)
+            lead = [place[at], place[at + 1], np.where(third[at], place[at + 2], pad).astype(np.int32), np.where(fourth[at], place[at + 3], pad).astype(np.int32)]
+            many = pa.table([c.lang[at], *lead], names=names).group_by(names, use_threads=False).aggregate([([], "count_all")]).rename_columns([*names, "n"])
+            met = pa.concat_tables([few, many]).combine_chunks()
+            words = pa.concat_arrays([said, pa.array([""])])
+            columns = [pa.array(c.langs, pa.string()).take(met["lang"].combine_chunks()), *[words.take(met[x].combine_chunks()) for x in names[1:]]]
+            yield from pa.table([*columns, met["n"]], names=[*names, "n"]).to_batches(max_chunksize=20_000)
 
     return read.mapInArrow(count, "lang string, w0 string, w1 string, w2 string, w3 string, n long")
 
