@@ -38,10 +38,13 @@ TOP = 2000
 #: Bits of a bitmap as a power of two.
 BITS = 28
 #: Bytes of text that are counted together.
-CHUNK = 5 << 20
+CHUNK = 6 << 20
 #: Hashes that a task adds up before it hands them on.
 HELD = 1 << 20
 _SALTS = 64
+_BLOCK = 1 << 19
+#: The bits of a hash that are shuffled.
+_KEPT = 0xFFFFFFFFFFFF0000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STOPS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: An odd number, and what it is multiplied with to give 1 (modulo 2^64).
@@ -88,17 +91,23 @@ class Words:
         import numpy as np
         import xxhash
 
-        n = len(self.bytes)
-        power = _powers(n)
-        upto = np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)
-        before = np.where(self.starts > 0, upto[self.starts - 1], np.uint64(0))
-        h = _spread((upto[self.ends - 1] - before) * _powers(n, _INVERSE)[self.starts])
+        h, lo, n = np.zeros(len(self.starts), np.uint64), 0, len(self.starts)
+        while lo < n:  # in blocks, so that little is held beside the hashes
+            begin = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.starts, begin + _BLOCK)))
+            own = self.bytes[begin : int(self.ends[hi - 1])]
+            upto = np.cumsum((own.astype(np.uint64) + np.uint64(1)) * _powers(len(own))[: len(own)], dtype=np.uint64)
+            first, last = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin - 1
+            before = np.where(first > 0, upto[first - 1], np.uint64(0))
+            h[lo:hi] = (upto[last] - before) * _powers(len(own), _INVERSE)[first]
+            lo = hi
+        h = _spread(h)
         of = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs), np.uint64, len(self.langs))
         out = [_spread(h ^ of[self.lang])]
         for j in (1, 2)[: 1 + triples]:
             after = np.concatenate([h[j:], np.zeros(min(j, len(h)), np.uint64)])
             out.append(_spread(out[-1] + after * np.uint64(_BASE)))
-        return out
+        return [x & np.uint64(_KEPT) for x in out]
 
 
 _made: dict[int, object] = {}
@@ -280,10 +289,13 @@ def counts(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """lang, words (array; empty: all words of the language) and f of every phrase of one to four words met ``least`` times or more."""
     w = [f"w{i}" for i in range(ORDER)]
     summed = windows(docs, least, bits).rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
-    length = ORDER - F.length(F.regexp_replace(F.bin("g"), "0", ""))
-    said = F.slice(F.array(*w), 1, length.cast("int"))
-    # a row that ends in the mark of an ended window is no phrase
-    return summed.withColumn("words", said).where("lang is not null").where((F.size("words") == 0) | ((F.element_at("words", -1) != "") & (F.col("f") >= least))).select("lang", "words", "f")
+    # a row that ends in the mark of an ended window is no phrase; told by grouping columns alone, so that such rows are not made
+    phrase = F.lit(False)
+    for i in range(ORDER):
+        phrase |= (F.col("g") == (1 << (ORDER - 1 - i)) - 1) & (F.col(w[i]) != "")
+    told = summed.where((F.col("g") == (1 << ORDER) - 1) | phrase)
+    length = ORDER - F.bit_count("g")
+    return told.select("lang", F.slice(F.array(*w), 1, length).alias("words"), "f").where((F.size("words") == 0) | (F.col("f") >= least))
 
 
 def _wide(c: Column) -> Column:
