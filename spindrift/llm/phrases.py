@@ -23,7 +23,6 @@ not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,11 +35,11 @@ ORDER = 4
 LEAST = 30
 TOP = 2000
 #: Bits of a bitmap as a power of two.
-BITS = 28
+BITS = 27
 #: Bytes of text that are counted together.
-CHUNK = 6 << 20
+CHUNK = 3 << 20
 #: Hashes that a task adds up before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 _SALTS = 64
 _BLOCK = 1 << 19
 #: The bits of a hash that are shuffled.
@@ -144,13 +143,15 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     texts: list[bytes] = []
     held = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            langs.append(lang)
-            texts.append(text)
-            held += len(text) + 1
-            if held >= CHUNK:
-                yield Words(langs, texts)
-                langs, texts, held = [], [], 0
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                langs.append(lang)
+                texts.append(text)
+                held += len(text) + 1
+                if held >= CHUNK:
+                    yield Words(langs, texts)
+                    langs, texts, held = [], [], 0
     if texts:
         yield Words(langs, texts)
 
@@ -159,42 +160,24 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-class Frequent:
-    """A bitmap in the broadcast blocks of ``_bitmap``."""
-
-    def __init__(self, blocks: list[tuple[int, bytes]], bits: int) -> None:
-        import numpy as np
-
-        self.bits, self.data = bits, np.zeros(max(1 << bits >> 3, 4096), np.uint8)
-        for number, block in blocks:
-            self.data[(number - 1) * 4096 : number * 4096] = np.frombuffer(block, np.uint8)
-
-    def holds(self, h):
-        import numpy as np
-
-        at = h >> np.uint64(64 - self.bits)
-        return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-_opened: dict[str, Frequent] = {}
-
-
-def _open(held: tuple, bits: int) -> Frequent:
-    """The bitmap of a broadcast, laid out once in each worker process; the two of a run are kept at most."""
-    name, blocks = held
-    if name not in _opened:
-        while len(_opened) > 1:
-            _opened.pop(next(iter(_opened)))
-        _opened[name] = Frequent(blocks.value, bits)
-    return _opened[name]
-
+def _bitmap(counts: DataFrame, least: int, bits: int):
+    """The broadcast bitmap of the hashes (h) that are counted (n) ``least`` times or more: 2^bits bits, whatever the data."""
+    import numpy as np
 
-def _bitmap(counts: DataFrame, least: int, bits: int) -> tuple:
-    """A name, and the broadcast bitmap of the hashes (h) that are counted (n) ``least`` times or more: 2^bits bits at most, whatever the data."""
     at = F.shiftrightunsigned("h", 64 - bits) + 1  # Spark counts positions from one
     often = counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(at.alias("at"))
     blocks = often.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    return uuid.uuid4().hex, counts.sparkSession.sparkContext.broadcast([(r["b"], bytes(r["bits"])) for r in blocks.collect()])
+    whole = np.zeros(max(1 << bits >> 3, 4096), np.uint8)
+    for r in blocks.toLocalIterator():
+        whole[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return counts.sparkSession.sparkContext.broadcast(whole.tobytes())
+
+
+def _holds(bitmap, h, bits: int):
+    import numpy as np
+
+    at = h >> np.uint64(64 - bits)
+    return (np.frombuffer(bitmap.value, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _counted(found: Iterator) -> Iterator[pa.RecordBatch]:
@@ -240,9 +223,8 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
 
     def ties(c: Words, one, two):
         """Which words are frequent, and which are so with the next one."""
-        f = _open(first, bits)
-        known = f.holds(one)
-        return known, c.joined & known & _after(known) & f.holds(two)
+        known = _holds(first, one, bits)
+        return known, c.joined & known & _after(known) & _holds(first, two, bits)
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -262,7 +244,7 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
         for c in _chunks(batches):
             one, two, three = c.hashes(True)
             known, tied = ties(c, one, two)
-            third = tied & _after(tied) & _open(second, bits).holds(three)
+            third = tied & _after(tied) & _holds(second, three, bits)
             fourth = third & _after(third)
             at = np.flatnonzero(known)
             code, said = c.named(at)
