@@ -37,9 +37,9 @@ TOP = 2000
 #: Bits of a bitmap as a power of two.
 BITS = 27
 #: Bytes of text that are counted together.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 #: Hashes that a task adds up before it hands them on.
-HELD = 1 << 19
+HELD = 1 << 18
 _SALTS = 64
 _BLOCK = 1 << 19
 #: The bits of a hash that are shuffled.
