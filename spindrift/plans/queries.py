@@ -16,6 +16,7 @@ from spindrift.operators import ratelimit as L
 from spindrift.operators import retrieval as R
 from spindrift.plans import corpus_queries, record_queries
 from spindrift.sources import io
+from spindrift.sources.store import Store
 from spindrift.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -520,20 +521,40 @@ def _requests(s, d):
     return read(s, d, "events").select(F.col("user_id").cast("string").alias("key"), "ts", "event_id")
 
 
-@query()
+_DAY = 86_400_000_000
+_ARRIVALS = "e AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_ARRIVALS},
+    s AS (SELECT key, event_id, i, true AS allowed, NULL::BIGINT AS before, t AS last FROM e WHERE i = 1
+      UNION ALL SELECT key, event_id, i, ok, CASE WHEN ok THEN last ELSE before END, CASE WHEN ok THEN t ELSE last END
+      FROM (SELECT e.*, before, last, before IS NULL OR e.t >= before + {_DAY} AS ok FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1))
+    SELECT key, event_id, allowed FROM s""")
 def rate_limit_sliding(s, d):
     return L.rate_limit_sliding(_requests(s, d), 2, 86_400)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ARRIVALS},
+    s AS (SELECT key, event_id, i, t AS start, 1 AS n FROM e WHERE i = 1
+      UNION ALL SELECT e.key, e.event_id, e.i, CASE WHEN e.t >= start + {_DAY} THEN e.t ELSE start END, CASE WHEN e.t >= start + {_DAY} THEN 1 ELSE n + 1 END FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1)
+    SELECT key, event_id, n <= 2 AS allowed FROM s""")
 def rate_limit_fixed(s, d):
     return L.rate_limit_fixed(_requests(s, d), 2, 86_400)
 
 
-@query()
+#: Rules of the query: action, limit, window in seconds. Other actions are free.
+_RULES = [("click", 1, 86_400), ("view", 2, 172_800), ("purchase", 3, 604_800)]
+
+
+@query(f"""WITH RECURSIVE rules(action, most, span) AS (VALUES {', '.join(f"('{a}', {n}, {w}000000)" for a, n, w in _RULES)}),
+    e AS (SELECT event_type || ':' || user_id AS key, epoch_us(ts) AS t, event_id, most, span, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events LEFT JOIN rules ON action = event_type),
+    s AS (SELECT key, event_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1
+      UNION ALL SELECT key, event_id, i, ok, CASE WHEN ok THEN list_append(live, t) ELSE live END
+      FROM (SELECT *, most IS NULL OR len(live) < most AS ok FROM (SELECT e.*, CASE WHEN most IS NULL THEN [] ELSE list_filter(s.log, lambda x: x > e.t - span) END AS live FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1)))
+    SELECT key, event_id, allowed FROM s""")
 def rate_limit_keys(s, d):
-    e = read(s, d, "events").select(F.concat_ws(":", "event_type", "user_id").alias("key"), "ts", "event_id")
-    return L.rate_limit_sliding(e, 1, 86_400)
+    e = read(s, d, "events").select(F.col("event_type").alias("action"), F.col("user_id").alias("user"), "ts", "event_id")
+    return L.rate_limit_keys(e, s.createDataFrame(_RULES, "action string, limit int, window_s int"))
 
 
 def _stream(s, d, name):
@@ -551,15 +572,31 @@ def stream_upsert(s, d):
     return streams.stream_upsert(s, _stream(s, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id")
 
 
-@query("SELECT user_id, event_id AS version, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _store(s, d, keys):
+    """Events as a store by event type; users are the scope of deletes."""
+    e = read(s, d, "events").select("user_id", "event_id", F.col("event_id").alias("version"), F.col("event_type").alias("namespace"), "value")
+    return e, Store.create(s, io.work_dir(s, "store"), e.schema, keys, "version", namespace="namespace", scope="user_id")
+
+
+@query("SELECT user_id, event_id, event_id AS version, event_type AS namespace, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1")
 def upsert_vectors(s, d):
-    e = read(s, d, "events").select("user_id", F.col("event_id").alias("version"), "value")
-    return io.upsert(e.where("version % 2 = 0"), e.where("version % 2 = 1"), ["user_id"])
+    """Two batches, the second one twice, and what the store then holds."""
+    e, store = _store(s, d, ["user_id"])
+    for name, part in (("even", 0), ("odd", 1), ("odd", 1)):
+        store.upsert(e.where(F.col("version") % 2 == part), name)
+    return store.read()
 
 
-@query("SELECT count(*) FILTER (user_id = 7) AS inserted, count(*) FILTER (user_id = 7) AS deleted, 0::BIGINT AS remaining, true AS completed FROM events")
+@query("""WITH own AS (SELECT count(*) AS n FROM events WHERE user_id = 7), kept AS (SELECT * FROM events WHERE user_id IS DISTINCT FROM 7)
+    SELECT event_type AS namespace, count(*) AS n_left, count(DISTINCT user_id) AS n_users, sum(event_id)::BIGINT AS id_sum, any_value(own.n) AS inserted, any_value(own.n) - count(*) FILTER (user_id = 7) AS deleted,
+      count(*) FILTER (user_id = 7) AS remaining, count(*) FILTER (user_id = 7) = 0 AS completed FROM kept, own GROUP BY 1""")
 def scoped_delete(s, d):
-    return io.scoped_delete(read(s, d, "events"), 7)[1]
+    """The table after a user's rows were deleted, by namespace, and the report of the delete."""
+    e, store = _store(s, d, ["event_id"])
+    store.upsert(e, "all")
+    report = store.delete(7)
+    told = [F.lit(report[c]).cast(kind).alias(c) for c, kind in (("inserted", "long"), ("deleted", "long"), ("remaining", "long"), ("completed", "boolean"))]
+    return store.read().groupBy("namespace").agg(F.count("*").alias("n_left"), F.count_distinct("user_id").alias("n_users"), F.sum("event_id").alias("id_sum")).select("*", *told)
 
 
 QUERIES |= corpus_queries.QUERIES | record_queries.QUERIES
