@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,48 +15,91 @@ JACCARD = 0.60
 CONTAINMENT = 0.60
 
 
-def shingles(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """id, shingle (64-bit hash of n normalised tokens) and size (distinct shingles of the id); whole texts."""
+def shingles(texts: DataFrame) -> DataFrame:
+    """id, shingle (64-bit hash of five normalised tokens) and size (different shingles of the id); whole texts."""
+    return prepared(texts).index.select("id", F.col("gram").alias("shingle"), F.col("n").alias("size"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for b in batches:
-            ids, marks, sizes = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = t.split(" ") if t else []
-                own = {xxhash.xxh3_64_intdigest(" ".join(w[j : j + n])) - 2**63 for j in range(len(w) - n + 1)}
-                ids += [i] * len(own)
-                marks += own
-                sizes += [len(own)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int32())], ["id", "shingle", "size"])
+@dataclass(frozen=True)
+class Prepared:
+    """One side of the joins below, tokenized once and written: ``texts`` (id, said, h, set, grams), and ``index`` (gram, id, n).
 
-    return texts.select(F.col("id").cast("long"), normalize_for_similarity(F.col("text"))).mapInArrow(run, "id long, shingle long, size int")
+    A fixed corpus is prepared once, its index written in ranges of gram, and joined as often as needed; joins read these tables and no text again."""
 
+    texts: DataFrame
+    index: DataFrame
 
-def containment_join(candidates: DataFrame, references: DataFrame, least: float = CONTAINMENT) -> DataFrame:
+
+def prepared(texts: DataFrame | Prepared, stored: bool = False, shingled: bool = True) -> Prepared:
+    """``texts``: id, text. ``said`` is the normalised text and ``h`` its hash, ``set`` hashes of its tokens, ``grams`` hashes of five tokens in a row
+    (none unless ``shingled``). ``stored``: the index is a table of its own, for a side that is joined again and again."""
+    if isinstance(texts, Prepared):
+        return texts
+    threads = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def hashed(w: Column) -> Column:
+        h = F.transform(w, lambda t: F.xxhash64(t))
+        return F.transform(F.array(h), lambda x: F.struct(F.array_join(w, " ").alias("said"), F.array_distinct(x).alias("set"), (_grams(x) if shingled else F.array().cast("array<bigint>")).alias("grams")))[0]
+
+    cut = texts.select(F.col("id").cast("long").alias("id"), "text").repartition(threads, "id").select("id", F.transform(F.array(tokens(F.col("text"))), hashed)[0].alias("r"))
+    rows = _kept(cut.select("id", "r.said", F.xxhash64("r.said").alias("h"), "r.set", "r.grams"), "prepared-texts")
+    index = rows.select(F.explode("grams").alias("gram"), "id", F.size("grams").alias("n"))
+    return Prepared(rows, _kept(index.repartitionByRange(threads, "gram"), "shingle-index") if stored else index)
+
+
+def _grams(h: Column) -> Column:
+    """Different hashes of ``SHINGLE`` neighbours of ``h``; none where there are fewer."""
+    at = F.sequence(F.lit(1), F.size(h) - SHINGLE + 1)
+    return F.when(F.size(h) < SHINGLE, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(h, i - 1 + j) for j in range(SHINGLE)]))))
+
+
+def _rarest(own: Prepared, other: Prepared, least: float) -> DataFrame:
+    """id, n and those shingles of ``own`` one of which any text of ``other`` must hold that has ``least`` of them all.
+
+    In an order that begins with what the other side lacks and goes on by how often it has the rest, these are the first
+    n - ceil(least * n) + 1; so only shingles that both sides have are ranked, and a text that has too few of those is passed over."""
+    often = other.index.groupBy("gram").agg(F.count("*").alias("df"))
+    shared = own.index.join(often, "gram")
+    of_id = Window.partitionBy("id")
+    ranked = shared.withColumns({"m": F.count("*").over(of_id), "place": F.row_number().over(of_id.orderBy("df", "gram"))})
+    return ranked.where(F.col("place") <= F.col("m") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "gram")
+
+
+def containment_pairs(candidates: Prepared, references: Prepared, least: float = CONTAINMENT) -> DataFrame:
+    """The pairs (candidate_id, reference_id) that are compared: the smaller side's rarest shingles meet the other side's index."""
+    c = _rarest(candidates, references, least).alias("x").join(references.index.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.n") <= F.col("y.n")))
+    r = _rarest(references, candidates, least).alias("x").join(candidates.index.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.n") < F.col("y.n")))
+    one = c.select(F.col("x.id").alias("candidate_id"), F.col("y.id").alias("reference_id"))
+    return one.union(r.select(F.col("y.id").alias("candidate_id"), F.col("x.id").alias("reference_id"))).distinct()
+
+
+def containment_join(candidates: DataFrame | Prepared, references: DataFrame | Prepared, least: float = CONTAINMENT) -> DataFrame:
     """candidate_id, reference_id, shared and containment of pairs that share at least ``least`` of the smaller side's shingles."""
-    c = shingles(candidates).select(F.col("id").alias("candidate_id"), "shingle", F.col("size").alias("cn"))
-    r = shingles(references).select(F.col("id").alias("reference_id"), "shingle", F.col("size").alias("rn"))
-    counted = c.join(r, "shingle").groupBy("candidate_id", "reference_id").agg(F.count("*").alias("shared"), F.min(F.least("cn", "rn")).alias("smaller"))
+    c, r = prepared(candidates), prepared(references)
+    met = _kept(containment_pairs(c, r, least), "shingle-pairs")
+    both = met.join(c.texts.select(F.col("id").alias("candidate_id"), F.col("grams").alias("x")), "candidate_id").join(r.texts.select(F.col("id").alias("reference_id"), F.col("grams").alias("y")), "reference_id")
+    counted = both.select("candidate_id", "reference_id", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.least(F.size("x"), F.size("y")).alias("smaller"))
     return counted.withColumn("containment", F.round(F.col("shared") / F.col("smaller"), 9)).where(F.col("containment") >= least).drop("smaller")
 
 
-def jaccard_join(candidates: DataFrame, references: DataFrame | None, least: float = JACCARD) -> DataFrame:
+def jaccard_join(candidates: DataFrame | Prepared, references: DataFrame | Prepared | None, least: float = JACCARD) -> DataFrame:
     """candidate_id, reference_id and jaccard of pairs with token Jaccard of ``least`` or more, by prefix and position filtering.
 
-    Tokens are ordered rarest first over both sides; two sets that similar share a token among the
+    Tokens are ordered rarest first over both sides, those that one side lacks before all others; two sets that similar share a token among the
     first n - ceil(least * n) + 1, so only those meet, and only where what follows the token in both can
     still be enough. The sets are compared on what met. Without references, candidates meet each other, the smaller id first.
     """
-    coded = F.transform(F.array_distinct(tokens(F.col("text"))), lambda t: F.xxhash64(t))
-    threads = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda df, role: df.select(F.lit(role).alias("role"), F.col("id").cast("long").alias("id"), "text").repartition(threads, "id").select("role", "id", coded.alias("set")).where(F.size("set") > 0)
-    sets = _kept(side(candidates, 0) if references is None else side(candidates, 0).union(side(references, 1)), "token-sets")  # tokenized once
+    side = lambda p, role: p.texts.where(F.size("set") > 0).select(F.lit(role).alias("role"), "id", "set")
+    sets = side(prepared(candidates, shingled=False), 0)
+    if references is not None:
+        sets = sets.union(side(prepared(references, shingled=False), 1))
     each = sets.select("role", "id", F.size("set").alias("n"), F.explode("set").alias("token"))
-    rarity = each.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("role", "id").orderBy("df", "token"))
-    ranked = each.join(rarity.hint("merge"), "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    rarity = each.groupBy("token").agg(F.count("*").alias("df"), F.min("role").alias("low"), F.max("role").alias("high"))
+    if references is not None:
+        rarity = rarity.where("low < high")
+    of_id = Window.partitionBy("role", "id")
+    place = F.col("n") - F.count("*").over(of_id) + F.row_number().over(of_id.orderBy("df", "token"))  # after those that were not ranked
+    ranked = each.join(rarity.drop("low", "high").hint("merge"), "token").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
     prefix = _kept(ranked.select("role", "id", "n", "place", "token"), "token-prefixes")
     a, b = prefix.where("role = 0").alias("a"), prefix.where(f"role = {0 if references is None else 1}").alias("b")
     left = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) + 1
@@ -80,18 +122,23 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exact_match(candidates: DataFrame, references: DataFrame) -> DataFrame:
+def exact_match(candidates: DataFrame | Prepared, references: DataFrame | Prepared) -> DataFrame:
     """Pairs whose normalised texts are equal and not empty."""
-    said = lambda df, name: df.select(F.col("id").alias(name), normalize_for_similarity(F.col("text")).alias("said")).where("said <> ''").withColumn("h", F.xxhash64("said"))
+
+    def said(df: DataFrame | Prepared, name: str) -> DataFrame:
+        rows = df.texts if isinstance(df, Prepared) else df.select("id", normalize_for_similarity(F.col("text")).alias("said"))
+        return rows.where("said <> ''").select(F.col("id").alias(name), "said", F.xxhash64("said").alias("h"))
+
     return said(candidates, "candidate_id").join(said(references, "reference_id"), ["h", "said"]).select("candidate_id", "reference_id")
 
 
-def novelty_join(candidates: DataFrame, references: DataFrame) -> DataFrame:
+def novelty_join(candidates: DataFrame | Prepared, references: DataFrame | Prepared) -> DataFrame:
     """All suspicious pairs: equal, token Jaccard or containment of at least 0.6, with overall (the largest)."""
-    e = exact_match(candidates, references).withColumn("exact", F.lit(True))
+    c, r = prepared(candidates), prepared(references)
+    e = exact_match(c, r).withColumn("exact", F.lit(True))
     keys = ["candidate_id", "reference_id"]
-    met = containment_join(candidates, references).join(jaccard_join(candidates, references), keys, "full").join(e, keys, "full")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    met = containment_join(c, r).join(jaccard_join(c, r), keys, "full").join(e, keys, "full")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
     out = met.select(*keys, F.coalesce("exact", F.lit(False)).alias("exact"), zero("jaccard").alias("jaccard"), zero("containment").alias("containment"))
     return out.withColumn("overall", F.greatest(F.when(F.col("exact"), 1.0).otherwise(0.0), "jaccard", "containment"))
 

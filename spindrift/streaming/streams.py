@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators.corpus import latest
-from spindrift.operators.novelty import novelty_guard, novelty_join
+from spindrift.operators.novelty import Prepared, novelty_guard, novelty_join, prepared
 from spindrift.sources.io import work_dir
 
 
@@ -33,10 +33,17 @@ def stream_progress(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return latest(spark.read.option("recursiveFileLookup", True).parquet(target), ["exercise_id", "user_id"], "batch").drop("batch")
 
 
-def stream_novelty_guard(spark: SparkSession, stream: DataFrame, references: DataFrame) -> DataFrame:
-    """The guard for candidates (id, text) as they arrive, against a fixed corpus; a repeated batch replaces itself."""
-    target = work_dir(spark, "guarded")
-    _drained(stream, lambda df, batch: novelty_guard(df, novelty_join(df, references)).write.mode("overwrite").parquet(f"{target}/batch={batch}"), "guard")
+def stream_novelty_guard(spark: SparkSession, stream: DataFrame, references: DataFrame | Prepared) -> DataFrame:
+    """The guard for candidates (id, text) as they arrive, against a fixed corpus; a repeated batch replaces itself.
+
+    The corpus is prepared once (its sets and its shingle index are written tables), and batches meet those: no batch reads a reference text."""
+    target, fixed = work_dir(spark, "guarded"), prepared(references, stored=True)
+
+    def each(df: DataFrame, batch: int) -> None:
+        own = df.select("id", "text")
+        novelty_guard(own, novelty_join(own, fixed)).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    _drained(stream, each, "guard")
     return spark.read.parquet(target).select("candidate_id", "rejected", "offenders")
 
 
