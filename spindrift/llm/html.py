@@ -36,8 +36,10 @@ NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
     "sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended widget pager pagination search form hidden".split()
 )
-HEADS = {"header", "heading"}
-#: Names that also stand for content: inside an article they need links or form controls as a second sign.
+HEADS = {"header"}
+#: Words that may stand beside them in one name, which is then the name of a part all the same.
+PLACES = set("site page global top bottom left right main primary secondary outer inner wrap wrapper container box block area bar list item section".split())
+#: Names that also stand for content: they need links or form controls as a second sign.
 UNSURE = set("notice alert banner promotion promo cookie cookies consent popup rail menu navigation toolbar search form share sharing social related recommended widget discussion subscription login respond".split())
 CONTROLS = {"form", "button", "select", "textarea", "input"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
@@ -98,7 +100,7 @@ def tokens_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
-        m = _OPEN.match(page, lt)
+        m = _OPEN.match(page, lt) if lt < last else None  # a name that reaches to the end is read once
         if lt >= last or not (m or page.startswith(("<!", "<?"), lt)):
             yield "<", False, "", ""
             continue
@@ -120,8 +122,9 @@ def tokens_of(page: str) -> Iterator[tuple[str, bool, str, str]]:
 
 
 def _unwanted(tag: str, attrs: str, inside: bool) -> bool | None:
-    """Whether an element is not part of an article; ``inside``: it stands in one already, where a heading is its own,
-    and a name of which only a word is known, or that has another sense, leaves it open (None)."""
+    """Whether an element is not part of an article; ``inside``: it stands in one already, where a heading is its own.
+
+    A name counts as a whole: ``site-footer`` is a footer, ``has-sidebar`` is none. One of which only a word is known, or that has another sense, leaves it open (None)."""
     unsure = False
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -134,12 +137,11 @@ def _unwanted(tag: str, attrs: str, inside: bool) -> bool | None:
         if name == "role" and value in ROLES:
             return True
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = set(_WORD.findall(value))
-            if not inside and words & (NAMES | HEADS):
-                return True
-            if any(own <= NAMES and own - UNSURE for own in (set(_WORD.findall(x)) for x in value.split()) if own):
-                return True
-            unsure |= bool(words & NAMES)
+            parts, around = (NAMES, frozenset()) if inside else (NAMES | HEADS, PLACES)
+            for own in (set(_WORD.findall(x)) for x in value.split()):
+                if own & parts - UNSURE and own <= parts | around:
+                    return True
+                unsure |= bool(own & NAMES)
     return (True if tag == "a" else None) if unsure else False
 
 
@@ -260,8 +262,9 @@ def _measured(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
 def main_text(page: str | None) -> str:
     nodes, found = blocks_of(page or "")
     _measured(nodes, found)
-    for n in nodes:  # what stands in an element of an unsure name that holds controls or is mostly links
-        n.bad = (n.parent is not None and n.parent.bad) or (n.suspect and (n.controls or 2 * n.links > n.size))
+    whole = nodes[0].size
+    for n in nodes:  # what stands in an element of an unsure name that is mostly links, or holds controls and not most of the page
+        n.bad = (n.parent is not None and n.parent.bad) or (n.suspect and (2 * n.links > n.size or (n.controls and 2 * n.size < whole)))
     found = [b for b in found if not b[0].bad]
     if not found:
         return ""
@@ -292,8 +295,9 @@ def main_text(page: str | None) -> str:
             n.top = n if n.parent is best.parent else n.parent.top if n.parent is not None else None
         for n in {block.top for block, _, _ in found}:
             if n is not None and n is not best and n.tag not in ("li", "td", "th", "tr"):
-                long = n.tag in PARAGRAPHS and _density(n) < 0.25 and (n.size > 80 or n.tag in ("h1", "h2"))
-                if value.get(n, 0.0) >= least or long:
+                # beside the best part of no article all blocks are its own, beside an article only what reads like its text or title
+                own = n.tag in PARAGRAPHS and _density(n) < 0.25 and (best.tag not in ("article", "main") or n.size > 80 or n.tag in ("h1", "h2"))
+                if value.get(n, 0.0) >= least or own:
                     keep.add(n)
     for n in nodes:
         n.inside = n in keep or (n.parent is not None and n.parent.inside)
