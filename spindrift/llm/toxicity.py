@@ -39,7 +39,8 @@ INSULTS = set("idiot moron stupid dumb loser scum trash pathetic worthless disgu
 YOU = set("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted tuyo".split())
 
 _WORD = re.compile(r"[^\W_]+(?:[*@$!1][^\W_]+)*")
-_OBSCURED = re.compile(r"[^\W\d_]+[*@$!013457]+[^\W\d_]+")
+#: Letters, signs, letters: from where letters begin, and without giving back, so that a long word is read once.
+_OBSCURED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$!013457]++[^\W\d_]++")
 _SPACED = re.compile(r"(?:\b[^\W\d_][ .*_-]){3,}")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 FEATURES = ["hit_rate", "hits", "kinds", "strongest", "strength", "insult_rate", "near_you", "you_rate", "capitals", "exclaims", "punctuation", "obscured", "spaced", "stretched", "log_words", "word_length"]
@@ -88,7 +89,8 @@ def features(text: str, lexicon: dict[str, tuple[int, int]], totals: tuple[int,
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2
+    """Whether a row is kept from learning; a row without an id is not held out, and has no label."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
