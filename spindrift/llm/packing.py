@@ -64,12 +64,12 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
 
 
 def queues(rows: DataFrame, pieces: int) -> DataFrame:
-    """``rows`` (row, source, n) with ``at``: the tokens before it in its source's queue."""
+    """``rows`` (row, source, n) with ``piece`` (of its source) and ``at``: the tokens before it in its source's queue."""
     dealt = rows.withColumn("piece", F.pmod(F.xxhash64("row"), F.lit(pieces)))
     inside = dealt.withColumn("at", F.sum("n").over(Window.partitionBy("source", "piece").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     sums = dealt.groupBy("source", "piece").agg(F.sum("n").alias("m"))
     before = sums.select("source", "piece", (F.sum("m").over(Window.partitionBy("source").orderBy("piece")) - F.col("m")).alias("before"))
-    return inside.join(before.hint("merge"), ["source", "piece"]).select("row", "source", "n", (F.col("at") + F.col("before")).alias("at"))
+    return inside.join(before.hint("merge"), ["source", "piece"]).select("row", "source", "piece", "n", (F.col("at") + F.col("before")).alias("at"))
 
 
 def credited(rows: DataFrame, proportions: dict[str, float] | None, per_round: int, flatten: float) -> DataFrame:
@@ -108,9 +108,11 @@ def pack(docs: DataFrame, proportions: dict[str, float] | None = None, length: i
     """Pieces: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     held = written(tokenized(docs, path or tokenizer_path(), end).withColumn("row", F.monotonically_increasing_id()), "tokens")
-    rows = written(queues(held.select("row", "source", "n"), partitions(spark)), "queues")
-    credits = credited(rows, proportions, per_round, flatten)
-    spots = placed(rows.join(credits.hint("merge"), "source"), length)
+    pieces = partitions(spark)
+    rows = written(queues(held.select("row", "source", "n"), pieces), "queues")
+    # a credit for each piece of a source, so that a source with most rows is joined in as many tasks
+    credits = credited(rows, proportions, per_round, flatten).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))))
+    spots = placed(rows.join(credits.hint("merge"), ["source", "piece"]), length)
     spans = spots.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "pos"))).alias("spans"))
     met = held.select("row", "doc_id", "ids", "n").join(spans.hint("merge"), "row").select("doc_id", "ids", "n", "spans")
 
