@@ -39,7 +39,7 @@ BITS = 27
 #: Bytes of text that are counted together.
 CHUNK = 1 << 20
 #: Hashes that a task adds up before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 _SALTS = 64
 _BLOCK = 1 << 19
 #: The bits of a hash that are shuffled.
@@ -286,20 +286,27 @@ def _wide(c: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each language's first ``top`` phrases."""
-    known = written(counts(docs, least, bits), "phrase-counts")
-    totals = known.where("size(words) = 0").select("lang", F.col("f").alias("n"))
-    phrases = known.where("size(words) > 0")
-    candidates = phrases.where("size(words) > 1").select("lang", "words", F.col("f").alias("a"))
-    cut = candidates.select("*", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
-    parts = cut.select("*", F.slice("words", 1, F.col("k")).alias("left"), F.expr("slice(words, k + 1, size(words) - k)").alias("right"))
-    met = parts.join(phrases.select("lang", F.col("words").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(phrases.select("lang", F.col("words").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    known = written(counts(docs, least, bits).select("lang", F.array_join("words", " ").alias("phrase"), F.size("words").alias("m"), "f"), "phrase-counts")
+    totals = known.where("m = 0").select("lang", F.col("f").alias("n"))
+    phrases = known.where("m > 0").select("lang", "phrase", "m", "f")
+    candidates = phrases.where("m > 1").select("lang", "phrase", "m", F.col("f").alias("a"))
+    # a row for each part of each cut; both parts of a cut meet again by phrase
+    cut = candidates.withColumn("w", F.split("phrase", " ")).select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
+    said = lambda first, n: F.array_join(F.expr(f"slice(w, {first}, {n})"), " ")
+    sides = F.array(F.struct(F.lit(True).alias("first"), said("1", "k").alias("part")), F.struct(F.lit(False).alias("first"), said("k + 1", "size(w) - k").alias("part")))
+    parts = cut.select("lang", "phrase", "a", "k", F.explode(sides).alias("s")).select("lang", "phrase", "a", "k", "s.first", "s.part")
+    met = parts.join(phrases.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
     score = F.expr("cast(2000000 as decimal(38,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
-    lowest = met.withColumn("score", score).groupBy("lang", "words", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
+    side = lambda first: F.max(F.when(F.col("first") == first, F.col("f")))
+    # dealt once, for both groupings and the join after them
+    scored = met.repartition("lang", "phrase").groupBy("lang", "phrase", "a", "k").agg(side(True).alias("l"), side(False).alias("r")).withColumn("score", score)
+    lowest = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
     # each phrase's parts of two words or more, with the largest count of a longer one
-    inner = candidates.where("size(words) > 2").select("lang", "a", F.explode(F.expr(f"flatten(transform(sequence(2, {ORDER - 1}), m -> if(m < size(words), transform(sequence(1, size(words) - m + 1), i -> slice(words, i, m)), array())))")).alias("words"))
-    longer = inner.groupBy("lang", "words").agg(F.max("a").alias("inside"))
-    left = lowest.join(longer, ["lang", "words"], "left").where(F.col("inside").isNull() | (_wide(F.col("inside")) * 100 < _wide(F.col("a")) * 80))
-    ranked = left.select("lang", F.array_join("words", " ").alias("phrase"), "a", "m.l", "m.r", "m.score")
+    inner = candidates.where("m > 2").withColumn("w", F.split("phrase", " "))
+    inner = inner.select("lang", "a", F.explode(F.expr(f"flatten(transform(sequence(2, {ORDER - 1}), n -> if(n < m, transform(sequence(1, m - n + 1), i -> array_join(slice(w, i, n), ' ')), array())))")).alias("phrase"))
+    longer = inner.groupBy("lang", "phrase").agg(F.max("a").alias("inside"))
+    left = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("inside").isNull() | (_wide(F.col("inside")) * 100 < _wide(F.col("a")) * 80))
+    ranked = left.select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     some = ranked.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(_SALTS))).withColumn("i", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("i") <= top)
     first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
