@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.operators.novelty import _kept
+
 
 def group_claims(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Relevant rows of the first k, each with ``claims``: whether it is the first of its group."""
@@ -69,11 +71,69 @@ def metric_rollup(results: DataFrame) -> DataFrame:
 
 
 def latency_stats(samples: DataFrame, *keys: str) -> DataFrame:
-    """count, mean, median, nearest-rank p95, min and max of ``value``."""
-    return samples.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("median"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"),
+    """n, mean, median, nearest-rank p95, least and most of ``value``; nulls are no samples. Without ``keys`` one row, of zeros where there are no samples.
+
+    Different values are counted first and dealt by ranges of (keys, value), so that a group of any size lies in many tasks; a range's values before it are
+    known from sums of ranges, and only rows at the wanted ranks go on. No task holds a group."""
+    threads = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("k0")]
+    group = [f"k{i}" for i in range(len(by))]
+    counted = samples.where("value is not null").select(*by, F.col("value").cast("double").alias("value")).groupBy(*group, "value").agg(F.count("*").alias("w"))
+    dealt = _kept(counted.repartitionByRange(threads, *group, "value").withColumn("part", F.spark_partition_id()), "sample-counts")
+    sums = dealt.groupBy(*group, "part").agg(F.sum("w").alias("m"))  # a row for each group and range
+    upto = F.sum("m").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    before = sums.select(*[F.col(c).alias(f"b_{c}") for c in group], F.col("part").alias("b_part"), upto.alias("before"), F.sum("m").over(Window.partitionBy(*group)).alias("n"))
+    same = F.col("part") == F.col("b_part")
+    for c in group:
+        same &= F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    inside = F.sum("w").over(Window.partitionBy(*group, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.withColumn("inside", inside).join(before, same).select(*group, "value", "w", "n", (F.col("inside") + F.col("before")).alias("last"))
+    holds = lambda rank: (F.col("last") >= rank) & (F.col("last") - F.col("w") < rank)
+    low, high, late = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1, F.floor((19 * F.col("n") + 19) / 20)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("value")))
+    # sums of values by ranges, in the order of values, so that no order of rows changes them
+    out = placed.groupBy(*group).agg(F.sum("w").alias("n"), F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 6).alias("mean"), ((at(low) + at(high)) / 2).alias("median"), at(late).alias("p95"), F.min("value").alias("least"), F.max("value").alias("most"))
+    names = ["n", "mean", "median", "p95", "least", "most"]
+    if keys:
+        return out.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], *names)
+    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in names[1:]])
+
+
+METRICS = ["recall5", "mrr5", "ndcg5", "recall8", "rerank_recall5", "rerank_mrr5", "rerank_ndcg5"]
+LATENCIES = ["retrieval", "reranker", "combined"]
+
+
+def evaluation_report(results: DataFrame, failures: DataFrame) -> DataFrame:
+    """The whole report by topic and (topic null, is_total 1) overall: how many queries succeeded and failed, ratios, averages of both rankings, outcomes, and latencies.
+
+    ``results``: query_id, topic, ``METRICS``, outcome, and ``LATENCIES`` in milliseconds; ``failures``: query_id, topic, stage. Averages and latencies are zero where nothing succeeded."""
+    results = _kept(results, "results")
+    all_of = [[F.col("topic")], []]
+    mark = F.grouping("topic").cast("int").alias("is_total")
+    done = results.groupingSets(all_of, F.col("topic")).agg(
+        mark, F.count("*").alias("successful"), *[F.round(F.avg(c), 9).alias(c) for c in METRICS],
+        *[F.count_if(F.col("outcome") == x).alias(x) for x in ("improved", "degraded", "unchanged")],
     )
+    lost = failures.groupingSets(all_of, F.col("topic")).agg(mark, F.count("*").alias("failed"))
+    both = done.join(lost.withColumnsRenamed({"topic": "t", "is_total": "i"}), F.col("topic").eqNullSafe(F.col("t")) & (F.col("is_total") == F.col("i")), "full")
+    topic, total = F.coalesce("topic", "t").alias("topic"), F.coalesce("is_total", "i").alias("is_total")
+    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    out = both.select(topic, total, *[zero(c, 0) for c in ("successful", "failed", "improved", "degraded", "unchanged")], *[zero(c, 0.0) for c in METRICS])
+    n = F.col("successful") + F.col("failed")
+    ratio = lambda c: F.when(n > 0, F.round(F.col(c) / n, 9)).otherwise(0.0)
+    out = out.withColumns({"total_queries": n, "successful_ratio": ratio("successful"), "failed_ratio": ratio("failed")})
+    spans = results.select("topic", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in LATENCIES])).alias("s")).select("topic", "s.kind", "s.value")
+    wide = ["mean", "median", "p95", "least", "most"]
+
+    def pivoted(stats: DataFrame, *keys: str) -> DataFrame:
+        each = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0.0)).alias(f"{k}_{c}") for k in LATENCIES for c in wide]
+        return stats.groupBy(*keys).agg(*each)
+
+    by_topic = pivoted(latency_stats(spans, "topic", "kind"), "topic").withColumn("i", F.lit(0))
+    overall = pivoted(latency_stats(spans, "kind")).select(F.lit(None).cast(results.schema["topic"].dataType).alias("topic"), "*", F.lit(1).alias("i"))
+    took = by_topic.unionByName(overall).withColumnRenamed("topic", "t")
+    met = out.join(took, F.col("topic").eqNullSafe(F.col("t")) & (F.col("is_total") == F.col("i")), "left").drop("t", "i")
+    return met.fillna(0.0, [f"{k}_{c}" for k in LATENCIES for c in wide])
 
 
 def golden_checks(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -93,16 +153,33 @@ def golden_checks(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return out
 
 
-def run_gate(cases: DataFrame, least_success: float = 0.95) -> DataFrame:
-    """One row: counts of case outcomes and the release decision."""
-    return cases.agg(
-        F.count("*").alias("n_cases"), F.count_if("success").alias("n_success"), F.count_if("fallback").alias("n_fallback"), F.count_if("suspicious").alias("n_suspicious"),
-        F.coalesce(F.bool_and("order_preserved"), F.lit(False)).alias("order_preserved"),
-    ).withColumn("release", F.col("order_preserved") & (F.col("n_suspicious") == 0) & (F.col("n_success") >= least_success * F.col("n_cases")))
+#: What a run's environment must show beside its cases; the values that let it be released.
+CONDITIONS = {"fail_open_succeeded": True, "fail_open_logged": True, "fail_closed_propagated": True, "fail_closed_calls": 0, "reranker_attempts": 0, "cleanup_completed": True}
+
+
+def run_gate(cases: DataFrame, observed: dict[str, object], inserted: int, deleted: int) -> DataFrame:
+    """One row: counts of case outcomes, the conditions that don't hold, and the decision.
+
+    ``cases``: success, fallback, suspicious, context_non_empty, order_preserved. A run is released when no case failed or is suspicious, all have context and
+    their order, ``observed`` equals ``CONDITIONS``, and what the run inserted was deleted. A null flag doesn't hold; no cases: their conditions hold."""
+    if set(observed) != set(CONDITIONS):
+        raise ValueError(f"observed must have {', '.join(CONDITIONS)}")
+    off = lambda c: F.count_if(~F.coalesce(F.col(c), F.lit(False)))
+    told = cases.agg(
+        F.count("*").alias("n_cases"), off("success").alias("n_failed"), F.count_if("fallback").alias("n_fallback"), F.count_if(F.coalesce(F.col("suspicious"), F.lit(True))).alias("n_suspicious"),
+        off("context_non_empty").alias("n_without_context"), off("order_preserved").alias("n_order_lost"),
+    )
+    against = [F.when(F.col(c) > 0, c) for c in ("n_failed", "n_suspicious", "n_without_context", "n_order_lost")]
+    against += [F.lit(c) for c, want in CONDITIONS.items() if observed[c] != want] + ([F.lit("deleted_count")] if inserted != deleted else [])
+    return told.withColumn("against", F.array_join(F.array_compact(F.array(*against)), ",")).withColumn("release", F.col("against") == "")
 
 
-def index_preflight(vectors: DataFrame, expected: int, dimension: int) -> DataFrame:
-    """One row: rows and dimensions of an index and what differs from what is expected."""
-    found = vectors.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("least_dim"), F.max(F.size("vector")).alias("most_dim"))
-    wrong = F.array_compact(F.array(F.when(F.col("n") != expected, "count"), F.when((F.col("least_dim") != dimension) | (F.col("most_dim") != dimension), "dimension")))
-    return found.withColumn("mismatches", F.array_join(wrong, ","))
+def index_preflight(vectors: DataFrame, expected: int, dimension: int, namespace: str, metric: str, expected_metric: str = "cosine") -> DataFrame:
+    """One row: what an index holds and what differs from what is expected. ``vectors``: namespace, vector; ``metric``: what the index compares by."""
+    found = vectors.agg(
+        F.count("*").alias("n"), F.count_if(F.col("namespace").eqNullSafe(F.lit(namespace))).alias("n_namespace"), F.min(F.size("vector")).alias("least_dim"), F.max(F.size("vector")).alias("most_dim"),
+        F.array_join(F.array_sort(F.collect_set(F.coalesce("namespace", F.lit("")))), ",").alias("namespaces"),
+    )
+    dims = (F.col("least_dim") != dimension) | (F.col("most_dim") != dimension) | F.col("least_dim").isNull()
+    wrong = [F.when(dims, "dimension"), F.when(F.lit(metric) != expected_metric, "metric"), F.when(F.col("n_namespace") != expected, "namespace_vector_count"), F.when(F.col("n") != expected, "total_vector_count"), F.when(F.col("namespaces") != namespace, "namespaces")]
+    return found.withColumn("mismatches", F.array_join(F.array_compact(F.array(*wrong)), ","))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from spindrift.functions import text as T
 from spindrift.operators import corpus as C
 from spindrift.operators import evaluation as E
+from spindrift.operators import hooks as H
 from spindrift.operators import novelty as N
 from spindrift.operators import progress as P
+from spindrift.operators import pruned
 from spindrift.operators import ratelimit as L
 from spindrift.operators import retrieval as R
 from spindrift.plans import corpus_queries, record_queries
@@ -201,9 +203,6 @@ def metric_rollup(s, d):
     return E.metric_rollup(base.join(ab.select("query_id", "outcome"), "query_id").join(q.select("query_id", F.col("label").alias("topic")), "query_id"))
 
 
-QUERIES["full_report"], SQL["full_report"] = metric_rollup, SQL["metric_rollup"]
-
-
 @query(f"""WITH {_TOP},{_metric_sql('m', 'top', 5)},{_metric_sql('e', 'top', 8)},{_metric_sql('n', 're', 5)}
     SELECT query_id, m.recall AS recall5, m.mrr AS mrr5, m.ndcg AS ndcg5, e.recall AS recall8, n.recall AS rerank_recall5, n.mrr AS rerank_mrr5, n.ndcg AS rerank_ndcg5 FROM m JOIN e USING (query_id) JOIN n USING (query_id)""")
 def evaluate_run(s, d):
@@ -214,6 +213,67 @@ def evaluate_run(s, d):
     return five.join(eight, "query_id").join(again, "query_id")
 
 
+#: In the report of the query, latencies come from ids, and every third query fails at the reranker.
+_TOOK = {"retrieval": "((query_id * 37) % 1000) / 10.0", "reranker": "((query_id * 91) % 500) / 10.0", "combined": "((query_id * 37) % 1000) / 10.0 + ((query_id * 91) % 500) / 10.0"}
+_SPANS = ", ".join(f"coalesce(round(avg({k}), 6), 0)::DOUBLE AS {k}_mean, coalesce(median({k}), 0)::DOUBLE AS {k}_median, coalesce(quantile_disc({k}, 0.95), 0)::DOUBLE AS {k}_p95, coalesce(min({k}), 0)::DOUBLE AS {k}_least, coalesce(max({k}), 0)::DOUBLE AS {k}_most" for k in _TOOK)
+
+
+@query(f"""{_AB}, {_metric_sql('e', 'top', 8)[1:]},
+    told AS (SELECT q.label AS topic, query_id % 60 = 0 AS lost, m.recall AS recall5, m.mrr AS mrr5, m.ndcg AS ndcg5, e.recall AS recall8, n.recall AS rerank_recall5, n.mrr AS rerank_mrr5, n.ndcg AS rerank_ndcg5, outcome,
+      {', '.join(f'({v})::DOUBLE AS {k}' for k, v in _TOOK.items())} FROM q JOIN m USING (query_id) JOIN e USING (query_id) JOIN n USING (query_id) JOIN ab USING (query_id)),
+    sound AS (SELECT topic, lost, outcome, {', '.join(f'CASE WHEN NOT lost THEN {c} END AS {c}' for c in [*E.METRICS, *_TOOK])} FROM told)
+    SELECT topic, grouping(topic)::INTEGER AS is_total, count(*) FILTER (NOT lost) AS successful, count(*) FILTER (lost) AS failed, count(*) AS total_queries, round(count(*) FILTER (NOT lost) / count(*), 9) AS successful_ratio, round(count(*) FILTER (lost) / count(*), 9) AS failed_ratio,
+      {', '.join(f"count(*) FILTER (NOT lost AND outcome = '{x}') AS {x}" for x in ('improved', 'degraded', 'unchanged'))}, {', '.join(f'coalesce(round(avg({c}), 9), 0)::DOUBLE AS {c}' for c in E.METRICS)}, {_SPANS} FROM sound GROUP BY GROUPING SETS ((topic), ())""")
+def full_report(s, d):
+    q, c = _vectors(s, d)
+    top = N._kept(R.vector_topk(q, c), "top")
+    again = N._kept(_reranked(top), "reranked")
+    base, other = _metrics(s, d, 5, top), _metrics(s, d, 5, again)
+    named = lambda df, **names: df.select("query_id", *[F.col(v).alias(k) for k, v in names.items()])
+    met = named(base, recall5="recall", mrr5="mrr", ndcg5="ndcg").join(named(_metrics(s, d, 8, top), recall8="recall"), "query_id").join(named(other, rerank_recall5="recall", rerank_mrr5="mrr", rerank_ndcg5="ndcg"), "query_id")
+    met = met.join(E.ab_outcome(base, other).select("query_id", "outcome"), "query_id").join(q.select("query_id", F.col("label").alias("topic")), "query_id")
+
+    def rerank_all(ids: list) -> list:
+        if any(i % 60 == 0 for i in ids):
+            raise RuntimeError("no answer")
+        return [((i * 91) % 500) / 10.0 for i in ids]
+
+    made = H.hooked(met, "query_id", "reranker", "double", rerank_all, "reranker", on_error="capture")
+    failures = made.where("error is not null").select("query_id", "topic", "error.stage")
+    took = made.where("error is null").drop("error").withColumns({"retrieval": F.expr("cast(((query_id * 37) % 1000) / 10.0 as double)")}).withColumn("combined", F.col("retrieval") + F.col("reranker"))
+    return E.evaluation_report(took, failures)
+
+
+@query(f"WITH {_TOP} SELECT * FROM top WHERE rank <= 8")
+def query_corpus(s, d):
+    return pruned.query_corpus(*_vectors(s, d))[0]
+
+
+def _asking(s, d):
+    """Documents as queries; the retriever fails for every third."""
+    def retrieve(texts: list) -> list:
+        if any(int(t) % 3 == 0 for t in texts):
+            raise ConnectionError("index is away")
+        return [f"context of {t}" for t in texts]
+
+    return read(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("text")), retrieve
+
+
+@query("SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'context of ' || doc_id END AS context FROM documents")
+def rag_context_fail_open(s, d):
+    return H.provided_context(*_asking(s, d))[0]
+
+
+@query("SELECT doc_id AS query_id, 'retrieval' AS stage, 'ConnectionError: index is away' AS message FROM documents WHERE doc_id % 3 = 0")
+def dead_letters(s, d):
+    return H.provided_context(*_asking(s, d))[1]
+
+
+@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, median(value) AS median, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events")
+def latency_overall(s, d):
+    return E.latency_stats(read(s, d, "events"))
+
+
 @query("SELECT DISTINCT vec_id + 3 AS doc_id FROM embeddings WHERE vec_id + 3 NOT IN (SELECT vec_id FROM embeddings)")
 def unknown_qrels(s, d):
     _, c = _vectors(s, d)
@@ -232,15 +292,18 @@ def latency_stats(s, d):
     return E.latency_stats(read(s, d, "events"), "event_type")
 
 
-@query("""SELECT count(*) AS n_cases, count(*) FILTER (value >= 0) AS n_success, count(*) FILTER (event_type = 'click') AS n_fallback, count(*) FILTER (value < 0) AS n_suspicious, bool_and(event_id >= 0) AS order_preserved,
-    bool_and(event_id >= 0) AND count(*) FILTER (value < 0) = 0 AND count(*) FILTER (value >= 0) >= 0.95 * count(*) AS release FROM events""")
+@query("""SELECT *, concat_ws(',', CASE WHEN n_failed > 0 THEN 'n_failed' END, CASE WHEN n_suspicious > 0 THEN 'n_suspicious' END, CASE WHEN n_without_context > 0 THEN 'n_without_context' END, CASE WHEN n_order_lost > 0 THEN 'n_order_lost' END, 'fail_closed_calls') AS against, false AS release
+    FROM (SELECT count(*) AS n_cases, count(*) FILTER (value < 20) AS n_failed, count(*) FILTER (event_type = 'click') AS n_fallback, count(*) FILTER (value < 0) AS n_suspicious, count(*) FILTER (user_id % 50 = 0) AS n_without_context, count(*) FILTER (event_id < 0) AS n_order_lost FROM events)""")
 def run_gate(s, d):
-    return E.run_gate(read(s, d, "events").select((F.col("value") >= 0).alias("success"), (F.col("event_type") == "click").alias("fallback"), (F.col("value") < 0).alias("suspicious"), (F.col("event_id") >= 0).alias("order_preserved")))
+    e = read(s, d, "events")
+    cases = e.select((F.col("value") >= 20).alias("success"), (F.col("event_type") == "click").alias("fallback"), (F.col("value") < 0).alias("suspicious"), (F.col("user_id") % 50 != 0).alias("context_non_empty"), (F.col("event_id") >= 0).alias("order_preserved"))
+    return E.run_gate(cases, E.CONDITIONS | {"fail_closed_calls": 1}, 3, 3)
 
 
-@query("SELECT count(*) AS n, min(len(embedding))::INTEGER AS least_dim, max(len(embedding))::INTEGER AS most_dim, concat_ws(',', CASE WHEN count(*) <> 500 THEN 'count' END, CASE WHEN min(len(embedding)) <> 768 THEN 'dimension' END) AS mismatches FROM embeddings")
+@query("""SELECT *, concat_ws(',', CASE WHEN least_dim <> 768 OR most_dim <> 768 THEN 'dimension' END, CASE WHEN n_namespace <> 500 THEN 'namespace_vector_count' END, CASE WHEN n <> 500 THEN 'total_vector_count' END, CASE WHEN namespaces <> 'l3' THEN 'namespaces' END) AS mismatches
+    FROM (SELECT count(*) AS n, count(*) FILTER (label = 3) AS n_namespace, min(len(embedding))::INTEGER AS least_dim, max(len(embedding))::INTEGER AS most_dim, string_agg(DISTINCT 'l' || label, ',' ORDER BY 'l' || label) AS namespaces FROM embeddings)""")
 def index_preflight(s, d):
-    return E.index_preflight(_vectors(s, d)[1], 500, 768)
+    return E.index_preflight(_vectors(s, d)[1].withColumn("namespace", F.concat(F.lit("l"), F.col("label"))), 500, 768, "l3", "cosine")
 
 
 @query(f"""WITH {_TOP}, c AS (SELECT query_id, list(doc_id ORDER BY rank) FILTER (rank <= 5) AS a FROM top GROUP BY 1), f AS (SELECT query_id, count(*) AS n, list(doc_id ORDER BY rank) FILTER (rank <= 5) AS b FROM ftop WHERE rank <= 8 GROUP BY 1)
