@@ -48,31 +48,40 @@ def stream_novelty_guard(spark: SparkSession, stream: DataFrame, references: Dat
 
 
 def stream_rate_limit(stream: DataFrame, limit: int, window_s: int, late: str = "1 hour") -> DataFrame:
-    """``stream`` (key, ts, event_id) with ``allowed``, sliding; arrivals wait for the watermark and are released in order of time."""
-    span = window_s * 1000
+    """``stream`` (key, ts, event_id) with ``allowed``, sliding; arrivals wait for the watermark and are released in order of time, to the microsecond.
+
+    State of a key is what was accepted within the window (``limit`` times at most) and what waits. Arrivals behind the watermark are dropped by Spark before they come here."""
+    span = window_s * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        from collections import deque
+
         log, waiting = state.get if state.exists else ([], [])
-        log, waiting = list(log), [tuple(x) for x in waiting]
+        log, waiting = deque(log), [tuple(x) for x in waiting]
         for b in batches:
-            waiting += [(int(t.timestamp() * 1000), int(e)) for t, e in zip(b["ts"], b["event_id"], strict=True)]
+            waiting += zip((b["ts"].astype("datetime64[us]").astype("int64")).tolist(), b["event_id"].astype("int64").tolist(), strict=True)
         mark = state.getCurrentWatermarkMs()
         waiting.sort()
-        out = []
-        while waiting and (waiting[0][0] <= mark or state.hasTimedOut):
-            at, event = waiting.pop(0)
-            log = [t for t in log if t > at - span]
+        out, due = [], 0
+        for at, event in waiting:
+            if at > mark * 1000:
+                break
+            due += 1
+            while log and log[0] <= at - span:
+                log.popleft()
             allowed = len(log) < limit
             if allowed:
                 log.append(at)
             out.append((key[0], event, allowed))
+        waiting = waiting[due:]
+        wake = lambda at: max(mark + 1, -(-at // 1000))
         if waiting:
-            state.update((log, [list(x) for x in waiting]))
-            state.setTimeoutTimestamp(max(mark + 1, waiting[0][0]))
-        elif log and log[-1] + span > mark:
-            state.update((log, []))
-            state.setTimeoutTimestamp(max(mark + 1, log[-1] + span))
-        else:
+            state.update((list(log), [list(x) for x in waiting]))
+            state.setTimeoutTimestamp(wake(waiting[0][0]))
+        elif log and log[-1] + span > mark * 1000:
+            state.update((list(log), []))
+            state.setTimeoutTimestamp(wake(log[-1] + span))
+        elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
 
