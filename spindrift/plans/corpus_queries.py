@@ -124,6 +124,12 @@ def map_document(s, d):
     return A.corpus_documents(A.read_papers(_papers(s, d)))
 
 
+@query(f"WITH {_PAPER} SELECT d.source, section, i AS number, {_CONTEXT} AS context FROM doc d JOIN err e ON e.k = d.k WHERE e.early IS NULL AND d.r <> 1 AND NOT bad")
+def context_prefix(s, d):
+    each = A.named_exercises(A.read_papers(_papers(s, d)))
+    return each.select("source", "section", "number", A.context_prefix(F.col("m"), F.col("section"), F.col("number")).alias("context"))
+
+
 @query(f"WITH {_PAPER} SELECT d.source, section, i AS number, d.id FROM doc d JOIN err e ON e.k = d.k WHERE e.early IS NULL AND d.r <> 1 AND NOT bad")
 def stable_id(s, d):
     each = A.named_exercises(A.read_papers(_papers(s, d)))
@@ -187,6 +193,22 @@ def render_prompt(s, d):
     return A.render_prompt(docs, "Topic: {lang}{context}\nWrite about {n_chars} characters.", {"context": "\nContext:\n{context}\n"}).select("doc_id", "prompt")
 
 
+@query("""SELECT doc_id, 'Topic: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Rejected: too close to ' || source ELSE '' END || chr(10) || 'Candidate:' || chr(10) || coalesce(text, '') AS prompt FROM documents""")
+def render_repair_prompt(s, d):
+    """A repair is a template with the reason, where there is one, and the whole candidate."""
+    docs = s.read.parquet(f"{d}/documents.parquet").withColumn("reason", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("too close to "), "source")))
+    return A.render_prompt(docs, "Topic: {lang}{reason}\nCandidate:\n{text}", {"reason": "\nRejected: {reason}"}).select("doc_id", "prompt")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_main' ELSE 'file_access' END AS contract FROM documents")
+def executable_contract(s, d):
+    """Programs of which each holds a document, a main and a file in a comment, where they don't count."""
+    k, body = F.col("doc_id") % 4, ["int main() { return 0; }", "void f() {}", "int main() { std::ifstream in; }", 'int main() { read("data.TXT"); }']
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[*]/", "")
+    code = F.concat(F.lit("/* "), text, F.lit(" int main( ifstream */\n// int main( freopen(\n"), F.element_at(F.array(*map(F.lit, body)), (k + 1).cast("int")))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.executable_contract(code).alias("contract"))
+
+
 @query("SELECT l_orderkey AS submission_id, l_linenumber AS test_no, l_linestatus = l_returnflag AND l_linenumber % 3 <> 0 AND l_quantity < 45 AS passed FROM lineitem")
 def output_match(s, d):
     li = s.read.parquet(f"{d}/lineitem.parquet")
