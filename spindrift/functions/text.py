@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters of the corpora and their plain forms, one for one.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿășțşţÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĂȘȚŞŢ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaststAAAAAACEEEEIIIINOOOOOUUUUYASTST"
+from spindrift.functions import unicode as U
 
 
 def fold_text(t: Column) -> Column:
-    """Lower-cased ASCII: accents dropped, other letters removed."""
-    return F.lower(F.regexp_replace(F.translate(t, ACCENTED, PLAIN), "[^\\x00-\\x7F]", ""))
+    """Lower-cased ASCII of the compatibility decomposition: accents dropped, other letters removed."""
+    return F.lower(F.when(t.rlike("[^\\x00-\\x7F]"), F.regexp_replace(U.each(t, U.ascii_form), "[^\\x00-\\x7F]", "")).otherwise(t))
 
 
 def normalize_for_similarity(t: Column) -> Column:
@@ -21,7 +19,10 @@ def normalize_for_similarity(t: Column) -> Column:
 
 
 def tokens(t: Column) -> Column:
-    return F.regexp_extract_all(F.replace(F.lower(F.coalesce(t, F.lit(""))), F.lit("ß"), F.lit("ss")), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """Runs of letters and digits of the case-folded compatibility form; null has none."""
+    said = F.coalesce(t, F.lit(""))
+    folded = F.when(said.rlike(f"[^{U.plain()}]"), U.folded(said)).otherwise(F.replace(F.lower(said), F.lit("ß"), F.lit("ss")))
+    return F.regexp_extract_all(folded, F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def constants(t: Column) -> Column:

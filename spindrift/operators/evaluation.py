@@ -136,8 +136,12 @@ def evaluation_report(results: DataFrame, failures: DataFrame) -> DataFrame:
     return met.fillna(0.0, [f"{k}_{c}" for k in LATENCIES for c in wide])
 
 
-def golden_checks(queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """Violations of a labelled query set: rule, query_id, item."""
+def golden_checks(queries: DataFrame, qrels: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Violations of a labelled query set: rule, query_id, item.
+
+    ``groups`` (query_id, group_id, n_documents) has one row for each group as it was written, which labels by document
+    can't tell: a group that stands there twice in a query, and one without documents.
+    """
     as_rule = lambda df, rule, q, item: df.select(F.lit(rule).alias("rule"), q.cast("string").alias("query_id"), item.cast("string").alias("item"))
     q, d, g = F.col("query_id"), F.col("doc_id"), F.col("group_id")
     parts = [
@@ -147,6 +151,11 @@ def golden_checks(queries: DataFrame, qrels: DataFrame) -> DataFrame:
         as_rule(qrels.where("trim(group_id) = ''").select("query_id", "group_id").distinct(), "blank_label", q, g),
         as_rule(queries.select("query_id").distinct().join(qrels, "query_id", "left_anti"), "no_relevance", q, q),
     ]
+    if groups is not None:
+        parts += [
+            as_rule(groups.groupBy("query_id", "group_id").count().where("count > 1"), "duplicate_group", q, g),
+            as_rule(groups.where("coalesce(n_documents, 0) = 0").select("query_id", "group_id").distinct(), "no_documents", q, g),
+        ]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -150,7 +150,11 @@ def candidate_reference_pairs(candidates: DataFrame, references: DataFrame) -> D
 
 
 def pair_similarity(pairs: DataFrame, jaccard: float = JACCARD, containment: float = CONTAINMENT) -> DataFrame:
-    """exact, token Jaccard, shingle containment, shared constants, overall and suspicious of given pairs (candidate_id, candidate, reference_id, reference)."""
+    """exact, token Jaccard, shingle containment of the statement and the solution, shared constants, copied test cases, overall and suspicious
+    of given pairs (candidate_id, candidate, reference_id, reference; solution and test_cases, an array of input and output, where there are any).
+
+    The solution counts for ``overall`` only; a pair is suspicious by its statement. Without solution or tests (or null) theirs is zero.
+    """
     grams = lambda w: F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
 
     def sides(w: Column) -> Column:
@@ -158,16 +162,26 @@ def pair_similarity(pairs: DataFrame, jaccard: float = JACCARD, containment: flo
 
     once = lambda c: F.transform(F.array(tokens(F.col(c))), sides)[0]
     x, y = F.col("x"), F.col("y")
-    cut = pairs.select("candidate_id", "reference_id", once("candidate").alias("x"), once("reference").alias("y"))
+    solution = F.col("solution") if "solution" in pairs.columns else F.lit(None).cast("string")
+    cases = F.col("test_cases") if "test_cases" in pairs.columns else F.lit(None).cast("array<struct<input:string,output:string>>")
+    normal = F.transform(cases, lambda t: F.struct(normalize_for_similarity(t["input"]).alias("input"), normalize_for_similarity(t["output"]).alias("output")))
+    solved = F.transform(F.array(tokens(solution)), grams)[0]
+    cut = pairs.select("candidate_id", "reference_id", once("candidate").alias("x"), once("reference").alias("y"), solved.alias("z"), F.coalesce(normal, F.array()).alias("cases"))
     common = F.size(F.array_intersect(x["set"], y["set"]))
     whole = F.size(x["set"]) + F.size(y["set"]) - common
-    shared, smaller = F.size(F.array_intersect(x["grams"], y["grams"])), F.least(F.size(x["grams"]), F.size(y["grams"]))
+
+
+    def contained(of: Column) -> Column:
+        smaller = F.least(F.size(of), F.size(y["grams"]))
+        return F.when(smaller > 0, F.round(F.size(F.array_intersect(of, y["grams"])) / smaller, 9)).otherwise(0.0)
+
     numbers = F.array_sort(F.filter(F.array_intersect(x["set"], y["set"]), lambda t: t.rlike("^[0-9]+$")))
     out = cut.select(
         "candidate_id", "reference_id", ((x["w"] == y["w"]) & (F.size(x["w"]) > 0)).alias("exact"),
-        F.when(whole > 0, F.round(common / whole, 9)).otherwise(0.0).alias("jaccard"), F.when(smaller > 0, F.round(shared / smaller, 9)).otherwise(0.0).alias("containment"), F.array_join(numbers, ",").alias("constants"),
+        F.when(whole > 0, F.round(common / whole, 9)).otherwise(0.0).alias("jaccard"), contained(x["grams"]).alias("containment"), contained(F.col("z")).alias("solution_containment"),
+        F.array_join(numbers, ",").alias("constants"), copied_test_cases(F.col("cases"), F.array_join(y["w"], " ")).alias("n_copied_tests"),
     )
-    return out.withColumns({"overall": F.greatest("jaccard", "containment"), "suspicious": F.col("exact") | (F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)})
+    return out.withColumns({"overall": F.greatest("jaccard", "containment", "solution_containment"), "suspicious": F.col("exact") | (F.col("jaccard") >= jaccard) | (F.col("containment") >= containment)})
 
 
 def highest_similarity(pairs: DataFrame) -> DataFrame:

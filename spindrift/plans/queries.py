@@ -281,10 +281,14 @@ def unknown_qrels(s, d):
 
 
 @query("""SELECT 'grade_out_of_range' AS rule, doc_id::VARCHAR AS query_id, 'g' || quality AS item FROM labels WHERE quality = 0
-    UNION ALL SELECT 'no_relevance', doc_id::VARCHAR, doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+    UNION ALL SELECT 'no_relevance', doc_id::VARCHAR, doc_id::VARCHAR FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'duplicate_group', doc_id::VARCHAR, 'g' || quality FROM labels WHERE toxic = 1 UNION ALL SELECT 'no_documents', doc_id::VARCHAR, 'g' || quality FROM labels WHERE quality = 1 AND toxic = 1""")
 def golden_checks(s, d):
+    """Labels as a labelled set: a toxic document's group stands there twice, once without documents where its quality is good."""
     lab = read(s, d, "labels")
-    return E.golden_checks(read(s, d, "documents").select(F.col("doc_id").alias("query_id")), lab.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("g"), F.col("quality")).alias("group_id"), F.col("quality").alias("grade"), "doc_id"))
+    q, g = F.col("doc_id").alias("query_id"), F.concat(F.lit("g"), F.col("quality")).alias("group_id")
+    groups = lab.select(q, g, F.lit(1).alias("n")).union(lab.where("toxic = 1").select(q, g, (1 - F.col("quality")).cast("int")))
+    return E.golden_checks(read(s, d, "documents").select(q), lab.select(q, g, F.col("quality").alias("grade"), "doc_id"), groups.withColumnRenamed("n", "n_documents"))
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, median(value) AS median, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
@@ -375,14 +379,22 @@ def candidate_reference_pairs(s, d):
     return _asked(s, d)
 
 
-@query(f"""WITH t AS (SELECT candidate_id, reference_id, {_TOK.replace('text', 'candidate')} AS x, {_TOK.replace('text', 'reference')} AS y FROM ({_ASKED})),
-    g AS (SELECT *, list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i+4], ' '))) AS gx, list_distinct(list_transform(range(1, len(y) - 3), lambda i: array_to_string(y[i:i+4], ' '))) AS gy, list_intersect(list_distinct(x), list_distinct(y)) AS c FROM t),
-    m AS (SELECT *, len(list_distinct(x)) + len(list_distinct(y)) - len(c) AS u, least(len(gx), len(gy)) AS l FROM g),
+@query(f"""WITH a AS (SELECT p.*, d.text AS solution FROM ({_ASKED}) p LEFT JOIN documents d ON d.doc_id = p.candidate_id + 1),
+    t AS (SELECT candidate_id, reference_id, {_TOK.replace('text', 'candidate')} AS x, {_TOK.replace('text', 'reference')} AS y, {_TOK.replace('text', 'solution')} AS z FROM a),
+    g AS (SELECT *, list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i+4], ' '))) AS gx, list_distinct(list_transform(range(1, len(y) - 3), lambda i: array_to_string(y[i:i+4], ' '))) AS gy,
+      list_distinct(list_transform(range(1, len(z) - 3), lambda i: array_to_string(z[i:i+4], ' '))) AS gz, list_intersect(list_distinct(x), list_distinct(y)) AS c, array_to_string(y, ' ') AS said, array_to_string(x[1:2], ' ') AS i, coalesce(x[3], '') AS o FROM t),
+    m AS (SELECT *, len(list_distinct(x)) + len(list_distinct(y)) - len(c) AS u, least(len(gx), len(gy)) AS l, least(len(gz), len(gy)) AS lz FROM g),
     r AS (SELECT candidate_id, reference_id, x = y AND len(x) > 0 AS exact, CASE WHEN u > 0 THEN round(len(c) / u, 9) ELSE 0 END::DOUBLE AS jaccard, CASE WHEN l > 0 THEN round(len(list_intersect(gx, gy)) / l, 9) ELSE 0 END::DOUBLE AS containment,
-      array_to_string(list_sort(list_filter(c, lambda t: regexp_full_match(t, '[0-9]+'))), ',') AS constants FROM m)
-    SELECT *, greatest(jaccard, containment) AS overall, exact OR jaccard >= 0.6 OR containment >= 0.6 AS suspicious FROM r""")
+      CASE WHEN lz > 0 THEN round(len(list_intersect(gz, gy)) / lz, 9) ELSE 0 END::DOUBLE AS solution_containment, array_to_string(list_sort(list_filter(c, lambda t: regexp_full_match(t, '[0-9]+'))), ',') AS constants,
+      (length(i) >= 4 AND o <> '' AND contains(said, i) AND contains(said, o))::INTEGER AS n_copied_tests FROM m)
+    SELECT *, greatest(jaccard, containment, solution_containment) AS overall, exact OR jaccard >= 0.6 OR containment >= 0.6 AS suspicious FROM r""")
 def pair_similarity(s, d):
-    return N.pair_similarity(_asked(s, d))
+    """The next document stands for the solution; the first two words and the third for a test case."""
+    after = read(s, d, "documents").select((F.col("doc_id") - 1).alias("candidate_id"), F.col("text").alias("solution"))
+    w = F.col("w")
+    case = F.struct(F.array_join(F.slice(w, 1, 2), " ").alias("input"), F.coalesce(F.get(w, F.lit(2)), F.lit("")).alias("output"))
+    tests = read(s, d, "documents").select(F.col("doc_id").alias("candidate_id"), T.tokens(F.col("text")).alias("w")).select("candidate_id", F.array(case).alias("test_cases"))
+    return N.pair_similarity(_asked(s, d).join(after, "candidate_id", "left").join(tests, "candidate_id"))
 
 
 @query(f"WITH {_SIM} SELECT candidate_id, reference_id, overall FROM nov QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY overall DESC, reference_id) = 1")
@@ -429,7 +441,10 @@ def shingles(s, d):
 
 # ---- text and corpus rules
 
-_FOLD = f"lower(regexp_replace(translate(text, '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))"
+# Accented letters of the given texts and their plain forms, one for one.
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿășțşţÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĂȘȚŞŢ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaststAAAAAACEEEEIIIINOOOOOUUUUYASTST"
+_FOLD = f"lower(regexp_replace(translate(text, '{_ACCENTED}', '{_PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))"
 
 
 @query(f"SELECT doc_id, {_FOLD} AS folded FROM documents")
@@ -547,11 +562,12 @@ def unlock_solution(s, d):
     return P.unlock_solution(own, sub.where("score > 80"), F.col("owner") - F.col("owner") % 3)
 
 
-@query("SELECT conv_id AS id, count(*) FILTER (turn % 2 = 0) AS n_public, count(*) AS n_all FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS id, coalesce(string_agg(role || ':' || text, chr(10) ORDER BY turn, role, text) FILTER (turn % 2 = 0), '') AS shown FROM conversations GROUP BY 1")
 def safe_projection(s, d):
     case = F.struct(F.col("turn"), F.col("role").alias("input"), F.col("text").alias("expected_output"), (F.col("turn") % 2 != 0).alias("is_hidden"))
-    made = read(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(case)).alias("test_cases"), F.count("*").alias("n_all"))
-    return P.safe_projection(made).join(made.select("id", "n_all"), "id").select("id", F.size("test_cases").cast("long").alias("n_public"), "n_all")
+    made = read(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(case)).alias("test_cases"))
+    told = lambda t: F.concat(t["input"], F.lit(":"), t["expected_output"])
+    return P.safe_projection(made).select("id", F.array_join(F.transform("test_cases", told), "\n").alias("shown"))
 
 
 @query("""WITH c AS (SELECT conv_id AS request_id, turn AS attempt, CASE WHEN length(text) % 3 <> 0 THEN 'e' || turn END AS error FROM conversations WHERE turn <= 6),

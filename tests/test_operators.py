@@ -205,3 +205,13 @@ def test_minhash_recall_and_classes(spark):
     found = [p for p in exact if (x := sorted((root[p[0]], root[p[1]]))) and (x[0] == x[1] or tuple(x) in pairs)]
     assert len(found) >= 0.95 * len(exact) > 70
     assert all(root[i] == min(j for j, u in enumerate(texts) if set(u) == set(t)) for i, t in enumerate(texts))
+
+
+def test_golden_groups(spark):
+    """Groups as written: twice in a query, without documents; each is a violation of its own."""
+    queries = spark.createDataFrame([(1,), (2,)], "query_id long")
+    qrels = spark.createDataFrame([(1, "g", 3, 10), (2, "h", 2, 11)], "query_id long, group_id string, grade int, doc_id long")
+    groups = spark.createDataFrame([(1, "g", 1), (1, "g", 2), (2, "h", 1), (2, "i", 0), (2, "k", None)], "query_id long, group_id string, n_documents int")
+    assert E.golden_checks(queries, qrels).count() == 0
+    got = sorted((r.rule, r.query_id, r.item) for r in E.golden_checks(queries, qrels, groups).collect())
+    assert got == [("duplicate_group", "1", "g"), ("no_documents", "2", "i"), ("no_documents", "2", "k")]
