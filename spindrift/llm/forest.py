@@ -6,7 +6,7 @@ sqrt(longest ** 2 - length ** 2), which queries have as zero. A query walks all
 queue, ordered by the sum of the squared margins that were crossed on the way, and takes the best ``max(trees, leaves / PART)``
 leaves, with 8 trees the inner products of four fifths of a table.
 Queries meet rows by subtree (``GROUP`` rows or so; larger ones, as of copies of one vector,
-are split), each subtree returns a query's best k as one row, and scores are exact: computed in double
+are split; queries come in blocks of ``ASKED``, so that no group grows with them), each subtree returns a query's best k as one row, and scores are exact: computed in double
 precision on the original vectors, pair by pair in one order of addition. Ties go to the smaller id.
 
 The trees go to the tasks, and have a bound: at most ``SAMPLE / 4`` inner nodes each and ``FOREST`` bytes in all. Vectors without
@@ -35,6 +35,10 @@ LEAF = 64
 PART = 10
 FOREST = 64 << 20
 GROUP = 8_192
+#: Queries that meet a subtree in one place: eight times its rows, so that rows repeated for each block are the smaller part of what is shuffled.
+ASKED = 65_536
+#: Inner products that are held at once.
+HELD = 1 << 22
 EVERY = 20
 
 
@@ -111,17 +115,18 @@ def _usable(vectors: DataFrame, dim: int | None) -> DataFrame:
     return rows.where(F.size(e) == dim) if dim is not None else rows
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, part: int = PART) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, part: int = PART, asked_at_once: int = ASKED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by ``every``."""
     import numpy as np
 
     spark = vectors.sparkSession
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    dims = _usable(base, None).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("longest")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dims = _usable(base, None).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("longest"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, longest = dims[0]["dim"], dims[0]["n"], float(dims[0]["longest"])
+    blocks = max(1, -(-dims[0]["asked"] // asked_at_once))
     longest = longest if np.isfinite(longest) else 0.0  # lengths whose squares are no doubles: directions alone decide where to look
     rows = _usable(base, dim)
     share = min(1.0, 0.9 * sample / n)
@@ -161,7 +166,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SA
     sizes = index.groupBy("tree", "sub").agg(F.ceil(F.count("*") / (4 * GROUP)).cast("int").alias("parts"))
     asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(probe, "tree long, sub long, query_id long, q array<double>, leaves array<long>")
     members = index.join(sizes, ["tree", "sub"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    probes = asked.join(sizes, ["tree", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
+    probes = asked.join(sizes, ["tree", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int"))
 
     def meet(own: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
@@ -178,20 +184,22 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SA
             for v in leaves:
                 visits.setdefault(v, []).append(i)
         got: list[tuple] = []
-        for v, who in visits.items():
+        for v, visitors in visits.items():
             lo, hi = np.searchsorted(leaf_of, [v, v + 1])
             if lo == hi:
                 continue
-            who = np.array(who)
-            near = q[who] @ x[lo:hi].T
-            near[names[who][:, None] == ids[lo:hi][None, :]] = -np.inf
-            if hi - lo > k:
-                kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
-                i, j = np.nonzero((near >= kth - slack[who]) & (near > -np.inf))
-            else:
-                i, j = np.nonzero(near > -np.inf)
-            exact = np.multiply(q[who[i]], x[lo + j]).sum(axis=1)
-            got.append((who[i], ids[lo + j], exact))
+            step = max(1, HELD // int(hi - lo))
+            for some in range(0, len(visitors), step):
+                who = np.array(visitors[some : some + step])
+                near = q[who] @ x[lo:hi].T
+                near[names[who][:, None] == ids[lo:hi][None, :]] = -np.inf
+                if hi - lo > k:
+                    kth = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+                    i, j = np.nonzero((near >= kth - slack[who]) & (near > -np.inf))
+                else:
+                    i, j = np.nonzero(near > -np.inf)
+                exact = np.multiply(q[who[i]], x[lo + j]).sum(axis=1)
+                got.append((who[i], ids[lo + j], exact))
         if not got:
             return schema.empty_table()
         who, vec, score = (np.concatenate(c) for c in zip(*got, strict=True))
@@ -205,7 +213,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SA
         lists = [[{"score": s, "vec_id": d} for s, d in zip(score[a : min(a + k, b)].tolist(), vec[a : min(a + k, b)].tolist(), strict=True)] for a, b in zip(first, ends, strict=True)]
         return pa.Table.from_arrays([pa.array(names[who[first]], pa.int64()), pa.array(lists, schema.field("found").type)], schema=schema)
 
-    keys = ["tree", "sub", "part"]
+    keys = ["tree", "sub", "part", "block"]
     pairs = members.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(meet, "query_id long, found array<struct<score:double,vec_id:long>>")
     near = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: F.struct((-x["score"]).alias("less"), x["vec_id"].alias("vec_id")))))))
     best = pairs.groupBy("query_id").agg(F.slice(near, 1, k).alias("best"))

@@ -446,7 +446,11 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert alike == sorted(alike) and alike[0] == 101  # equal scores: smaller ids first, whole
     many = forest.nearest(spark.createDataFrame([(i, [3.0, 4.0]) for i in range(300)] + [(i, [3.0, 4.0]) for i in range(5)], "vec_id long, embedding array<double>")).where("query_id = 40").orderBy("rank").collect()
     assert [r.vec_id for r in many] == list(range(20))
-    clash = df.withColumns({c: F.lit(c) for c in ("tree", "sub", "part", "query_id", "leaf", "score")})
+    blocks = {}
+    for r in forest.nearest(df, asked_at_once=9).collect():  # queries in nine blocks: the same rows
+        blocks.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in blocks.items()} == {q: sorted(x) for q, x in got.items()}
+    clash = df.withColumns({c: F.lit(c) for c in ("tree", "sub", "part", "block", "query_id", "leaf", "score")})
     assert forest.nearest(clash).count() == 20 * len(got)
     huge = forest.nearest(spark.createDataFrame([(i, [1e200 * i, 1.0]) for i in range(3)], "vec_id long, embedding array<double>"))
     assert [(r.query_id, r.rank) for r in huge.orderBy("rank").collect()] == [(0, 1), (0, 2)]
