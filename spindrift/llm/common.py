@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,21 +23,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _local_dir(application: str) -> str:
+    """One folder for each local application; the setting itself can't be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="spindrift-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session has one made where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spindrift-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the ``passing`` blocks that are open, the innermost last.
+_OPEN_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("_OPEN_FOLDERS", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` inside are removed when the block ends, but for those that are ``lasting``, which belong to the block around it."""
+    folder = f"{shared_dir(spark)}/passing-{uuid.uuid4().hex}"
+    token = _OPEN_FOLDERS.set((*_OPEN_FOLDERS.get(), folder))
+    try:
+        yield
+    finally:
+        _OPEN_FOLDERS.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    inside = _OPEN_FOLDERS.get()[: -1 if lasting else None]
+    path = f"{inside[-1] if inside else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spindrift.llm.common import SPACE_RUN, table, written
+from spindrift.llm.common import SPACE_RUN, passing, table, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -42,7 +42,9 @@ COUNTERS = 16
 #: Texts of a shingle that all its others are compared with first.
 CENTRES = 8
 #: Longs of the bits that bound how many shingles two sets don't share.
-SIGNS = 4
+SIGNS = 8
+#: What stands before a word sequence in its second digest: no word holds it.
+BEFORE = "\n"
 #: Bytes of text that are hashed together.
 CHUNK = 4 << 20
 #: Widths of the five blocks, from the lowest bit.
@@ -160,8 +162,8 @@ def _mix(a, b):
     return x ^ (x >> np.uint64(29))
 
 
-def _shingled(texts: pa.Array) -> Iterator[tuple[int, object]]:
-    """For each text: the digest of its word sequence (as ``_said``) and the sorted hashes of its different shingles; of fewer words the sequence is one.
+def _shingled(texts: pa.Array) -> Iterator[tuple[int, int, object]]:
+    """For each text: both digests of its word sequence (as ``_said``) and the sorted hashes of its different shingles; of fewer words the sequence is one.
 
     A chunk's words are numbered by Arrow, each different one is hashed once, and windows of hashes are mixed with numpy.
     """
@@ -169,8 +171,8 @@ def _shingled(texts: pa.Array) -> Iterator[tuple[int, object]]:
     import pyarrow.compute as pc
     import xxhash
 
-    def digests(of: pa.Array):
-        return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in of.cast(pa.binary()).to_pylist()), np.uint64, len(of))
+    def digests(of: pa.Array, before: bytes = b""):
+        return np.fromiter((xxhash.xxh64_intdigest(before + x, SEED) for x in of.cast(pa.binary()).to_pylist()), np.uint64, len(of))
 
     texts = pc.fill_null(texts, "")
     size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -178,25 +180,27 @@ def _shingled(texts: pa.Array) -> Iterator[tuple[int, object]]:
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, "right")))
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo))))
-        said = digests(pc.binary_join(lists, " "))
+        line = pc.binary_join(lists, " ")
+        said, also = digests(line), digests(line, BEFORE.encode()).view(np.int64).tolist()
         named = pc.list_flatten(lists).dictionary_encode()
         h = digests(named.dictionary)[named.indices.to_numpy()]
         w = h
         for j in range(1, WORDS):
             h = _mix(h[: len(w) - j], w[j:])
         many = pc.list_value_length(lists).to_numpy()
-        for d, at, n in zip(said, (np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
+        for d, e, at, n in zip(said, also, (np.cumsum(many) - many).tolist(), many.tolist(), strict=True):
             own = np.sort((h[at : at + n - WORDS + 1] if n >= WORDS else d.reshape(1)).view(np.int64))
             new = np.ones(len(own), bool)
             np.not_equal(own[1:], own[:-1], out=new[1:])
-            yield int(d.view(np.int64)), own[new]
+            yield int(d.view(np.int64)), e, own[new]
         lo = hi
 
 
-def _said(text: Column) -> Column:
-    """The 64-bit digest of the word sequence (XXH64 under ``SEED``, which is Spark's own seed)."""
+def _said(text: Column) -> tuple[Column, Column]:
+    """Two digests of the word sequence, 128 bits in all (XXH64 under ``SEED``, which is Spark's own seed, of it and of it after ``BEFORE``)."""
     upper = "".join(map(chr, range(65, 91)))
-    return F.xxhash64(F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPACE_RUN, " "), F.lit(" ")))
+    words = F.btrim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, upper.lower()), SPACE_RUN, " "), F.lit(" "))
+    return F.xxhash64(words), F.xxhash64(F.concat(F.lit(BEFORE), words))
 
 
 def _counts(docs: DataFrame) -> list[int]:
@@ -207,7 +211,7 @@ def _counts(docs: DataFrame) -> list[int]:
 
         n = np.zeros(1 << COUNTERS, np.int64)
         for b in batches:
-            for _, h in _shingled(b.column(0)):
+            for _, _, h in _shingled(b.column(0)):
                 np.add.at(n, h.view(np.uint64) >> np.uint64(64 - COUNTERS), 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["slot", "n"])
@@ -219,7 +223,7 @@ def _counts(docs: DataFrame) -> list[int]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """node (digest of the words), doc_id, n (shingles), prefix (the rarest of them, in the order of all) and s0.. (which
+    """node (a number), said and also (digests of the words), doc_id, n (shingles), prefix (the rarest of them, in the order of all) and s0.. (which
     slots hold an odd number of them, a bit for each) of every different text."""
     held = docs.sparkSession.sparkContext.broadcast(_counts(docs))
     names = [f"s{i}" for i in range(SIGNS)]
@@ -229,18 +233,21 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
         counts = np.array(held.value, np.int64)
         for b in batches:
-            nodes, sizes, first, odd = [], [], [], []
-            for said, h in _shingled(b.column(1)):
-                nodes.append(said)
+            said, also, sizes, first, odd = [], [], [], [], []
+            for d, e, h in _shingled(b.column(1)):
+                said.append(d)
+                also.append(e)
                 often = counts[h.view(np.uint64) >> np.uint64(64 - COUNTERS)]
                 sizes.append(len(h))
                 odd.append(np.packbits(np.bincount(h & (64 * SIGNS - 1), minlength=64 * SIGNS) & 1).view(np.int64))
                 first.append(h[np.lexsort((h, often))][: len(h) - -(-4 * len(h) // 5) + 1])
             signs = [pa.array(np.ascontiguousarray(x)) for x in np.array(odd, np.int64).reshape(-1, SIGNS).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *signs], ["doc_id", "node", "n", "prefix", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.int64()), pa.array(also, pa.int64()), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())), *signs], ["doc_id", "said", "also", "n", "prefix", *names])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>" + "".join(f", {x} long" for x in names))
-    return written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(x).alias(x) for x in names]), "prefixes")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, said long, also long, n int, prefix array<long>" + "".join(f", {x} long" for x in names))
+    different = rows.groupBy("said", "also").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(x).alias(x) for x in names])
+    # numbers hold from here on, as the table is written; which text gets which decides nothing
+    return written(different.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
 def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
@@ -249,21 +256,23 @@ def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # rows that share the id but not the words are passed over
-            own = [(x, h) for x, (said, h) in zip(b.column(0).to_pylist(), _shingled(b.column(1)), strict=True) if x == said]
+            node, *digests = (b.column(i).to_pylist() for i in range(3))
+            own = [(x, h) for x, d, e, (said, also, h) in zip(node, *digests, _shingled(b.column(3)), strict=True) if (d, e) == (said, also)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([h for _, h in own], pa.list_(pa.int64()))], ["node", "set"])
 
-    pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
-    # written, so that its size is known: Spark spares the texts a shuffle while what is asked for is small
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    named = written(asked.join(nodes.select("node", "doc_id"), "node"), f"{name}-named")
-    texts = docs.join(named, "doc_id").select("node", "text")
-    sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name)
+    with passing(docs.sparkSession):
+        pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
+        # written, so that its size is known: Spark spares the texts a shuffle while what is asked for is small
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        named = written(asked.join(nodes.select("node", "doc_id", "said", "also"), "node"), f"{name}-named")
+        texts = docs.join(named, "doc_id").select("node", "said", "also", "text")
+        sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name, lasting=True)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """node (64-bit digest of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
+    """said and also (digests of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = _prefixes(texts)
     each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
@@ -297,7 +306,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     met = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & likely("x", "y") & (9 * unlike <= F.col("x.n") + F.col("y.n"))
     pairs = split.alias("x").join(split.alias("y"), met).select(*pair("x", "y"))
     rest = _verified(pairs, nodes, texts, "rest-links")
-    return nodes.select("node", "doc_id").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.select("node", "doc_id", "said", "also").join(components(linked.union(rest)), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -307,19 +316,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sequence); groups are their components. Candidates share one of the rarest shingles: in any one order of all
     shingles, two sets so alike share one among the first n - ceil(0.8 n) + 1, so no pair is lost; frequent
     shingles, by counts over all documents, are put last in the order, and a pair meets only where what
-    follows the shared one can still be enough and, beyond the centres, where the parities of the two sets' slots allow it. Every link is verified on the whole sets. Texts without words are one group.
+    follows the shared one can still be enough and, beyond the centres, where the parities of the two sets' slots allow it. Every link is verified on the whole sets of shingles' 64-bit hashes. Texts of equal words
+    are told by 128 bits of digests. Texts without words are one group. Tables that only lead to the result are removed when it is known.
     Rows without an id can't be named and stay. Rows that share an id are judged each by its words; those with the
     same words are one document, of which the smallest hash of the text stays.
     """
-    groups = near_groups(docs)
-    keep = groups.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.node").alias("said"))
-    keep = written(keep, "kept")
+    with passing(docs.sparkSession):
+        best = near_groups(docs).groupBy("root").agg(F.min(F.struct("doc_id", "said", "also")).alias("k"))
+        keep = written(best.select(F.col("k.doc_id").alias("id"), "k.said", "k.also"), "kept", lasting=True)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     shared = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "shared-ids")
     # an id of one row tells its words; only rows that share theirs are told apart by words, and by text
     alone = rows.where("id is not null").join(shared, "id", "left_anti").join(keep, "id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("id", "said").orderBy(F.xxhash64("text"), "text"))
-    several = rows.join(shared, "id", "left_semi").withColumn("said", _said(F.col("text"))).join(keep, ["id", "said"], "left_semi").withColumn("place", first).where("place = 1")
+    first = F.row_number().over(Window.partitionBy("id", "said", "also").orderBy(F.xxhash64("text"), "text"))
+    said, also = _said(F.col("text"))
+    several = rows.join(shared, "id", "left_semi").withColumns({"said": said, "also": also}).join(keep, ["id", "said", "also"], "left_semi").withColumn("place", first).where("place = 1")
     return alone.select("row").union(several.select("row")).union(rows.where("id is null").select("row")).select("row.*")
 
 

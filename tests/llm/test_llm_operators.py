@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import forest, html, mixing, packing, quality, registry, repeats, secrets, simhash, tokenfile, toxicity
+from spindrift.llm import common, forest, html, mixing, packing, quality, registry, repeats, secrets, simhash, tokenfile, toxicity
 
 SMALL, DIR = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -333,12 +333,12 @@ def test_shingles_and_digests_equal_plain_ones(spark, monkeypatch):
     rng = random.Random(5)
     texts = [None, "", " \n", "One", "a b c d", "A\tb\x0bc\x0cd\re", "Ä a\x85b c\xa0d É e f", "x " * 3000]
     texts += [" ".join(rng.choice("abcD") for _ in range(rng.randrange(1, 200))) for _ in range(60)]
-    said = [r.s for r in documents(spark, list(enumerate(texts))).orderBy("doc_id").select(simhash._said(F.col("text")).alias("s")).collect()]
+    said = [r.s for r in documents(spark, list(enumerate(texts))).orderBy("doc_id").select(F.array(*simhash._said(F.col("text"))).alias("s")).collect()]
     for chunk in (1, 100, 1 << 20):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         got = list(simhash._shingled(pa.array(texts, pa.string())))
-        assert [d for d, _ in got] == said
-        for t, (_, h) in zip(texts, got, strict=True):
+        assert [[d, e] for d, e, _ in got] == said
+        for t, (_, _, h) in zip(texts, got, strict=True):
             w = (t or "").encode().lower().split()
             assert len(h) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) and (h[1:] > h[:-1]).all()
 
@@ -351,6 +351,18 @@ def test_near_dedup_of_rows_that_share_an_id(spark):
     assert sorted((r.doc_id, r.text.split()[0], len(r.text.split())) for r in kept) == [(1, "v0", 40), (2, "w0", 60), (4, "u0", 30)]
 
 
+def test_near_dedup_leaves_only_what_its_result_reads(spark, monkeypatch, tmp_path):
+    """Texts whose first digests are all equal are still told apart, and tables on the way are removed."""
+    monkeypatch.setattr(simhash, "_said", lambda t, f=simhash._said: (F.lit(7).cast("long"), f(t)[1]))
+    monkeypatch.setattr(simhash, "_shingled", lambda t, f=simhash._shingled: ((7, e, h) for _, e, h in f(t)))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, base), (2, [*base[:-1], "end"]), (3, [f"v{i}" for i in range(40)]), (4, base), (4, [f"u{i}" for i in range(30)])]
+    kept = simhash.near_dedup(documents(spark, [(i, " ".join(w)) for i, w in rows]))
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == ["kept", "shared-ids"]
+    assert sorted((r.doc_id, r.text.split()[0]) for r in kept.collect()) == [(1, "w0"), (3, "v0"), (4, "u0")]
+
+
 def test_near_dedup_odd_rows(spark):
     kept = simhash.near_dedup(odd(spark))
     assert kept.columns == odd(spark).columns
