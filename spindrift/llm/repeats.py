@@ -93,13 +93,13 @@ def phrases(data, starts, ends):
     return first, count, h[trigger[first]].view(np.int64)
 
 
-def _first_in_batch(key, *order):
-    """Marks the first of equal keys by ``order`` (last key first, as for lexsort)."""
+def _first_in_batch(key, also, *order):
+    """Marks the first of rows equal in ``key`` and ``also`` by ``order`` (last key first, as for lexsort)."""
     import numpy as np
 
-    by = np.lexsort((*order, key))
+    by = np.lexsort((*order, also, key))
     mark = np.ones(len(key), bool)
-    mark[by[1:]] = key[by][1:] != key[by][:-1]
+    mark[by[1:]] = (key[by][1:] != key[by][:-1]) | (also[by][1:] != also[by][:-1])
     return mark
 
 
@@ -139,7 +139,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush()
         if cols[0]:
             gram, said, doc, mark, at, count = (np.concatenate(c) for c in cols)
-            sure = ~_first_in_batch(gram ^ (said * 31), at, mark, doc)
+            sure = ~_first_in_batch(gram, said, at, mark, doc)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, said, doc, mark, at, count, sure)], ["gram", "said", "doc", "mark", "at", "n", "sure"])
 
 
@@ -184,7 +184,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if said:
                 pair = np.frombuffer(b"".join(said), "<i8").reshape(-1, 2)
                 doc, mark, at = np.array(place, np.int64).T
-                sure = ~_first_in_batch(pair[:, 0] ^ (pair[:, 1] * 31), at, mark, doc)
+                sure = ~_first_in_batch(pair[:, 0], pair[:, 1], at, mark, doc)
                 key = np.where(sure, doc * 0x9E3779B1 + at, pair[:, 0])
                 out += zip(key.tolist(), pair[:, 1].tolist(), doc.tolist(), mark.tolist(), at.tolist(), [1] * len(at), sure.tolist(), [None] * len(at), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(_OPEN_TYPES)], _OPEN_NAMES)
