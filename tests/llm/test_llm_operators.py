@@ -5,6 +5,7 @@ import math
 import os
 import random
 import zlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,6 +352,16 @@ def test_near_dedup_of_rows_that_share_an_id(spark):
     assert sorted((r.doc_id, r.text.split()[0], len(r.text.split())) for r in kept) == [(1, "v0", 40), (2, "w0", 60), (4, "u0", 30)]
 
 
+def test_shared_folder_where_none_is_named():
+    """One folder for a local application; any other is told by an error."""
+    session = lambda master, app: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId=app))
+    first = common.shared_dir(session("local[2]", "a"))
+    assert first.startswith("file:///") and common.shared_dir(session("local[2]", "a")) == first != common.shared_dir(session("local[2]", "b"))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(session(master, "c"))
+
+
 def test_near_dedup_leaves_only_what_its_result_reads(spark, monkeypatch, tmp_path):
     """Texts whose first digests are all equal are still told apart, and tables on the way are removed."""
     monkeypatch.setattr(simhash, "_said", lambda t, f=simhash._said: (F.lit(7).cast("long"), f(t)[1]))
