@@ -23,3 +23,12 @@ def test_exact_match_reads_written_texts(spark):
 
     df = Q.QUERIES["exact_match"](spark, "/root/testdata/sf0.001")
     assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_by_request_cut_each_text_once(spark):
+    c = spark.createDataFrame([(1, 10, "one two three four five six", "a b c d e f"), (1, 11, "", None), (2, 12, "x y", "one")], "request_id int, candidate_id int, candidate string, solution string")
+    r = spark.createDataFrame([(1, 5, "One two three four five 7"), (1, 6, "a b c d e f"), (3, 7, "x y")], "request_id int, reference_id int, reference string")
+    got = N.pairs_by_request(c, r)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = N.pair_similarity(c.join(r, "request_id").drop("request_id"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and got.count() == 4
