@@ -250,6 +250,36 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return written(different.withColumn("node", F.monotonically_increasing_id()), "prefixes")
 
 
+def _parities(h) -> bytes:
+    """Which slots hold an odd number of the hashes ``h``, a bit for each: twice as many slots as hashes or more, a power of two."""
+    import numpy as np
+
+    slots = max(64, 1 << (2 * len(h) - 1).bit_length())
+    return (np.packbits(np.bincount(h & (slots - 1), minlength=slots) & 1, bitorder="little")).tobytes()
+
+
+def _unlike(x: bytes, y: bytes) -> int:
+    """At least how many hashes only one of two sets has, by their ``_parities``; the longer one is folded to the length of the other."""
+    if len(x) > len(y):
+        x, y = y, x
+    bits = int.from_bytes(x, "little")
+    for at in range(0, len(y), len(x)):
+        bits ^= int.from_bytes(y[at : at + len(x)], "little")
+    return bits.bit_count()
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """a, b, an and bn of those pairs whose parities (p, q) allow it: sets alike to 0.8 have at most a ninth of both sizes of hashes that only one has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            an, bn, p, q = (b.column(i).to_pylist() for i in range(2, 6))
+            near = [9 * _unlike(x, y) <= n + m for n, m, x, y in zip(an, bn, p, q, strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "b", "an", "bn"]).filter(pa.array(near, pa.bool_()))
+
+    return rows.select("a", "b", "an", "bn", "p", "q").mapInArrow(run, "a long, b long, an int, bn int")
+
+
 def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b, an, bn) of ``met`` that are alike on whole shingle sets."""
 
@@ -258,7 +288,7 @@ def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> D
             # rows that share the id but not the words are passed over
             node, *digests = (b.column(i).to_pylist() for i in range(3))
             own = [(x, h) for x, d, e, (said, also, h) in zip(node, *digests, _shingled(b.column(3)), strict=True) if (d, e) == (said, also)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([h for _, h in own], pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([_parities(h) for _, h in own], pa.binary()), pa.array([h for _, h in own], pa.list_(pa.int64()))], ["node", "odd", "set"])
 
     with passing(docs.sparkSession):
         pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
@@ -266,7 +296,10 @@ def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> D
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         named = written(asked.join(nodes.select("node", "doc_id", "said", "also"), "node"), f"{name}-named")
         texts = docs.join(named, "doc_id").select("node", "said", "also", "text")
-        sets = written(texts.mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
+        sets = written(texts.mapInArrow(run, "node long, odd binary, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
+        # whole sets travel for pairs that their parities, a thirtieth of a set, do not tell apart
+        odd = pairs.join(sets.select(F.col("node").alias("a"), F.col("odd").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("odd").alias("q")), "b")
+        pairs = written(_close(odd), f"{name}-close")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name, lasting=True)
 
