@@ -1,9 +1,9 @@
 """Phrases of two to four words that stand together more often than their parts, for each language.
 
 **Counting.** Every word of a piece begins one window of the longest order, four lead columns w0 to w3 (the words that follow, an
-empty string where the piece ends). Only these windows are counted; ``ROLLUP`` over (lang, w0, w1, w2, w3) sums
-them to all shorter prefixes, so that one pass gives the count of words in a language, of each word, and of each phrase
-of two, three and four words.
+empty string where the piece ends). Only these windows are counted: equal ones are added up over all tasks first, and ``ROLLUP``
+over (lang, w0, w1, w2, w3) sums them to all shorter prefixes, so that one pass gives the count of words in a language, of each
+word, and of each phrase of two, three and four words.
 
 **What is not counted.** Nearly all windows of a corpus are met once, and would be shuffled whole to be
 thrown away. A phrase is a candidate from ``LEAST`` occurrences on, and so is every part of it; so a window may end before a word with which its last
@@ -42,8 +42,8 @@ CHUNK = 1 << 20
 HELD = 1 << 19
 _SALTS = 64
 _BLOCK = 1 << 19
-#: The bits of a hash that are shuffled.
-_KEPT = 0xFFFFFFFFFFFF0000
+#: The bits of a hash that are shuffled: more than a bitmap tells apart, and a collision only lets a rare phrase through.
+_KEPT = 0xFFFFFFFFFF000000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STOPS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 #: An odd number, and what it is multiplied with to give 1 (modulo 2^64).
@@ -270,7 +270,12 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
 def counts(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """lang, words (array; empty: all words of the language) and f of every phrase of one to four words met ``least`` times or more."""
     w = [f"w{i}" for i in range(ORDER)]
-    summed = windows(docs, least, bits).rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    # windows are added up whole before the rollup makes rows of their prefixes: else each task hands on every prefix of every
+    # window it meets. One string is shuffled for four; words hold no space, and what ends a window is at its end
+    said = windows(docs, least, bits).select("lang", F.rtrim(F.concat_ws(" ", *w)).alias("said"), "n").groupBy("lang", "said").agg(F.sum("n").alias("n"))
+    words = F.split("said", " ")
+    whole = said.select("lang", *[F.coalesce(F.get(words, F.lit(i)), F.lit("")).alias(x) for i, x in enumerate(w)], "n")
+    summed = whole.rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     # a row that ends in the mark of an ended window is no phrase; told by grouping columns alone, so that such rows are not made
     phrase = F.lit(False)
     for i in range(ORDER):
