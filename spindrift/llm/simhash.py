@@ -43,6 +43,8 @@ COUNTERS = 16
 CENTRES = 8
 #: Longs of the bits that bound how many shingles two sets don't share.
 SIGNS = 8
+#: Bits of a bitmap of ids asked for, as a power of two, at most.
+ASKED_BITS = 27
 #: What stands before a word sequence in its second digest: no word holds it.
 BEFORE = "\n"
 #: Bytes of text that are hashed together.
@@ -280,27 +282,58 @@ def _close(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", "an", "bn", "p", "q").mapInArrow(run, "a long, b long, an int, bn int")
 
 
-def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b, an, bn) of ``met`` that are alike on whole shingle sets."""
+def _drawn(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str, whole: bool) -> DataFrame:
+    """node and ``value`` of every node of ``pairs``: its sorted set of shingles, if ``whole``, else the parities of it.
+
+    Texts are not shuffled: a bitmap of what is asked for, by hashes of ids, tells each task which of its own texts to cut.
+    Rows that it lets through by chance are dropped by the join, as are those that share an id but not the words.
+    """
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    named = written(asked.join(nodes.select("node", "doc_id", "said", "also"), "node"), f"{name}-named")
+    bits = min(ASKED_BITS, max(16, (16 * named.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    held = docs.sparkSession.sparkContext.broadcast(_asked(named.select((slot + 1).alias("at")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        bitmap = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            # rows that share the id but not the words are passed over
-            node, *digests = (b.column(i).to_pylist() for i in range(3))
-            own = [(x, h) for x, d, e, (said, also, h) in zip(node, *digests, _shingled(b.column(3)), strict=True) if (d, e) == (said, also)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([_parities(h) for _, h in own], pa.binary()), pa.array([h for _, h in own], pa.list_(pa.int64()))], ["node", "odd", "set"])
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            own = list(_shingled(b.column(1)))
+            said, also = (pa.array([x[i] for x in own], pa.int64()) for i in range(2))
+            value = pa.array([h for _, _, h in own], pa.list_(pa.int64())) if whole else pa.array([_parities(h) for _, _, h in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), said, also, value], ["doc_id", "said", "also", "value"])
+
+    kind = "array<long>" if whole else "binary"
+    cut = docs.select("doc_id", "text", slot.alias("at")).mapInArrow(run, f"doc_id long, said long, also long, value {kind}")
+    # dealt once, for the copies and for the join
+    keys = ["doc_id", "said", "also"]
+    return written(cut.dropDuplicates(keys).join(named.hint("merge"), keys).select("node", "value"), f"{name}-values")
+
+
+def _asked(slots: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2^bits bits in which those of ``slots`` (at, from one) are set."""
+    import numpy as np
+
+    blocks = slots.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in blocks.collect():  # bounded by the bits
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
 
+def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b, an, bn) of ``met`` that are alike on whole shingle sets."""
+    side = lambda of, node, value: of.select(F.col("node").alias(node), F.col("value").alias(value))
     with passing(docs.sparkSession):
         pairs = written(met.dropDuplicates(["a", "b"]), f"{name}-met")
-        # written, so that its size is known: Spark spares the texts a shuffle while what is asked for is small
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        named = written(asked.join(nodes.select("node", "doc_id", "said", "also"), "node"), f"{name}-named")
-        texts = docs.join(named, "doc_id").select("node", "said", "also", "text")
-        sets = written(texts.mapInArrow(run, "node long, odd binary, set array<long>").dropDuplicates(["node"]), f"{name}-sets")
-        # whole sets travel for pairs that their parities, a thirtieth of a set, do not tell apart
-        odd = pairs.join(sets.select(F.col("node").alias("a"), F.col("odd").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("odd").alias("q")), "b")
-        pairs = written(_close(odd), f"{name}-close")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        # whole sets are made, and travel, for pairs that their parities, a thirtieth of a set, do not tell apart
+        odd = _drawn(pairs, nodes, docs, f"{name}-odd", whole=False)
+        close = written(_close(pairs.join(side(odd, "a", "p"), "a").join(side(odd, "b", "q"), "b")), f"{name}-close")
+        sets = _drawn(close, nodes, docs, f"{name}-sets", whole=True)
+        both = close.join(side(sets, "a", "x"), "a").join(side(sets, "b", "y"), "b")
         return written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b"), name, lasting=True)
 
 
