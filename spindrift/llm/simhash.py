@@ -286,7 +286,7 @@ def _drawn(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str, whole
     """node and ``value`` of every node of ``pairs``: its sorted set of shingles, if ``whole``, else the parities of it.
 
     Texts are not shuffled: a bitmap of what is asked for, by hashes of ids, tells each task which of its own texts to cut.
-    Rows that it lets through by chance are dropped by the join, as are those that share an id but not the words.
+    Rows that it lets through by chance are dropped by the join, as are those that share an id, or have none, but not the words.
     """
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     named = written(asked.join(nodes.select("node", "doc_id", "said", "also"), "node"), f"{name}-named")
@@ -310,7 +310,9 @@ def _drawn(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str, whole
     cut = docs.select("doc_id", "text", slot.alias("at")).mapInArrow(run, f"doc_id long, said long, also long, value {kind}")
     # dealt once, for the copies and for the join
     keys = ["doc_id", "said", "also"]
-    return written(cut.dropDuplicates(keys).join(named.hint("merge"), keys).select("node", "value"), f"{name}-values")
+    x, y = cut.dropDuplicates(keys).alias("x"), named.hint("merge").alias("y")
+    same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.said") == F.col("y.said")) & (F.col("x.also") == F.col("y.also"))
+    return written(x.join(y, same).select("y.node", "x.value"), f"{name}-values")
 
 
 def _asked(slots: DataFrame, bits: int) -> bytes:
@@ -338,8 +340,8 @@ def _verified(met: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> D
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """said and also (digests of a word sequence), doc_id (the smallest that has it) and root (one for each group of near copies)."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """said and also (digests of a word sequence), doc_id (the smallest that has it; null: none has one) and root (one for each group of near copies)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = _prefixes(texts)
     each = nodes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
     often = F.count("*").over(Window.partitionBy("h"))
@@ -384,20 +386,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     shingles, by counts over all documents, are put last in the order, and a pair meets only where what
     follows the shared one can still be enough and, beyond the centres, where the parities of the two sets' slots allow it. Every link is verified on the whole sets of shingles' 64-bit hashes. Texts of equal words
     are told by 128 bits of digests. Texts without words are one group. Tables that only lead to the result are removed when it is known.
-    Rows without an id can't be named and stay. Rows that share an id are judged each by its words; those with the
-    same words are one document, of which the smallest hash of the text stays.
+    Rows that share an id, or have none, are judged each by its words; those with the same words are one document,
+    of which the smallest hash of the text stays. A row without an id comes after all that have one.
     """
     with passing(docs.sparkSession):
-        best = near_groups(docs).groupBy("root").agg(F.min(F.struct("doc_id", "said", "also")).alias("k"))
+        best = near_groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "said", "also")).alias("k"))
         keep = written(best.select(F.col("k.doc_id").alias("id"), "k.said", "k.also"), "kept", lasting=True)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
     shared = written(rows.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "shared-ids")
-    # an id of one row tells its words; only rows that share theirs are told apart by words, and by text
+    # an id of one row tells its words; only rows that share theirs, or have none, are told apart by words, and by text
     alone = rows.where("id is not null").join(shared, "id", "left_anti").join(keep, "id", "left_semi")
     first = F.row_number().over(Window.partitionBy("id", "said", "also").orderBy(F.xxhash64("text"), "text"))
     said, also = _said(F.col("text"))
     several = rows.join(shared, "id", "left_semi").withColumns({"said": said, "also": also}).join(keep, ["id", "said", "also"], "left_semi").withColumn("place", first).where("place = 1")
-    return alone.select("row").union(several.select("row")).union(rows.where("id is null").select("row")).select("row.*")
+    nameless = rows.where("id is null").withColumns({"said": said, "also": also}).join(keep.where("id is null"), ["said", "also"], "left_semi").withColumn("place", first).where("place = 1")
+    return alone.select("row").union(several.select("row")).union(nameless.select("row")).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
