@@ -57,6 +57,12 @@ def test_short_ways_equal_the_patterns(spark):
     assert all(a == b for a, b in bare.values())
 
 
+def test_simple_texts_take_the_short_way(spark):
+    rows = [(False, "Științe ale naturii, ăâîșțşţĂÂÎȘȚŞŢ\n1. x"), (False, ""), (False, "x" * 100_000 + "ă" * 100_000), (True, "a\tb"), (True, "é"), (True, "x\u0301"), (True, "a\rb"), (True, "£"), (True, "(cid:1)"), (True, "x\x1c"), (True, "\u2028")]
+    df = spark.createDataFrame(rows, "want boolean, t string")
+    assert df.where(A.odd(F.col("t")) != F.col("want")).count() == 0
+
+
 def test_stems_lose_no_label(spark):
     texts = ["graful", "grafic", "varfuri", "arce", "les", "le", "context", "vectorul de tati", "vector", "numar prim", "bac.txt", "sirul de caractere", "a. xb. b. c. d."]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
